@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import mixing, packing, sharding
+from colophon.llm import mixing, ngram_join, packing, sharding
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack}
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_docs(spark, sf_dir))
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack, "op8_ngram_join": op8_ngram_join}
 
 ORACLE_SQL: dict[str, str] = {}

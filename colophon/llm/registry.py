@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import mixing, ngram_join, packing, sharding
+from colophon.llm import huffman, mixing, ngram_join, packing, sharding
+from colophon.llm.storage import scratch_path
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +31,14 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack, "op8_ngram_join": op8_ngram_join}
+def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = scratch_path(spark, "corpus")
+    huffman.write_corpus(_docs(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49408, end_id=2)
+    return huffman.read_corpus(spark, path, digest=True).withColumnRenamed("doc", "doc_id")
+
+
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack, "op8_ngram_join": op8_ngram_join, "op10_huffman": op10_huffman}
 
 ORACLE_SQL: dict[str, str] = {}

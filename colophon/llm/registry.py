@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import huffman, mixing, ngram_join, packing, sharding
+from colophon.llm import huffman, language, mixing, ngram_join, packing, quality, secrets, sharding
 from colophon.llm.storage import scratch_path
 
 
@@ -27,6 +27,28 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
 
+def _fold(parts: int) -> "F.Column":
+    """crc32 of the id as text, modulo ``parts``: which documents a model must not learn from."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    found = language.identified(docs, language.train(docs.where(_fold(4) != 2)))
+    return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(_docs(spark, sf_dir))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    ranker = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").where(_fold(5) != 0))
+    found = quality.scored(docs.select("doc_id", "text"), ranker, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(_fold(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_docs(spark, sf_dir))
 
@@ -39,6 +61,6 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_corpus(spark, path, digest=True).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack, "op8_ngram_join": op8_ngram_join, "op10_huffman": op10_huffman}
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -34,14 +34,15 @@ def text_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row ranges of ``batch`` with about ``most`` bytes of text each."""
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Row ranges of ``batch`` with about ``most`` bytes of text, and ``rows`` rows, at most."""
     _, at = text_view(batch.column(batch.schema.get_field_index(text)))
     row, n = 0, batch.num_rows
     while row < n:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
-        yield batch.slice(row, min(end, n) - row)
-        row = min(end, n)
+        end = min(end, n, row + rows)
+        yield batch.slice(row, end - row)
+        row = end
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

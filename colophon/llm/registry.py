@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import fingerprint, huffman, language, mixing, ngram_join, packing, quality, secrets, sharding
+from colophon.llm import fingerprint, huffman, language, mixing, ngram_join, nn_descent, packing, quality, secrets, sharding
 from colophon.llm.storage import scratch_path
 
 
@@ -32,6 +32,10 @@ def _fold(parts: int) -> "F.Column":
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprinted_edits(_docs(spark, sf_dir))
 
@@ -65,6 +69,6 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_corpus(spark, path, digest=True).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman}
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_embeddings": op3_embeddings, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -24,7 +24,6 @@ first; repeated rows are written each; an empty table makes an empty corpus.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,59 +36,63 @@ from pyspark.sql import functions as F
 from colophon.llm.storage import drop_stored, partitions, scratch_path, stored
 
 LIMIT, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
-_PLAIN = re.compile(r"[A-Za-z]+[.,]?")
-
 
 # --- token ids ---------------------------------------------------------------
 
 
+def _byte_letters() -> list[str]:
+    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class _Chunks(dict):
+    """Ids of each chunk (text between white space) as bytes, asked from the library on first use."""
+
+    def __init__(self, tokenizer, dtype: np.dtype):
+        super().__init__()
+        self[""] = b""
+        self.encode, self.word, self.dtype, self.letters = tokenizer.encode, tokenizer.model.tokenize, dtype, _byte_letters()
+
+    def __missing__(self, chunk: str) -> bytes:
+        stem, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
+        if stem.isalpha() and max(stem) < "\u0180" and "\u0130" not in stem:
+            # Composed Latin letters only: the tokenizer's own steps come to lower case, one word, byte letters.
+            low = stem.lower()
+            ids = self.get(low) if mark or low != chunk else None
+            if ids is None:
+                spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
+                ids = np.array([t.id for t in self.word(spelled)], self.dtype).tobytes()
+            if mark:
+                ids += self[mark]
+        else:
+            ids = np.array(self.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class CachedTokenizer:
     """A tokenizer that splits at white space, asked once per distinct chunk.
 
     For vocabularies whose pre-tokenizer drops white space, the ids of a text are
-    the ids of its chunks in order.  Unseen chunks are encoded many at a time in
-    one text and taken apart by character offsets.
+    the ids of its chunks in order.  ``KEEP`` bounds the chunks that a worker remembers.
     """
 
-    KEEP, AT_ONCE = 400_000, 1000
+    KEEP = 1_000_000
 
     def __init__(self, path: str, dtype: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known = Tokenizer.from_file(path), dtype, {"": b""}
-
-    def _learn(self, chunks: list[str]) -> None:
-        known = self.known
-        # A chunk of ASCII letters with a full stop or comma is its letters, lower-cased, and the mark.
-        stems = {}
-        for c in chunks:
-            if _PLAIN.fullmatch(c):
-                stem = c.rstrip(".,")
-                stems[c] = (stem.lower(), c[len(stem) :])
-        ask = list(dict.fromkeys(x for c in chunks for x in stems.get(c, (c,)) if x not in known))
-        for lo in range(0, len(ask), self.AT_ONCE):
-            part = ask[lo : lo + self.AT_ONCE]
-            begins = np.concatenate([[0], np.cumsum([len(c) + 1 for c in part])])
-            enc = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(enc.ids, dtype=self.dtype)
-            owner = np.searchsorted(begins, np.array([o[0] for o in enc.offsets], dtype=np.int64), side="right") - 1
-            cut = np.searchsorted(owner, np.arange(len(part) + 1))
-            for k, c in enumerate(part):
-                known[c] = ids[cut[k] : cut[k + 1]].tobytes()
-        for c, (stem, mark) in stems.items():
-            known[c] = known[stem] + known[mark]
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
+        self.known = _Chunks(self.tokenizer, dtype)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > self.KEEP:
-            self.known = {"": b""}
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        known = self.known
-        unseen = {c for cs in chunks for c in cs if c not in known}
-        if unseen:
-            self._learn(sorted(unseen))
-        get = known.__getitem__
-        return [b"".join(map(get, cs)) for cs in chunks]
+            self.known = _Chunks(self.tokenizer, self.dtype)
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if t else b"" for t in texts]
 
 
 _TOKENIZERS: dict = {}

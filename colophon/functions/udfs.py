@@ -9,14 +9,15 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def blake2b(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else hashlib.blake2b(t.encode()).hexdigest())
 
@@ -62,7 +63,7 @@ def canonical_json(value) -> str:
     return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def jcs(text: pd.Series) -> pd.Series:
     """Canonical form of a JSON text; null if it can't be read or has no canonical form."""
 

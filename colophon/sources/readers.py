@@ -80,7 +80,7 @@ def load_adapter(name: str):
 def audit_adapters(sources: DataFrame) -> DataFrame:
     """(name, code) to a class by what the code does: REAL over a network, LOCAL over files, SCAFFOLDED with neither, MIXED."""
     n = lambda p: F.size(F.regexp_extract_all("code", F.lit(p), F.lit(0)))
-    out = sources.withColumn("n_network", n(r"https?://|urlopen|requests\.")).withColumn("n_files", n(r"open\(|read_text|read\.(?:json|text|format)"))
+    out = sources.withColumn("n_network", n(r"https?://|urlopen|requests\.")).withColumn("n_files", n(r"\bopen\(|read_text|read\.(?:json|text|format)"))
     kind = F.when((F.col("n_network") > 0) & (F.col("n_files") > 0), "MIXED").when(F.col("n_network") > 0, "REAL").when(F.col("n_files") > 0, "LOCAL").otherwise("SCAFFOLDED")
     return out.withColumn("kind", kind)
 

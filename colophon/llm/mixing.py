@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from colophon.llm.storage import partitions, ranked, stored
+from colophon.llm.storage import partitions, ranked, small, stored
 
 WORDS = r"[\x20\x09-\x0D]+"
 
@@ -72,29 +72,29 @@ def schedule(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_epo
     rows = rows.join(table, rows["__source"].eqNullSafe(table["source"]))
     # Middle of the document in words of epoch 0; epoch e adds e * source_size.  Taken while that is within the target.
     middle = F.col("size_before") - F.col("__first") + F.col("size") / 2
-    times = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(max_epochs), F.floor((F.col("target") - middle) / F.col("source_size")) + 1))).otherwise(0)
-    return rows.select(id_col, "source", "size", "source_size", "target", "__shuffle", (middle / F.col("target")).alias("virtual_finish"), times.cast("int").alias("times"))
+    times = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(max_epochs), F.floor(F.try_divide(F.col("target") - middle, F.col("source_size"))) + 1))).otherwise(0)
+    return rows.select(id_col, "source", "size", "source_size", "target", "__shuffle", F.try_divide(middle, F.col("target")).alias("virtual_finish"), times.cast("int").alias("times"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The mix itself: one row per taken copy, range-sorted by virtual finish time (ids and accounts, no texts)."""
     plan = schedule(docs, id_col=id_col, **options)
-    copies = plan.where("times > 0").withColumn("epoch", F.explode(F.expr("sequence(0, times - 1)"))).withColumn("virtual_finish", F.col("virtual_finish") + F.col("epoch") * F.col("source_size") / F.col("target"))
+    copies = plan.where("times > 0").withColumn("epoch", F.explode(F.expr("sequence(0, times - 1)"))).withColumn("virtual_finish", F.col("virtual_finish") + F.try_divide(F.col("epoch") * F.col("source_size"), F.col("target")))
     order = [F.col("virtual_finish"), F.col("source").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
     return copies.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("times", "__shuffle")
 
 
 def mix_rows(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The taken documents with all their columns, one row per copy."""
-    plan = stored(schedule(docs, seed=seed, id_col=id_col, text_col=text_col, **options).where("times > 0").select(F.col(id_col).alias("__id"), F.col("__shuffle"), "times"), "mixed")
-    # Repeated rows agree in id and shuffle key, so in their order they may differ in times: count them out by number.
-    return _hand_out(docs.withColumn("__shuffle", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))), plan, id_col)
-
-
-def _hand_out(docs: DataFrame, plan: DataFrame, id_col: str) -> DataFrame:
-    same = [F.col("__id"), F.col("__shuffle")]
-    plan = plan.withColumn("__k", F.row_number().over(Window.partitionBy(*same).orderBy("times")))
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__k", F.row_number().over(Window.partitionBy(F.col(id_col), F.col("__shuffle")).orderBy(F.lit(0))))
-    plan = plan.withColumnRenamed("__id", "__pid").withColumnRenamed("__shuffle", "__ps").withColumnRenamed("__k", "__pk")
-    out = keyed.join(plan, F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__shuffle") == F.col("__ps")) & (F.col("__k") == F.col("__pk")))
-    return out.withColumn("__epoch", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns).drop("__shuffle")
+    taken = schedule(docs, seed=seed, id_col=id_col, text_col=text_col, **options).groupBy(F.col(id_col).alias("__i"), F.col("__shuffle").alias("__s"), F.col("source").alias("__o")).agg(F.sum("times").alias("__t"), F.count("*").alias("__n"))
+    taken = stored(taken.where("__t > 0"), "mixed")
+    n, most = taken.agg(F.count("*"), F.max("__n")).first()
+    source = options.get("source_col", "source")
+    keyed = docs.withColumn("__shuffle", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
+    joined = keyed.join(small(taken, n), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__shuffle") == F.col("__s")) & F.col(source).eqNullSafe(F.col("__o")))
+    times = F.col("__t")
+    if (most or 1) > 1:  # rows that agree in id, text and source share what was taken of them
+        same = Window.partitionBy("__i", "__s", "__o").orderBy(F.lit(0))
+        joined = joined.withColumn("__k", F.when(F.col("__n") > 1, F.row_number().over(same)).otherwise(1))
+        times = F.floor(F.col("__t") / F.col("__n")) + (F.col("__k") <= F.col("__t") % F.col("__n")).cast("int")
+    return joined.withColumn("__copies", times.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)

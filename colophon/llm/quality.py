@@ -140,19 +140,19 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, id_col: str
     return Ranker(x[order], good[order])
 
 
-def scored(docs: DataFrame, ranker: Ranker | None, *, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (all, if None) with ``score``."""
+def scored(docs: DataFrame, ranker: Ranker | None, *, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """``keep`` columns (all, if None) with the score as ``name``."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
     columns = docs.columns if keep is None else keep
-    picked = docs.select(*columns, F.col(text_col).alias("text")) if text_col != "text" or "text" not in columns else docs.select(*columns)
-    shape = docs.select(*columns).withColumn("score", F.lit(0.0)).schema
+    picked = docs.select(*columns, F.col(text_col).alias("__text"))
+    shape = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "text"):
-                view = text_view(part.column(part.schema.get_field_index("text")))
+            for part in slices(batch, "__text"):
+                view = text_view(part.column(len(columns)))
                 s = model.score(features(*view)) if model is not None else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in columns], pa.array(s)], names=[*columns, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(s)], names=[*columns, name])
 
     return picked.mapInArrow(run, shape)

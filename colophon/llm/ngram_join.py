@@ -7,12 +7,13 @@ prefixes, so only prefixes are dealt out by shingle; length and positional
 filters drop pairs that cannot reach it, a suffix filter bounds what is left,
 and every pair that remains is verified once, on whole sets.
 
-Components need no more links than connect them, so the pairs come in two
-rounds.  In the first, each shingle's list is compared with its shortest member
-only (a star, linear in the list).  In the second, all pairs of a list whose
-members are still in different components are compared.  No link between
-components can be missed, and a group of n near copies costs n comparisons
-instead of n*n.
+Components need no more links than connect them, so pairs come in rounds.  In
+the first ones, one member of each component in a shingle's list is compared
+with the list's leader, both picked by a hash that changes with the round (a
+star, linear in the list).  In the last, all pairs of a list whose members are
+still in different components are compared.  No link between components can be
+missed, and a group of near copies costs some comparisons per copy instead of
+one per pair.
 
 Documents with equal sets are one node from the start, named by a 64-bit hash
 of the set; shingles are compared by 64-bit hashes.
@@ -34,16 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.components import components
-from colophon.llm.storage import drop_stored, partitions, stored
+from colophon.llm.storage import drop_stored, partitions, release, small, stored
 from colophon.llm.textblocks import mix64, shingle_hashes, slices, sorted_sets, text_view, word_hashes, words
 
 CELLS, CHUNK = 1 << 20, 1 << 14
 FLUSH = 1_500_000
 BITS = 1 << 24
+ROUNDS = 4
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -221,34 +223,29 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch({"a": pa.array(two[:, 0]), "b": pa.array(two[:, 1])})
 
 
-def _stars(percent: int):
-    """Each list's members against its shortest member; a member too long for that begins a star of its own."""
+def _stars(percent: int, turn: int):
+    """In each list, one member per component against the list's leader; a hash that changes with ``turn`` picks both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got_a, got_b, lead = [], [], (None, 0, 0, 0)
+        lead = None  # of the list that may go on in the next batch
         for batch in batches:
-            token, node, n, place = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-            # Leaders are found list by list; lists are contiguous and sorted by size.
-            lead_node, lead_n, lead_place = np.empty_like(node), np.empty_like(n), np.empty_like(place)
-            cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else []
-            for lo, hi in zip(cuts, [*cuts[1:], len(token)]):
-                k = lo
-                if lead[0] == token[lo] and 100 * lead[2] >= percent * n[lo]:
-                    first = (lead[1], lead[2], lead[3])
-                else:
-                    first = (node[lo], n[lo], place[lo])
-                while k < hi:
-                    end = lo + int(np.searchsorted(n[lo:hi], 100 * first[1] // percent, side="right"))
-                    end = max(end, k + 1)
-                    lead_node[k:end], lead_n[k:end], lead_place[k:end] = first
-                    lead = (token[lo], *first)
-                    k = end
-                    if k < hi:
-                        first = (node[k], n[k], place[k])
-            fit = (node != lead_node) & _may_link(lead_n, lead_place, n, place, percent)
-            got_a.append(lead_node[fit])
-            got_b.append(node[fit])
-        yield _pairs(np.concatenate(got_a or [np.zeros(0, np.int64)]), np.concatenate(got_b or [np.zeros(0, np.int64)]))
+            block = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            if not len(block[0]):
+                continue
+            if lead is not None:
+                block = [np.concatenate([x[None], y]) for x, y in zip(lead, block)]
+            token, node, n, place, component = block
+            priority = mix64(node.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F * (turn + 1) % (1 << 64)))
+            order = np.lexsort((priority, component, token))
+            first = np.concatenate([[True], (token[order][1:] != token[order][:-1]) | (component[order][1:] != component[order][:-1])])
+            chosen = order[first]
+            chosen = chosen[np.lexsort((priority[chosen], token[chosen]))]
+            t = token[chosen]
+            head = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
+            leader = chosen[np.repeat(head, np.diff(np.concatenate([head, [len(t)]])))]
+            lead = [x[leader[-1]] for x in block]
+            fit = (component[leader] != component[chosen]) & _may_link(n[leader], place[leader], n[chosen], place[chosen], percent)
+            yield _pairs(node[leader[fit]], node[chosen[fit]])
 
     return run
 
@@ -263,9 +260,8 @@ def _cross(percent: int):
             if rest is not None:
                 block = [np.concatenate([x, y]) for x, y in zip(rest, block)]
             token = block[0]
-            # The last list may go on in the next batch.
-            end = int(np.searchsorted(token != token[-1], False)) if not (token != token[-1]).all() else len(token)
-            cut = len(token) - int((token == token[-1]).sum())
+            # The last list may go on in the next batch; lists are contiguous.
+            cut = len(token) - int((token == token[-1]).sum()) if len(token) else 0
             rest = [x[cut:] for x in block]
             yield from _cross_lists([x[:cut] for x in block], percent)
         if rest is not None:
@@ -378,10 +374,30 @@ def _verify(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose whole sets reach the threshold, each compared once."""
+def verified(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs whose whole sets reach the threshold, each compared once.
+
+    Sets are made again from the texts of one document per node that a pair
+    names; of each pair, one set travels to the other.
+    """
+    sc = plain.sparkSession.sparkContext
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.where("doc is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")), "wanted")
+    bitmap = sc.broadcast(id_bitmap(wanted.select("doc")))
+    sets = plain.mapInArrow(_sets(width, bitmap), "doc long, node long, members binary")
+    sets = stored(sets.join(small(wanted, wanted.count()), ["doc", "node"], "left_semi").select("node", "members"), "sets")
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left.hint("shuffle_merge"), "a").join(right.hint("shuffle_merge"), "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, overlap long")
+    sent = left.join(small(pairs, pairs.count()), "a").select("a", "b", "x")
+    out = stored(sent.join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, overlap long").select("a", "b"), "links")
+    drop_stored(sets)
+    drop_stored(wanted)
+    return out
+
+
+def _told(lists: DataFrame, known: DataFrame | None, buckets: int) -> DataFrame:
+    """List entries with their component so far, dealt and sorted by list."""
+    told = lists.withColumn("component", F.col("node")) if known is None else lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return told.select("token", "node", "n", "place", "component").repartition(buckets, "token").sortWithinPartitions("token", "n", "node")
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -397,22 +413,42 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, id_co
     buckets = max(partitions(spark), int(entries * (100 - percent) // 100 // 2_000_000))
     dealt = plain.where("doc is not null").mapInArrow(_deal(width, percent, buckets, frequencies), "bucket int, packed binary").repartition(buckets, "bucket")
     lists = stored(dealt.mapInArrow(_lists, "token long, node long, n int, place int"), "lists")
-    # One document stands for each set that has a list entry.
-    wanted = nodes.join(lists.select("node").distinct(), "node", "left_semi").where("doc is not null").groupBy("node").agg(F.min("doc").alias("doc"))
-    wanted = stored(wanted, "wanted")
-    bitmap = sc.broadcast(id_bitmap(wanted.select("doc")))
-    sets = plain.mapInArrow(_sets(width, bitmap), "doc long, node long, members binary")
-    sets = stored(sets.join(wanted.select("doc", "node"), ["doc", "node"], "left_semi").dropDuplicates(["node"]).select("node", "members"), "sets")
-    ordered = lists.repartition(buckets, "token").sortWithinPartitions("token", "n", "node")
-    stars = ordered.mapInArrow(_stars(percent), "a long, b long").distinct()
-    first = stored(components(stored(verified(stars, sets, percent).select("a", "b"), "links")), "first")
-    # Second round: lists whose members are not yet one component.
-    told = lists.join(first, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("component"))
-    crossing = told.repartition(buckets, "token").sortWithinPartitions("token", "n", "node").mapInArrow(_cross(percent), "a long, b long").distinct()
-    more = stored(verified(crossing, sets, percent).select("a", "b"), "more")
-    drop_stored(sets)
-    both = stored(components(first.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "both")
+    release(spark)
+    # Rounds of stars, until they have nothing left to join.
+    known, links = None, None
+    for turn in range(ROUNDS):
+        stars = stored(_told(lists, known, buckets).mapInArrow(_stars(percent, turn), "a long, b long").distinct(), "stars")
+        found = verified(stars, plain, nodes, width, percent)
+        if not found.limit(1).count():
+            break
+        links = found if links is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
+        known = stored(components(links), "known")
+        release(spark)
+    if known is None:
+        known = stored(components(spark.createDataFrame([], "a long, b long")), "known")
+    # Last round: all pairs of a list that are still in different components.
+    crossing = stored(_told(lists, known, buckets).mapInArrow(_cross(percent), "a long, b long").distinct(), "crossing")
+    more = verified(crossing, plain, nodes, width, percent)
+    release(spark)
+    both = stored(components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "both")
     grouped = nodes.join(both, "node", "left").select("doc", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("__class"))
     least = grouped.where("__class is not null").groupBy("__class").agg(F.min("doc").alias("least"))
     out = grouped.join(least, "__class", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNull(), F.lit(None)).otherwise(F.coalesce("least", "doc")).cast("long").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near copies: of each component the least id stays, of rows with one id the first by text.
+
+    Rows with a null id are left alone.
+    """
+    groups = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), "component_id"), "groups")
+    gone = stored(groups.where("__id != component_id").select("__id").distinct(), "gone")
+    kept = docs.join(small(gone, gone.count()), F.col(id_col) == F.col("__id"), "left_anti")
+    repeated = groups.groupBy("__id").count().where("count > 1 and __id is not null").select("__id")
+    n = repeated.count()
+    if not n:
+        return kept
+    again = kept.join(small(repeated, n), F.col(id_col) == F.col("__id"), "left_semi")
+    first = again.withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__k = 1").drop("__k")
+    return kept.join(small(repeated, n), F.col(id_col) == F.col("__id"), "left_anti").union(first)

@@ -9,12 +9,14 @@ that folder: it may be on any file system.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -53,10 +55,25 @@ def drop_stored(df: DataFrame) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no plan needs: its cleaner waits for the driver's garbage collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: A table counted to have no more rows than this may be broadcast, if its rows are a few numbers each.
+BROADCAST_ROWS = 400_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` for a join: broadcast if it was counted and is small, else left to a shuffle."""
+    return broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def ranked(df: DataFrame, order: list, sums: tuple[str, ...] = (), label: str = "ranked") -> DataFrame:
     """Add ``rank`` (0-based place in the global order) and ``<c>_before`` for each of ``sums``.
 

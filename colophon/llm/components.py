@@ -3,19 +3,49 @@
 Each round points every node at the least node it knows of: the large star moves
 a node's greater neighbours to its least one, the small star its lesser ones.
 The link table never grows, ends as one star per component, and is stored
-between rounds.  Only two numbers per round reach the driver.
+between rounds.  Only two numbers per round reach the driver.  A table that was
+counted and is small goes through one task instead, with the same result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.storage import drop_stored, stored
 
+#: Tables counted to have no more links than this (16 bytes each) are joined in one task; larger ones in rounds.
+FEW = 500_000
+
+
+def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for batch in batches:
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if x != y:
+                x, y = find(parent.setdefault(x, x)), find(parent.setdefault(y, y))
+                parent[max(x, y)] = min(x, y)
+    if parent:
+        yield pa.record_batch({"node": pa.array(list(parent), pa.int64()), "component": pa.array([find(x) for x in parent], pa.int64())})
+
+
+def _in_one_task(links: DataFrame) -> DataFrame:
+    return links.coalesce(1).mapInArrow(_join, "node long, component long")
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b", label: str = "components") -> DataFrame:
     """``node``, ``component`` (its least node) for every node of a link; ``links`` in either direction, repeats allowed."""
+    if links.count() <= FEW:
+        return _in_one_task(links.select(F.col(a).cast("long"), F.col(b).cast("long")))
     at = stored(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), label)
     state = _state(at)
     while state[0]:

@@ -45,6 +45,7 @@ from colophon.llm.textblocks import mix64, shingle_hashes, slices, sorted_sets,
 CELLS, CHUNK = 1 << 20, 1 << 14
 FLUSH = 1_500_000
 BITS = 1 << 24
+SKETCH = 1 << 12
 ROUNDS = 4
 
 
@@ -341,7 +342,30 @@ def _sets(width: int, bitmap):
                 values, at = shingle_sets(part, "text", width)
                 offsets = pa.array((at * 8).astype(np.int32)).buffers()[1]
                 members = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, offsets, pa.py_buffer(values.tobytes())])
-                yield pa.record_batch({"doc": part.column(0), "node": pa.array(set_keys(values, at)), "members": members})
+                sketches = pa.array([parity_sketch(values[lo:hi]) for lo, hi in zip(at[:-1], at[1:])], pa.binary())
+                yield pa.record_batch({"doc": part.column(0), "node": pa.array(set_keys(values, at)), "n": pa.array(np.diff(at)), "sketch": sketches, "members": members})
+
+    return run
+
+
+def parity_sketch(values: np.ndarray) -> bytes:
+    """SKETCH bits; each member flips one. Two sets differ in at least as many members as their sketches in bits."""
+    bit = (mix64(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def _close(percent: int):
+    """Pairs whose sketches leave room for the overlap that they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 4096):
+                part = batch.slice(lo, 4096)
+                n, m = (part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (2, 3))
+                x, y = (np.frombuffer(b"".join(s.as_buffer() for s in part.column(k)), np.uint64).reshape(len(n), -1) for k in (4, 5))
+                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                ok = pa.array((n + m - apart) // 2 >= least_overlap(n, m, percent))
+                yield pa.record_batch({"a": part.column(0).filter(ok), "b": part.column(1).filter(ok)})
 
     return run
 
@@ -378,17 +402,24 @@ def verified(pairs: DataFrame, plain: DataFrame, nodes: DataFrame, width: int, p
     """The pairs whose whole sets reach the threshold, each compared once.
 
     Sets are made again from the texts of one document per node that a pair
-    names; of each pair, one set travels to the other.
+    names. Sketches of fixed size meet first and drop pairs that differ in too
+    many members; of a pair that is left, one set travels to the other.
     """
     sc = plain.sparkSession.sparkContext
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.where("doc is not null").join(ends, "node", "left_semi").groupBy("node").agg(F.min("doc").alias("doc")), "wanted")
     bitmap = sc.broadcast(id_bitmap(wanted.select("doc")))
-    sets = plain.mapInArrow(_sets(width, bitmap), "doc long, node long, members binary")
-    sets = stored(sets.join(small(wanted, wanted.count()), ["doc", "node"], "left_semi").select("node", "members"), "sets")
+    sets = plain.mapInArrow(_sets(width, bitmap), "doc long, node long, n long, sketch binary, members binary")
+    sets = stored(sets.join(small(wanted, wanted.count()), ["doc", "node"], "left_semi").select("node", "n", "sketch", "members"), "sets")
+    side = lambda end, n, s: sets.select(F.col("node").alias(end), F.col("n").alias(n), F.col("sketch").alias(s))
+    met = side("a", "n", "x").join(small(pairs, pairs.count()), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    close = stored(met.mapInArrow(_close(percent), "a long, b long").distinct(), "close")
+    few = close.count()
     left, right = sets.select(F.col("node").alias("a"), F.col("members").alias("x")), sets.select(F.col("node").alias("b"), F.col("members").alias("y"))
-    sent = left.join(small(pairs, pairs.count()), "a").select("a", "b", "x")
-    out = stored(sent.join(right, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, overlap long").select("a", "b"), "links")
+    sent = left.join(small(close, few), "a").select("a", "b", "x")
+    asked = right.join(small(close.select("b").distinct(), few), "b", "left_semi")
+    out = stored(sent.join(asked, "b").select("a", "b", "x", "y").mapInArrow(_verify(percent), "a long, b long, overlap long").select("a", "b"), "links")
+    drop_stored(close)
     drop_stored(sets)
     drop_stored(wanted)
     return out
@@ -415,15 +446,19 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, id_co
     lists = stored(dealt.mapInArrow(_lists, "token long, node long, n int, place int"), "lists")
     release(spark)
     # Rounds of stars, until they have nothing left to join.
-    known, links = None, None
+    known, links, total = None, None, 0
     for turn in range(ROUNDS):
         stars = stored(_told(lists, known, buckets).mapInArrow(_stars(percent, turn), "a long, b long").distinct(), "stars")
         found = verified(stars, plain, nodes, width, percent)
-        if not found.limit(1).count():
+        joined = found.count()
+        if not joined:
             break
+        total += joined
         links = found if links is None else known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(found)
         known = stored(components(links), "known")
         release(spark)
+        if 20 * joined < total:  # hardly any progress: what is left is for the last round
+            break
     if known is None:
         known = stored(components(spark.createDataFrame([], "a long, b long")), "known")
     # Last round: all pairs of a list that are still in different components.

@@ -78,6 +78,8 @@ def test_filters_lose_nothing(percent):
         y = np.sort(rng.permutation(np.unique(np.concatenate([rng.choice(x, max(1, n - 2), replace=False), rng.choice(60, 2).astype(np.uint64) << np.uint64(58)]))))
         both = len(np.intersect1d(x, y))
         assert ngram_join.suffix_bound(x, y) >= both
+        apart = np.bitwise_count(*[np.frombuffer(ngram_join.parity_sketch(x), np.uint64) ^ np.frombuffer(ngram_join.parity_sketch(y), np.uint64)]).sum()
+        assert apart <= len(x) + len(y) - 2 * both
         linked = 100 * both >= percent * (len(x) + len(y) - both)
         assert linked == (both >= ngram_join.least_overlap(len(x), len(y), percent))
         if linked:
@@ -88,7 +90,7 @@ def test_filters_lose_nothing(percent):
             assert ngram_join._may_link(len(x), i, len(y), j, percent)
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(30)] + [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)] + [(5, 5), (7, 3)]
     parent = defaultdict(lambda: None)
@@ -106,3 +108,7 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in nodes}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    monkeypatch.setattr(components, "FEW", -1)  # the rounds
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in nodes}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0

@@ -6,13 +6,15 @@ and pairs that are better than what either has replace it (neighbours of
 neighbours become neighbours).  Edges at or above the threshold, checked in
 double precision, are links.
 
-A list that is full of links is saturated: it may hide more of them.  All
-vectors of a component with a saturated list are compared with each other in
-blocks, which emit link counts, never pairs.
+A list that is full of links is saturated: it may hide more of them, in its own
+component or in others.  Every vector with a saturated list is compared with all
+vectors in blocks, which emit link counts and the pairs of components that a
+link joins, never pairs of vectors.
 
 Recall is audited: a fixed number of vectors is compared with all others, in
-blocks; if less than ``least_recall`` of their links were found, the search is
-repeated with longer lists and more trees.
+blocks; if less than ``least_recall`` of their links were found, over all or per
+vector on average, the search is repeated with longer lists and more trees.  If
+the last search falls short too, all vectors are compared with all.
 
 Equal vectors are one node with a count from the start, so a vector that fills a
 third of the table costs one node.  The forest's medians come from a bounded
@@ -205,19 +207,54 @@ def _exact(threshold: float):
 
 
 def _block_counts(threshold: float):
-    """Rows of the first side against the second: weighted number of links of each, itself left out."""
+    """Saturated rows of side 0 against all of side 1: weighted numbers of links of both, and the pairs of components that links join."""
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
         rows, cols = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        if not rows.num_rows or not cols.num_rows:
+            rows = cols = table.slice(0, 0)
         node, other = rows.column("node").to_numpy(), cols.column("node").to_numpy()
-        hit = (_matrix(rows.column("u")) @ _matrix(cols.column("u")).T >= threshold) if len(node) and len(other) else np.zeros((len(node), len(other)), bool)
+        hit = (_matrix(rows.column("u")) @ _matrix(cols.column("u")).T >= threshold) if len(node) else np.zeros((0, 0), bool)
         hit &= node[:, None] != other[None, :]
-        return pa.table({"node": pa.array(node, pa.int64()), "n": pa.array((hit @ cols.column("m").to_numpy().astype(np.float64)).astype(np.int64), pa.int64())})
+        weight = lambda part: part.column("m").to_numpy().astype(np.float64)
+        rest = ~cols.column("full").to_numpy(zero_copy_only=False).astype(bool)  # the others are rows of their own
+        n = np.concatenate([hit @ weight(cols), (weight(rows) @ hit)[rest]]).astype(np.int64)
+        ends = np.concatenate([node, other[rest]])
+        mine, its = rows.column("component").to_numpy(), cols.column("component").to_numpy()
+        i, j = np.nonzero(hit & (mine[:, None] != its[None, :]))
+        joined = np.unique(np.stack([mine[i], its[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
+        ends, n = ends[n > 0], n[n > 0]
+        return pa.table({
+            "node": pa.array(np.concatenate([ends, joined[:, 0]]), pa.int64()),
+            "n": pa.array(np.concatenate([n, np.zeros(len(joined), np.int64)]), pa.int64()),
+            "to": pa.concat_arrays([pa.nulls(len(ends), pa.int64()), pa.array(joined[:, 1], pa.int64())]),
+        })
 
     return run
 
 
+def _settled(nodes: DataFrame, links: DataFrame, groups: DataFrame, full: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``node``, ``component``, ``n``: all links of the ``full`` nodes by comparison with all nodes, those between other nodes from ``links``."""
+    spark = nodes.sparkSession
+    every = nodes.select("node", "dim", "m", "u").join(groups, "node", "left").join(full.select("node", F.lit(True).alias("full")), "node", "left")
+    every = stored(every.withColumn("component", F.coalesce("component", "node")).withColumn("full", F.coalesce("full", F.lit(False))), "every")
+    sizes = every.groupBy("dim").agg(F.count_if("full").alias("few"), F.count("*").alias("all")).collect()  # one row per vector length
+    tiles = spark.createDataFrame([(r["dim"], -(-r["few"] // block), -(-r["all"] // block)) for r in sizes], "dim int, is int, js int")
+    cut = every.join(F.broadcast(tiles.where("`is` > 0")), "dim").withColumn("h", F.xxhash64("node"))
+    names = ["dim", "node", "m", "u", "component", "full"]
+    rows = cut.where("full").select(*names, F.pmod("h", F.col("is")).cast("int").alias("i"), F.explode(F.expr("sequence(0, js - 1)")).alias("j"), F.lit(0).alias("side"))
+    cols = cut.select(*names, F.explode(F.expr("sequence(0, `is` - 1)")).alias("i"), F.pmod("h", F.col("js")).cast("int").alias("j"), F.lit(1).alias("side"))
+    found = stored(rows.union(cols).groupBy("dim", "i", "j").applyInArrow(_block_counts(threshold), "node long, n long, to long"), "found")
+    counted = found.where("to IS NULL").groupBy("node").agg(F.sum("n").alias("n"))
+    both = links.union(links.select("b", "a")).distinct().join(full.select(F.col("node").alias("a")), "a", "left_anti")
+    listed = both.join(every.where("NOT full").select(F.col("node").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("k"))
+    merged_ = components(found.where("to IS NOT NULL").select(F.col("node").alias("a"), F.col("to").alias("b")).distinct())
+    merged_ = merged_.select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    known = every.select("node", "component").join(merged_, "component", "left").join(listed, "node", "left").join(counted, "node", "left")
+    return stored(known.select("node", F.coalesce("whole", "component").alias("component"), (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("n")), "known")
+
+
 def _audit(threshold: float, asked: np.ndarray, units: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(asked), dtype=np.int64)
@@ -280,21 +317,13 @@ def near_vectors(
         links = stored(double.mapInArrow(_exact(threshold), "a long, b long"), "links")
         groups = stored(components(links), "groups")
         full = edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("low") >= threshold - SLACK)).select("node")
-        crowded = groups.join(full, "node", "left_semi").select("component").distinct()
-        members = groups.join(crowded, "component", "left_semi").join(nodes.select("node", "m", "u", "dim"), "node")
-        sized = groups.groupBy("component").agg(F.count("*").alias("size")).join(crowded, "component", "left_semi").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-        cut = members.join(sized, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        other = F.explode(F.expr("sequence(0, blocks - 1)"))
-        rows = cut.select("component", "node", "m", "u", F.col("own").alias("i"), other.alias("j"), F.lit(0).alias("side"))
-        cols = cut.select("component", "node", "m", "u", other.alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"))
-        counted = rows.union(cols).groupBy("component", "i", "j").applyInArrow(_block_counts(threshold), "node long, n long").groupBy("node").agg(F.sum("n").alias("n"))
-        both = links.union(links.select("b", "a")).distinct()
-        listed = both.join(nodes.select(F.col("node").alias("b"), "m"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("m").alias("k"))
-        known = groups.join(listed, "node", "left").join(counted, "node", "left").select("node", "component", F.coalesce("n", "k", F.lit(0)).alias("n"))
-        known = stored(known, "known")
+        known = _settled(nodes, links, groups, full, threshold, block)
         recall = _recall(known, nodes, asked, threshold)
         if recall >= least_recall:
             break
+        if attempt == 2:
+            known = _settled(nodes, links, groups, nodes.select("node"), threshold, block)
+            recall = _recall(known, nodes, asked, threshold)
         k, trees = 2 * k, 2 * trees
     per_node = nodes.join(known, "node", "left").select("key", "dim", F.coalesce("component", "node").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("m") - 1).alias("n_links"))
     found = units.select("vec", "key", "dim").join(per_node, ["key", "dim"]).select("vec", "n_links", "component")
@@ -311,7 +340,7 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recall(known: DataFrame, nodes: DataFrame, asked: list, threshold: float) -> float:
-    """Share of the asked vectors' true links that were found; 1 if they have none."""
+    """Share of the asked vectors' true links that were found, over all or as the mean of each, whichever is less; 1 if they have none."""
     true, found = {}, {}
     for dim in {r["dim"] for r in asked}:
         few = [r for r in asked if r["dim"] == dim]
@@ -320,5 +349,5 @@ def _recall(known: DataFrame, nodes: DataFrame, asked: list, threshold: float) -
             true[r["node"]] = r["n"]
     for r in known.where(F.col("node").isin([r["node"] for r in asked])).collect():  # as many rows as asked at most
         found[r["node"]] = r["n"]
-    total = sum(true.values())
-    return sum(min(found.get(x, 0), n) for x, n in true.items()) / total if total else 1.0
+    each = [(min(found.get(x, 0), n), n) for x, n in true.items() if n]
+    return float(min(sum(f for f, _ in each) / sum(n for _, n in each), np.mean([f / n for f, n in each]))) if each else 1.0

@@ -80,6 +80,20 @@ def test_vectors_against_brute_force(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got) and {r.audit_recall for r in got} == {1.0}
 
 
+def test_links_between_saturated_groups(spark):
+    """Two tight groups larger than any list, with links between them that no list has room for."""
+    rng = np.random.default_rng(4)
+    a, far = np.eye(16)[0], np.eye(16)[1]
+    b = 0.92 * a + np.sqrt(1 - 0.92**2) * far
+    near = lambda v: (v + 0.01 * rng.standard_normal(16)).tolist()
+    rows = [(k, near(a)) for k in range(60)] + [(100 + k, near(b)) for k in range(60)] + [(200 + k, rng.standard_normal(16).tolist()) for k in range(200)]
+    want = brute(rows)
+    for options in ({}, {"block": 32}):
+        got = nn_descent.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=6, leaf=64, **options).collect()
+        assert {r.vec_id: (r.n_links, r.component_id) for r in got} == want
+    assert want[100][1] == 0 and sum(r.kept for r in got) == len({c for _, c in want.values()})
+
+
 def test_code_is_optimal_and_limited():
     counts = np.array([0, 5, 9, 12, 13, 16, 45, 0])
     assert int((huffman.code_lengths(counts).astype(int) * counts).sum()) == 224  # a textbook example

@@ -1,9 +1,11 @@
 """Secret scans: patterns, and novelty against a primed compressor.
 
 Base patterns find assignments, access keys and long hex runs.  The novelty
-method adds strings that no pattern names: a candidate (a long mixed string with
-a sensitive word shortly before it) is compressed with zstandard primed with the
-text around it and a dictionary of common identifiers.  Its marginal compressed
+method adds strings that no pattern names: every candidate (a long mixed run with
+a sensitive word within ``CONTEXT`` characters before or after it, on any line;
+also its parts between equals signs and what follows a sensitive word in it) is
+compressed with zstandard primed with the text around it and a dictionary of
+common identifiers.  Its marginal compressed
 bytes per byte tell how much of it neither the code nor the dictionary explains;
 incompressible candidates are reported as ``novel``.
 
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +33,10 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
-SENSITIVE = re.compile(r"(?:passw|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer)[^\n]{0,40}?([A-Za-z0-9+/_=.-]{16,})", re.ASCII | re.IGNORECASE)
+SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer", re.ASCII | re.IGNORECASE)
+RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+#: Part of a run between equals signs; those at the end of the run are padding.
+PART = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:=+$)?")
 #: A document without any of these has no span of any kind; scanned by a linear-time automaton.
 _ANY = r"(?i:passw|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer)|AKIA[A-Z0-9]{16}|[0-9a-f]{24}"
 #: Words that code and prose about credentials repeat: strings made of them are no news.
@@ -57,14 +63,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Runs near a sensitive word, in the order of the text; parts of a run before the run, then what follows a word in it."""
+    words = [m.span() for m in SENSITIVE.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
+    for m in RUN.finditer(text) if words else ():
+        s, e = m.span()
+        near = range(bisect_left(ends, s - CONTEXT), bisect_right(starts, e + CONTEXT))
+        if near:
+            parts = [(s + x.start(), s + x.end()) for x in PART.finditer(m[0])]
+            yield from dict.fromkeys([*parts, (s, e), *[(ends[k], e) for k in near if s < ends[k] <= e - 16]])
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    out, at = [], 0
-    while m := SENSITIVE.search(text, at):
-        at = m.start() + 1
-        s, e = m.span(1)
-        c = m[1]
+    out, ordered, reach = [], sorted(taken), 0
+    starts, furthest = [a for a, _, _ in ordered], []
+    for _, _, b in ordered:
+        furthest.append(reach := max(reach, b))
+    for s, e in candidates(text):
+        c = text[s:e]
         mixed = any(x.isdigit() for x in c) and any(x.isalpha() for x in c)
-        if not mixed or any(a < e and s < b for a, _, b in taken) or any(a < e and s < b for a, _, b in out):
+        k = bisect_left(starts, e)
+        if not mixed or (k and furthest[k - 1] > s) or (out and out[-1][2] > s):  # ends in ``out`` never go back
             continue
         if marginal_bytes(c, text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]) >= NOVELTY * len(c):
             out.append((s, 3, e))

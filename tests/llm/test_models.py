@@ -132,6 +132,17 @@ def test_novelty_reports_what_nothing_explains():
     assert secrets.scan(SAMPLES[-1])[1] == [] and secrets.scan(SAMPLES[8])[1] == []
 
 
+SECRET = "k3J9xQ7vLm2PzR8tYw5N"
+
+
+@pytest.mark.parametrize("text", [f"secret_for_payment_gateway = '{SECRET}'", f"private_key_of_service_account: {SECRET}", f"AUTHENTICATION_PROVIDER = {SECRET}", f"the passphrase\nis on a line of its own, some words after:\n\n{SECRET}", f"{SECRET}\nis the passphrase", f"bearer_of_some_other_name={SECRET}"])
+def test_every_run_near_a_sensitive_word_is_measured(text):
+    base, every = secrets.scan(text)
+    assert base == [] and [(text[s:e], k) for s, k, e in every] == [(SECRET, 3)]
+    assert secrets.redact(text, every) == text.replace(SECRET, "[SECRET]")
+    assert secrets.scan(SECRET)[1] == [] and len(secrets.scan(f"{text} {SECRET[::-1]}")[1]) == 2
+
+
 def test_scan_table(spark, none):
     df = spark.createDataFrame([(k, t, None, None, None, 1, None, None) for k, t in enumerate(SAMPLES)], SHAPE)
     for r in secrets.scanned(df).collect():

@@ -6,11 +6,11 @@ either edge.  Whether it is one depends on the k-mer alone, never on its
 neighbours, so an insertion elsewhere moves anchors but doesn't change them, and
 there is one in every ``k - s`` consecutive k-mers.
 
-A fingerprint holds the ``keep`` anchors with the least hashes, each with the
-word position of its first occurrence: ``HASH:POSITION`` joined by commas.  Two
-fingerprints are as alike as the share of common hashes among the ``keep`` least
-of both, an estimate of the Jaccard similarity of all anchors; the positions
-align the common ones.
+A fingerprint holds all anchors by ascending hash, each with the word position of
+its first occurrence: ``HASH:POSITION`` joined by commas; it grows with the text.
+Two fingerprints are as alike as the Jaccard similarity of their hashes; the
+positions align the common ones.  ``keep`` leaves the least hashes only, for
+callers that want a sketch: likeness is then an estimate.
 
 Words are runs without ASCII white space.  Edge cases: a null text counts as
 empty; without words the fingerprint is empty, alike (1) to empty ones only;
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from colophon.llm.storage import partitions
 
-K, S, KEEP = 4, 2, 64
+K, S = 4, 2
 ANCHORS = "array<struct<h:bigint,p:int>>"
 
 
@@ -34,8 +34,8 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def anchors(text: Column, k: int = K, s: int = S, keep: int = KEEP) -> Column:
-    """The kept anchors of ``text``, ascending by hash: array of (h, p)."""
+def anchors(text: Column, k: int = K, s: int = S, keep: int | None = None) -> Column:
+    """The anchors of ``text`` (all, or the ``keep`` least), ascending by hash: array of (h, p)."""
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
     def hashed(h: Column) -> Column:
@@ -53,7 +53,8 @@ def anchors(text: Column, k: int = K, s: int = S, keep: int = KEEP) -> Column:
         return _let(F.transform(_let(picked, lambda x: F.when(F.size(x) > 0, x).otherwise(all_)), named), least)
 
     def least(found: Column) -> Column:
-        return _let(F.sort_array(found), lambda a: F.slice(F.filter(a, lambda x, i: (i == 0) | (x["h"] != a[F.greatest(i - 1, F.lit(0))]["h"])), 1, keep))
+        distinct = lambda a: F.filter(a, lambda x, i: (i == 0) | (x["h"] != a[F.greatest(i - 1, F.lit(0))]["h"]))
+        return _let(F.sort_array(found), lambda a: distinct(a) if keep is None else F.slice(distinct(a), 1, keep))
 
     return _let(F.transform(words, lambda w: F.xxhash64(w)), hashed)
 
@@ -69,19 +70,25 @@ def from_string(text: Column) -> Column:
     return F.sort_array(F.transform(parts, lambda x: F.struct(signed(x).alias("h"), F.substring(x, 18, 12).cast("int").alias("p"))))
 
 
-def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
-    """0 to 1, from two arrays of anchors."""
+def likeness(a: Column, b: Column, keep: int | None = None) -> Column:
+    """0 to 1, from two arrays of anchors (of the ``keep`` least each, if given)."""
     x, y = F.transform(a, lambda e: e["h"]), F.transform(b, lambda e: e["h"])
     both = lambda xs: F.slice(F.sort_array(F.array_union(xs["x"], xs["y"])), 1, keep)
     pair = F.struct(x.alias("x"), y.alias("y"))
-    share = _let(pair, lambda p: _let(both(p), lambda u: F.size(F.array_intersect(u, F.array_intersect(p["x"], p["y"]))) / F.size(u)))
+    if keep is None:
+        share = _let(pair, lambda p: _let(F.size(F.array_intersect(p["x"], p["y"])), lambda n: n / (F.size(p["x"]) + F.size(p["y"]) - n)))
+    else:
+        share = _let(pair, lambda p: _let(both(p), lambda u: F.size(F.array_intersect(u, F.array_intersect(p["x"], p["y"]))) / F.size(u)))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(share)
 
 
 def aligned(a: Column, b: Column) -> Column:
     """Word positions of the common anchors in both texts: array of (p, q) in the order of the first."""
-    one = lambda x: F.filter(b, lambda y: y["h"] == x["h"])
-    return F.sort_array(F.flatten(F.transform(a, lambda x: F.transform(one(x), lambda y: F.struct(x["p"].alias("p"), y["p"].alias("q"))))))
+    side = lambda xs, k: F.transform(xs, lambda x: F.struct(x["h"].alias("h"), F.lit(k).alias("side"), x["p"].alias("p")))
+    before = lambda u, i: u[F.greatest(i - 1, F.lit(0))]
+    # Each hash is in a side once: common ones are neighbours in the order of both.
+    pairs = lambda u: F.transform(u, lambda x, i: F.when((i > 0) & (before(u, i)["h"] == x["h"]), F.struct(before(u, i)["p"].alias("p"), x["p"].alias("q"))))
+    return F.sort_array(F.filter(_let(F.sort_array(F.concat(side(a, 0), side(b, 1))), pairs), lambda x: x.isNotNull()))
 
 
 def with_next(docs: DataFrame, value, name: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

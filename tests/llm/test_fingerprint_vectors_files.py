@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from colophon.llm import fingerprint, huffman, nn_descent
 
@@ -40,6 +41,20 @@ def test_anchor_rule(spark):
     assert all(r[0] == 1.0 and r[1] for r in both)
 
 
+def test_long_texts_keep_every_anchor(spark):
+    """A passage that two long texts share is aligned, and likeness is that of all anchors."""
+    one, two, shared = ([f"{c}{k}" for k in range(n)] for c, n in (("a", 5000), ("b", 4000), ("s", 80)))
+    texts = " ".join(one[:3000] + shared + one[3000:]), " ".join(two[:700] + shared + two[700:])
+    df = spark.createDataFrame([texts], "a string, b string")
+    a, b = fingerprint.anchors(df.a), fingerprint.anchors(df.b)
+    row = df.select(a.alias("a"), b.alias("b"), fingerprint.aligned(a, b).alias("both"), fingerprint.likeness(a, b).alias("near"), fingerprint.aligned(a, fingerprint.anchors(F.lit(""))).alias("no"), fingerprint.likeness(a, b, 64).alias("few")).first()
+    p, q = {x.h: x.p for x in row.a}, {x.h: x.p for x in row.b}
+    assert len(p) > 2500 and [x.h for x in row.a] == sorted(p)
+    assert [tuple(x) for x in row.both] == sorted((p[h], q[h]) for h in p.keys() & q.keys())
+    assert len(row.both) > 30 and all(x.p - 3000 == x.q - 700 for x in row.both) and row.no == []
+    assert row.near == len(p.keys() & q.keys()) / len(p.keys() | q.keys()) and 0 <= row.few <= 1
+
+
 def test_empty_tables(spark, none, tmp_path):
     assert fingerprint.fingerprinted_edits(none).count() == 0
     assert nn_descent.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0

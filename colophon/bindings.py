@@ -3,8 +3,10 @@
 Each entry is one canonical table of the catalogue (works, assertions, external
 identifiers, ...) as a SELECT over ``part``, ``lineitem``, ``orders``, ``events``,
 ``customer``, ``supplier``, ``documents``, ``conversations`` and ``pages``.  An
-oracle prefixes them as CTEs; Spark gets them as DataFrames.  Keys are thinned by
-modulo so that every coverage state occurs.
+oracle prefixes them as CTEs; Spark gets them as DataFrames.  Every row of a
+source is used: an order is a translation, an edition, an etext or a witness, and
+the lines of four orders in a row are segments of the etext among them.  So that
+every coverage state occurs, each 13th work leaves its identifiers to the one before it.
 """
 
 from __future__ import annotations
@@ -28,22 +30,22 @@ TABLES = {
             UNION ALL SELECT p_partkey, 'n', 'NOTE', 'English Translation known' FROM part WHERE p_partkey % 11 = 0
         ) AS facts""",
     "external_identifiers": """
-        SELECT concat('W', CAST(l_partkey AS STRING)) AS entity_id,
+        SELECT concat('W', CAST(l_partkey - CASE WHEN l_partkey % 13 = 12 THEN 1 ELSE 0 END AS STRING)) AS entity_id,
                CASE l_suppkey % 7 WHEN 0 THEN 'GRETIL' WHEN 1 THEN 'PANDIT' WHEN 2 THEN 'DOI' WHEN 3 THEN 'ARCHIVE_ORG' WHEN 4 THEN 'DARSHANA' WHEN 5 THEN 'SANSKRITREE' ELSE 'OPENALEX' END AS scheme,
                concat('v', CAST(l_suppkey AS STRING)) AS value, min(l_shipdate) AS created_at
-        FROM lineitem WHERE l_orderkey % 37 = 0 GROUP BY l_partkey, l_suppkey""",
+        FROM lineitem GROUP BY l_partkey - CASE WHEN l_partkey % 13 = 12 THEN 1 ELSE 0 END, l_suppkey""",
     "translations": """
         SELECT concat('T', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, CASE o_orderkey % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'fre' ELSE 'ger' END AS language,
                o_orderpriority AS translator, CASE o_orderstatus WHEN 'F' THEN 'FULL' WHEN 'O' THEN 'PARTIAL' ELSE 'MACHINE' END AS completeness
-        FROM orders WHERE o_orderkey % 16 = 0""",
-    "editions": "SELECT concat('D', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderpriority AS publisher FROM orders WHERE o_orderkey % 16 = 1",
-    "etexts": "SELECT concat('E', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderstatus AS format FROM orders WHERE o_orderkey % 16 = 2",
-    "witnesses": "SELECT concat('X', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderstatus AS siglum FROM orders WHERE o_orderkey % 16 = 3",
-    "passages": "SELECT concat('P', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat('W', CAST(l_partkey AS STRING)) AS work_id, l_linenumber AS order_key FROM lineitem WHERE l_orderkey % 41 = 0",
+        FROM orders WHERE o_orderkey % 4 = 0""",
+    "editions": "SELECT concat('D', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderpriority AS publisher FROM orders WHERE o_orderkey % 4 = 1",
+    "etexts": "SELECT concat('E', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderstatus AS format FROM orders WHERE o_orderkey % 4 = 2",
+    "witnesses": "SELECT concat('X', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, o_orderstatus AS siglum FROM orders WHERE o_orderkey % 4 = 3",
+    "passages": "SELECT concat('P', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat('W', CAST(l_partkey AS STRING)) AS work_id, l_linenumber AS order_key FROM lineitem",
     "document_segments": """
-        SELECT concat('S', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat('E', CAST(l_orderkey AS STRING)) AS etext_id,
+        SELECT concat('S', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS id, concat('E', CAST(l_orderkey - l_orderkey % 4 + 2 AS STRING)) AS etext_id,
                CASE WHEN l_linenumber % 3 = 0 THEN 'manuscript' ELSE 'verse' END AS segment_type, CAST(l_linenumber AS BIGINT) AS ordinal
-        FROM lineitem WHERE l_orderkey % 16 = 2""",
+        FROM lineitem""",
     "ledger": """
         SELECT CAST(event_id AS BIGINT) AS cursor, concat('EV', CAST(event_id AS STRING)) AS event_id, CASE WHEN event_id % 3 = 0 THEN 'EntityCreated' WHEN event_id % 3 = 1 THEN 'AssertionAdded' ELSE event_type END AS event_type,
                CASE WHEN event_id % 10 = 0 THEN concat('PTCND_', CAST(user_id AS STRING)) ELSE concat('W', CAST(user_id AS STRING)) END AS entity_id, event_type AS title, md5(concat(event_type, CAST(event_id AS STRING))) AS digest, ts AS recorded_at

@@ -175,3 +175,17 @@ def test_pages_follow_each_other(spark):
             break
         after = (rows[-1].preferred_title, rows[-1].id)
     assert sorted(seen) == sorted(f"W{k}" for k in range(7)) and len(seen) == 7
+
+
+def test_canonical_tables_use_every_row(spark):
+    from colophon.bindings import table
+    from tests.conftest import DATA
+
+    lines, orders = (spark.read.parquet(f"{DATA}/{n}.parquet") for n in ("lineitem", "orders"))
+    n = {x: table(spark, DATA, x).count() for x in ("passages", "document_segments", "translations", "editions", "etexts", "witnesses")}
+    assert n["passages"] == n["document_segments"] == lines.count()
+    assert n["translations"] + n["editions"] + n["etexts"] + n["witnesses"] == orders.count() and min(n.values()) > 0
+    ids = table(spark, DATA, "external_identifiers")
+    given = lines.select(F.concat(F.lit("W"), (F.col("l_partkey") - (F.col("l_partkey") % 13 == 12).cast("int")).cast("string")), "l_suppkey").distinct()
+    assert ids.count() == ids.select("entity_id", "value").distinct().count() == given.count()
+    assert 0 < table(spark, DATA, "works").join(ids, F.col("id") == F.col("entity_id"), "left_anti").count()

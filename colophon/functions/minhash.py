@@ -1,28 +1,64 @@
-"""MinHash signatures over letter shingles, hashing every distinct shingle once."""
+"""MinHash signatures over letter shingles, hashing every distinct shingle once per worker."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions.text import shingles
 
+#: Shingles that a worker remembers the hashes of (4 bytes for each component); then it starts anew.
+KNOWN = 100_000
+_known: dict[int, tuple[dict[str, int], np.ndarray]] = {}
+
+
+def _hashes(shingle: str, components: int) -> list[int]:
+    """The first four bytes of the SHA-256 of the shingle, an underscore and the component's number."""
+    head, out = hashlib.sha256(f"{shingle}_".encode()), []
+    for i in range(components):
+        h = head.copy()
+        h.update(str(i).encode())
+        out.append(int.from_bytes(h.digest()[:4], "big"))
+    return out
 
-def _component(shingle: Column, i: int) -> Column:
-    return F.conv(F.substring(F.sha2(F.concat(shingle, F.lit(f"_{i}")).cast("binary"), 256), 1, 8), 16, 10).cast("long")
+
+def _least(words: list[str], components: int) -> np.ndarray:
+    best = np.full(components, np.iinfo(np.uint32).max, np.uint32)
+    for lo in range(0, len(words), 8192):
+        place, table = _known.get(components) or ({}, np.zeros((1024, components), np.uint32))
+        if len(place) > KNOWN:
+            place = {}
+        part = words[lo : lo + 8192]
+        for s in part:
+            if s not in place:
+                if len(place) == len(table):
+                    table = np.concatenate([table, np.zeros_like(table)])
+                table[len(place)] = _hashes(s, components)
+                place[s] = len(place)
+        _known[components] = place, table
+        best = np.minimum(best, table[[place[s] for s in part]].min(0))
+    return best if words else np.zeros(components, np.uint32)
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, components: int = 128, k: int = 3) -> DataFrame:
-    """``id``, ``signature``: per component the least hash of all shingles; zeros without any.
+    """``id``, ``signature`` of every row: per component the least hash of all shingles; zeros without any.
 
-    A shingle's hashes don't depend on the document, so they are made once per
-    distinct shingle of the corpus and joined back; the minimum doesn't mind repeats.
+    A shingle's hashes don't depend on the document, so a worker makes them once
+    for all its documents; the minimum doesn't mind repeats.  Nothing is shuffled.
     """
-    pairs = docs.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(shingles(F.coalesce(F.col(text_col), F.lit("")), k))).alias("shingle"))
-    known = pairs.select("shingle").distinct().select("shingle", *[_component(F.col("shingle"), i).alias(f"h{i}") for i in range(components)])
-    least = pairs.join(known, "shingle").groupBy("id").agg(*[F.min(f"h{i}").alias(f"h{i}") for i in range(components)])
-    rows = docs.select(F.col(id_col).alias("id")).join(least, "id", "left")
-    return rows.select("id", F.array(*[F.coalesce(f"h{i}", F.lit(0).cast("long")) for i in range(components)]).alias("signature"))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = [_least(batch.column(1)[n].as_py(), components).tolist() for n in range(batch.num_rows)]
+            yield pa.record_batch({"id": batch.column(0), "signature": pa.array(signed, pa.list_(pa.int64()))})
+
+    return docs.select(F.col(id_col).alias("id"), F.array_distinct(shingles(F.coalesce(F.col(text_col), F.lit("")), k)).alias("shingles")).mapInArrow(run, f"id {kind}, signature array<bigint>")
 
 
 def similarity(a: Column, b: Column) -> Column:

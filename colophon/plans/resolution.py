@@ -159,7 +159,7 @@ query("shingles", "SELECT doc_id, greatest(length(text) - 2, 0) AS n_shingles FR
 query("slugify", "SELECT doc_id, CASE WHEN s = '' THEN 'work' ELSE s END AS slug FROM (SELECT doc_id, substring(replace(lower(trim(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'))), ' ', '_'), 1, 60) AS s FROM documents)")(lambda t: t.documents.select("doc_id", x.slugify(F.col("text")).alias("slug")))
 query("timestamps", "SELECT cursor, strftime(recorded_at, '%Y-%m-%dT%H:%M:%SZ') AS at FROM ledger")(lambda t: t.ledger.select("cursor", x.iso_seconds(F.col("recorded_at")).alias("at")))
 query("rights_class", "SELECT scheme, value, CASE WHEN scheme IN ('GRETIL', 'ARCHIVE_ORG') THEN 'open' ELSE 'restricted' END AS rights FROM external_identifiers")(lambda t: t.external_identifiers.select("scheme", "value", F.when(F.col("scheme").isin("GRETIL", "ARCHIVE_ORG"), "open").otherwise("restricted").alias("rights")))
-query("minhash_signature")(lambda t: minhash.signatures(t.documents, "doc_id", "text", components=16))
+query("minhash_signature")(lambda t: minhash.signatures(t.documents, "doc_id", "text"))
 query("html_links")(lambda t: extract.html_links(t.pages, "page_id", "url", "html"))
 query("passages_split", "SELECT doc_id, unnest(range(1, len(p) + 1)) AS ordinal, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)")(
     lambda t: t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "line")).select("doc_id", (F.col("ordinal") + 1).cast("long").alias("ordinal"), "line")

@@ -189,3 +189,15 @@ def test_canonical_tables_use_every_row(spark):
     given = lines.select(F.concat(F.lit("W"), (F.col("l_partkey") - (F.col("l_partkey") % 13 == 12).cast("int")).cast("string")), "l_suppkey").distinct()
     assert ids.count() == ids.select("entity_id", "value").distinct().count() == given.count()
     assert 0 < table(spark, DATA, "works").join(ids, F.col("id") == F.col("entity_id"), "left_anti").count()
+
+
+def test_minhash_query_has_every_component(spark):
+    from colophon import plans
+    from tests.conftest import DATA
+
+    got = {r.id: r.signature for r in plans.QUERIES["minhash_signature"](spark, DATA).collect()}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()}
+    assert got.keys() == texts.keys() and {len(s) for s in got.values()} == {128}
+    for k in sorted(texts, key=lambda k: len(texts[k]))[:3]:
+        grams = {texts[k][i : i + 3] for i in range(len(texts[k]) - 2)}
+        assert got[k] == [min((int(hashlib.sha256(f"{s}_{i}".encode()).hexdigest()[:8], 16) for s in grams), default=0) for i in range(128)]

@@ -51,8 +51,9 @@ def prove(pairs: DataFrame) -> DataFrame:
 
 
 def term_violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(id, term): the source has the term and the translation none of its renderings. The glossary is a word list."""
-    joined = pairs.join(F.broadcast(glossary.limit(10_000)), F.contains(F.lower("source"), F.lower("term")))
+    """(id, term): the source has the term and the translation none of its renderings. A glossary of up to 10,000 terms is broadcast, a longer one met in pairs of partitions."""
+    terms = F.broadcast(glossary) if glossary.count() <= 10_000 else glossary
+    joined = pairs.join(terms, F.contains(F.lower("source"), F.lower("term")))
     return joined.where(~F.exists("renderings", lambda r: F.contains(F.lower("translation"), F.lower(r)))).select("id", "term")
 
 

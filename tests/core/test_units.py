@@ -201,3 +201,11 @@ def test_minhash_query_has_every_component(spark):
     for k in sorted(texts, key=lambda k: len(texts[k]))[:3]:
         grams = {texts[k][i : i + 3] for i in range(len(texts[k]) - 2)}
         assert got[k] == [min((int(hashlib.sha256(f"{s}_{i}".encode()).hexdigest()[:8], 16) for s in grams), default=0) for i in range(128)]
+
+
+def test_a_long_glossary_is_read_whole(spark):
+    terms = [f"t{k:05}" for k in range(12_000)]
+    glossary = spark.createDataFrame([(x, [x.upper() + "!"]) for x in terms], "term string, renderings array<string>")
+    pairs = spark.createDataFrame([(1, " ".join(terms), f"{terms[7]}! and no more"), (2, "nothing", "")], "id long, source string, translation string")
+    got = collation.term_violations(pairs, glossary).collect()
+    assert sorted((r.id, r.term) for r in got) == [(1, x) for x in terms if x != terms[7]]

@@ -1,29 +1,32 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Each source shuffles its documents by a seeded hash and serves them in that
-order, epoch after epoch.  A document's virtual finish time is its source's
-cumulative tokens divided by the source's target, taken at the document's middle
-token so that the cut is unbiased; all sources reach their targets, and the mix
-its budget, at virtual time 1.  Sorting by virtual time interleaves the sources
-in proportion, and the cut at 1 truncates the mix at the total budget.
+order, epoch after epoch.  A copy's virtual finish time is its source's
+cumulative words, this copy included, divided by the source's target weight (its
+target words).  All copies are range-sorted by virtual finish time, which
+interleaves the sources in proportion, and the mix is truncated at the total
+budget: before the first copy with which its words would be further from the
+budget than without.  A source so ends within a document of its target, but for
+what others leave of theirs.
 
 Targets are filled like water: sources share the budget by weight, a source
 stops at ``max_epochs`` times its own size, and what it leaves is shared again.
 
 Edge cases: a null source is a source of its own, last in order; null and empty
 texts have size 0 and are never taken; an empty table gives an empty mix;
-repeated rows are separate rows; other columns are carried by ``mix_rows``.
+repeated rows are separate rows, and rows that agree in all columns are
+interchangeable; other columns are carried by ``mix_rows``, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from colophon.llm.storage import partitions, ranked, small, stored
+from colophon.llm.storage import drop_stored, partitions, ranked
 
 WORDS = r"[\x20\x09-\x0D]+"
 
@@ -54,26 +57,37 @@ def fill_targets(sizes: list[int], weights: list[float], budget: float, max_epoc
     return target
 
 
-def schedule(docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per document: size, its source's size and target, words before it, and ``times`` it is taken.
+def schedule(
+    docs: DataFrame, *, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row per document: size, its source's size and target, the virtual finish time of its first copy, and ``times`` it is taken.
 
     ``weights`` repeat over the sources in code-point order, null last.  The
-    budget is the size of all documents.
+    budget is the size of all documents.  ``keep``: further columns to carry.
     """
     spark = docs.sparkSession
-    slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__shuffle"))
-    rows = ranked(slim, [F.col("source").asc_nulls_last(), F.col("__shuffle"), F.col(id_col).asc_nulls_last(), F.col("size")], ("size",), "mix")
+    slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__shuffle"), *keep)
+    rows = ranked(slim, [F.col("source").asc_nulls_last(), F.col("__shuffle"), F.col(id_col).asc_nulls_last(), F.col("size"), *keep], ("size",), "mix")
     # One row per source: weights are handed out in order on the driver, as the mix's own configuration.
     per = sorted(rows.groupBy("source").agg(F.sum("size").alias("n"), F.min("size_before").alias("first")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    targets = fill_targets([r["n"] for r in per], [weights[k % len(weights)] for k in range(len(per))], sum(r["n"] for r in per), max_epochs)
+    budget = sum(r["n"] for r in per)
+    targets = fill_targets([r["n"] for r in per], [weights[k % len(weights)] for k in range(len(per))], budget, max_epochs)
     shape = StructType([StructField("source", StringType()), StructField("source_size", LongType()), StructField("target", DoubleType()), StructField("__first", LongType())])
     table = spark.createDataFrame([(r["source"], r["n"], float(t), r["first"]) for r, t in zip(per, targets)], shape)
     rows = rows.withColumnRenamed("source", "__source")
-    rows = rows.join(table, rows["__source"].eqNullSafe(table["source"]))
-    # Middle of the document in words of epoch 0; epoch e adds e * source_size.  Taken while that is within the target.
-    middle = F.col("size_before") - F.col("__first") + F.col("size") / 2
-    times = F.when(F.col("size") > 0, F.greatest(F.lit(0), F.least(F.lit(max_epochs), F.floor(F.try_divide(F.col("target") - middle, F.col("source_size"))) + 1))).otherwise(0)
-    return rows.select(id_col, "source", "size", "source_size", "target", "__shuffle", F.try_divide(middle, F.col("target")).alias("virtual_finish"), times.cast("int").alias("times"))
+    rows = rows.join(table, rows["__source"].eqNullSafe(table["source"])).drop("__source")
+    # Words of the source up to this copy's end; epoch e adds e times the source's size.
+    finish = lambda epoch: F.try_divide(F.col("size_before") - F.col("__first") + F.col("size") + epoch * F.col("source_size"), F.col("target"))
+    # Order of the mix: virtual finish time, then the document's place, which is unique, then the epoch.
+    key = lambda epoch: F.struct(finish(epoch).alias("finish"), F.col("rank").alias("place"), epoch.cast("int").alias("epoch"))
+    copies = rows.where("size > 0").select("size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), key)).alias("key")).select("size", "key.*")
+    queue = ranked(copies, [F.col("finish"), F.col("place"), F.col("epoch")], ("size",), "queue")
+    # One row: the first copy, in the order of the mix, of which more than half is beyond the budget.
+    over = queue.where(2 * F.col("size_before") + F.col("size") > 2 * budget).agg(F.min(F.struct("finish", "place", "epoch")).alias("cut")).first()["cut"]
+    drop_stored(queue)
+    taken = [F.lit(True) if over is None else key(F.lit(e)) < F.struct(F.lit(over["finish"]).alias("finish"), F.lit(over["place"]).cast("long").alias("place"), F.lit(over["epoch"]).alias("epoch")) for e in range(max_epochs)]
+    times = sum((x.cast("int") for x in taken[1:]), taken[0].cast("int"))
+    return rows.select(id_col, "source", "size", "source_size", "target", finish(F.lit(0)).alias("virtual_finish"), F.when(F.col("size") > 0, times).otherwise(0).alias("times"), *keep)
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
@@ -81,20 +95,15 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     plan = schedule(docs, id_col=id_col, **options)
     copies = plan.where("times > 0").withColumn("epoch", F.explode(F.expr("sequence(0, times - 1)"))).withColumn("virtual_finish", F.col("virtual_finish") + F.try_divide(F.col("epoch") * F.col("source_size"), F.col("target")))
     order = [F.col("virtual_finish"), F.col("source").asc_nulls_last(), F.col(id_col).asc_nulls_last()]
-    return copies.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("times", "__shuffle")
+    return copies.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).drop("times")
 
 
-def mix_rows(docs: DataFrame, *, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The taken documents with all their columns, one row per copy."""
-    taken = schedule(docs, seed=seed, id_col=id_col, text_col=text_col, **options).groupBy(F.col(id_col).alias("__i"), F.col("__shuffle").alias("__s"), F.col("source").alias("__o")).agg(F.sum("times").alias("__t"), F.count("*").alias("__n"))
-    taken = stored(taken.where("__t > 0"), "mixed")
-    n, most = taken.agg(F.count("*"), F.max("__n")).first()
-    source = options.get("source_col", "source")
-    keyed = docs.withColumn("__shuffle", F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)))
-    joined = keyed.join(small(taken, n), F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__shuffle") == F.col("__s")) & F.col(source).eqNullSafe(F.col("__o")))
-    times = F.col("__t")
-    if (most or 1) > 1:  # rows that agree in id, text and source share what was taken of them
-        same = Window.partitionBy("__i", "__s", "__o").orderBy(F.lit(0))
-        joined = joined.withColumn("__k", F.when(F.col("__n") > 1, F.row_number().over(same)).otherwise(1))
-        times = F.floor(F.col("__t") / F.col("__n")) + (F.col("__k") <= F.col("__t") % F.col("__n")).cast("int")
-    return joined.withColumn("__copies", times.cast("int")).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    # A hash of the whole row names it: rows that share one are interchangeable, so one of them stands for all.
+    told = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]  # a hash alone skips nulls
+    named = docs.withColumn("__row", F.struct(F.xxhash64(F.lit(1), *told).alias("a"), F.xxhash64(F.lit(2), *told).alias("b")))
+    taken = schedule(named, keep=("__row",), **options).groupBy(F.col("__row").alias("__r")).agg(F.sum("times").alias("__t"), F.count("*").alias("__n")).where("__t > 0")
+    joined = named.join(taken, named["__row"] == taken["__r"])
+    once, many = joined.where("__n = 1"), joined.where("__n > 1").dropDuplicates(["__row"])
+    return once.unionByName(many).withColumn("__copy", F.explode(F.expr("sequence(1, cast(__t as int))"))).select(*[f"`{c}`" for c in docs.columns])

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from colophon.llm import mixing, packing, sharding
+from tests.llm.conftest import SHAPE
 
 
 def n_words(text):
@@ -34,8 +35,25 @@ def test_mix_counts(docs, corpus):
     names = sorted((s for s in sizes if s is not None)) + [None]
     want = mixing.fill_targets([sizes[s] for s in names], [1 + k % 3 for k in range(len(names))], sum(sizes.values()), 3)
     assert [target[s] for s in names] == pytest.approx(want)
+    # Brute force: all copies by virtual finish time, up to the budget.
+    queue, before = [], Counter()
+    place = {}
+    for k, r in enumerate(sorted(rows, key=lambda r: (r.source is None, r.source or "", r.virtual_finish or 0))):
+        before[r.source] += r.size
+        place[k] = r
+        if r.size:
+            assert r.virtual_finish == pytest.approx(before[r.source] / r.target)
+            queue += [((before[r.source] + e * sizes[r.source]) / r.target, k, e) for e in range(3)]
+    words, budget, brute = 0, sum(sizes.values()), Counter()
+    for _, k, _ in sorted(queue):
+        if 2 * words + place[k].size > 2 * budget:
+            break
+        words += place[k].size
+        brute[k] += 1
+    assert {k: r.times for k, r in place.items()} == {k: brute[k] for k in place}
     for s in names:
-        assert abs(taken[s] - target[s]) <= largest[s]
+        assert abs(taken[s] - target[s]) <= largest[s] + max(largest.values())
+    assert abs(sum(taken.values()) - budget) <= max(largest.values())
     again = {(r.doc_id, r.times) for r in mixing.schedule(docs.repartition(5)).collect()}
     assert again == {(r.doc_id, r.times) for r in rows}
 
@@ -51,6 +69,16 @@ def test_mix_rows_follow_the_schedule(docs):
     assert order == sorted(order) and len(order) == sum(want.values())
 
 
+def test_rows_that_agree_are_interchangeable(spark):
+    """Repeated rows, rows that differ in another column only, nulls, and names that clash."""
+    rows = [(1, "a b c", None, "s0", k % 2, k % 2, None, "y") for k in range(9)] + [(2, "d e", None, "s1", 1, 1, None, None)] * 5 + [(3, None, None, None, 1, 1, "z", "y"), (4, "f", None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SHAPE)
+    out = [Counter(map(tuple, mixing.mix_rows(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert out[0] == out[1]
+    assert sum(out[0].values()) == sum(r.times for r in mixing.schedule(docs).collect())
+    assert set(out[0]) <= set(rows)
+
+
 def test_empty_tables(none):
     assert mixing.schedule(none).count() == 0
     assert mixing.mix_rows(none).count() == 0

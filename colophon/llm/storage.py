@@ -3,77 +3,87 @@
 Intermediates are Parquet tables in the folder that the session names in
 ``spark.checkpoint.dir`` (all executors see it), so a lost executor costs a
 re-read and never a recomputation from the start.  Only Spark reads or writes
-that folder: it may be on any file system.
+that folder: it may be on any file system.  An operator deletes the tables that
+its result doesn't read; the others lie in one folder per application, which
+``clear`` deletes once the results are used.
 """
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import broadcast
 
 _LOW_BITS = (1 << 33) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (local tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The session's checkpoint folder; one of our own only where none is set and all tasks run on this machine (tests)."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="colophon-")
     atexit.register(shutil.rmtree, own, True)
-    spark.sparkContext.setCheckpointDir(f"file://{own}")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+    sc.setCheckpointDir(f"file://{own}")
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/colophon-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables of this application. Results that were not written or collected yet can't be read after it."""
+    _delete(spark, _folder(spark))
+
+
+#: With this, Spark deletes a query's shuffle files when the query ends. A stored table never needs them again.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
-    path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    path, before = scratch_path(spark, label), spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._colophon_path = path
     return out
 
 
-def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by ``stored`` that no later plan reads."""
-    path = getattr(df, "_colophon_path", None)
-    if path:
-        sc = df.sparkSession.sparkContext
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files that no plan needs: its cleaner waits for the driver's garbage collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def drop_stored(*tables: DataFrame) -> None:
+    """Delete tables made by ``stored`` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_colophon_path", None)
+        if path:
+            _delete(df.sparkSession, path)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-#: A table counted to have no more rows than this may be broadcast, if its rows are a few numbers each.
-BROADCAST_ROWS = 400_000
-
-
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """``df`` for a join: broadcast if it was counted and is small, else left to a shuffle."""
-    return broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def ranked(df: DataFrame, order: list, sums: tuple[str, ...] = (), label: str = "ranked") -> DataFrame:
     """Add ``rank`` (0-based place in the global order) and ``<c>_before`` for each of ``sums``.
 

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from colophon.llm import components, ngram_join
@@ -78,8 +79,8 @@ def test_filters_lose_nothing(percent):
         y = np.sort(rng.permutation(np.unique(np.concatenate([rng.choice(x, max(1, n - 2), replace=False), rng.choice(60, 2).astype(np.uint64) << np.uint64(58)]))))
         both = len(np.intersect1d(x, y))
         assert ngram_join.suffix_bound(x, y) >= both
-        apart = np.bitwise_count(*[np.frombuffer(ngram_join.parity_sketch(x), np.uint64) ^ np.frombuffer(ngram_join.parity_sketch(y), np.uint64)]).sum()
-        assert apart <= len(x) + len(y) - 2 * both
+        sketches = ngram_join.Sketches(pa.array(ngram_join.parity_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])), pa.binary()))
+        assert sketches.apart(np.array([0]), np.array([1]))[0] <= len(x) + len(y) - 2 * both
         linked = 100 * both >= percent * (len(x) + len(y) - both)
         assert linked == (both >= ngram_join.least_overlap(len(x), len(y), percent))
         if linked:
@@ -108,7 +109,43 @@ def test_components(spark, monkeypatch):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {x: find(x) for x in nodes}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
-    monkeypatch.setattr(components, "FEW", -1)  # the rounds
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    monkeypatch.setattr(components, "BLOCK", 1)  # next to no help from the tasks
+    got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long").repartition(9)).collect()}
     assert got == {x: find(x) for x in nodes}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_of_different_sizes_fold():
+    rng = np.random.default_rng(3)
+    for n in (100, 120, 127, 128, 129, 150, 3000, 40_000):
+        x = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: int(0.9 * n)], rng.integers(0, 1 << 63, n // 5, dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        sketches = ngram_join.Sketches(pa.array(ngram_join.parity_sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])), pa.binary()))
+        assert 0 < sketches.apart(np.array([0]), np.array([1]))[0] <= len(x) + len(y) - 2 * both
+
+
+def test_tiles_and_slices_lose_nothing(spark, monkeypatch):
+    """Near copies that share a passage, in lists that are cut into tiles and slices."""
+    rng, rows = random.Random(8), []
+    passage = prose(1, 60).split()
+    for k in range(160):
+        words = passage[:]
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"w{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words + prose(1000 + k, rng.randint(0, 14)).split()), None, None, None, 1, None, None))
+    table = spark.createDataFrame(rows, SHAPE)
+    want = brute(rows)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    for rounds in (0, 6):
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(table).collect()} == want
+    pairs, members = ngram_join.similar_sets(table)
+    sets = {r.node: r.doc_id for r in members.collect()}
+    assert {tuple(sorted((sets[r.a], sets[r.b]))) for r in pairs.collect()} == brute_pairs(rows)
+    assert len(sets) == len(rows)
+
+
+def brute_pairs(rows, percent=75, width=5):
+    sets = {r[0]: {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for r in rows for w in [r[1].lower().split()]}
+    both = lambda a, b: len(sets[a] & sets[b])
+    return {(a, b) for a in sets for b in sets if a < b and 100 * both(a, b) >= percent * (len(sets[a]) + len(sets[b]) - both(a, b))}

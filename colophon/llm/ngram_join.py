@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.components import components
-from colophon.llm.storage import drop_stored, partitions, stored
+from colophon.llm.storage import drop_stored, stored
 from colophon.llm.textblocks import mix64, shingle_hashes, slices, sorted_sets, text_view, word_hashes, words
 
 CELLS, CHUNK = 1 << 20, 1 << 14
@@ -109,7 +109,7 @@ def _add_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def cell_frequencies(measured: DataFrame) -> np.ndarray:
     """Summed counts of all tasks: CELLS numbers, whatever the corpus."""
-    rows = measured.where("chunk is not null").select("chunk", "counts").repartition(min(partitions(measured.sparkSession), CELLS // CHUNK), "chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
+    rows = measured.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_add_chunks, "chunk int, counts binary").collect()
     out = np.zeros(CELLS, dtype=np.int64)
     for r in rows:
         out[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
@@ -417,8 +417,7 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def id_bitmap(ids: DataFrame) -> np.ndarray:
     """BITS bits that are set for every id (and by chance for others): a prefilter of fixed size."""
-    spark = ids.sparkSession
-    rows = ids.mapInArrow(_mark, "chunk int, bits binary").repartition(min(partitions(spark), 64), "chunk").mapInArrow(_unite, "chunk int, bits binary").collect()
+    rows = ids.mapInArrow(_mark, "chunk int, bits binary").repartition("chunk").mapInArrow(_unite, "chunk int, bits binary").collect()
     out = np.zeros((64, BITS // 8 // 64), dtype=np.uint8)
     for r in rows:
         out[r["chunk"]] = np.frombuffer(r["bits"], np.uint8)
@@ -508,8 +507,7 @@ class Corpus:
     """What all rounds read: the documents, one row per distinct set, and the lists of shared rare shingles."""
 
     def __init__(self, docs: DataFrame, percent: int, width: int, id_col: str, text_col: str):
-        spark = docs.sparkSession
-        sc = spark.sparkContext
+        sc = docs.sparkSession.sparkContext
         self.percent, self.width = percent, width
         self.plain = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
         self.measured = stored(self.plain.mapInArrow(_measure(width), "doc long, n long, node long, sketch binary, chunk int, counts binary"), "measured")
@@ -520,7 +518,8 @@ class Corpus:
         # Equal sets have equal sizes and sketches. Copies are counted together before the shuffle.
         self.sets = stored(some.groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "distinct")
         entries = self.nodes.agg(F.sum("n")).first()[0] or 0
-        self.buckets = max(partitions(spark), int(entries * (100 - percent) // 100 // 2_000_000))
+        # A task holds one bucket of prefixes, about a million entries of 24 bytes.
+        self.buckets = max(sc.defaultParallelism, int(entries * (100 - percent) // 100 // 1_000_000))
         dealt = self.plain.where("doc is not null").mapInArrow(_deal(width, percent, self.buckets, frequencies), "bucket int, packed binary").repartition(self.buckets, "bucket")
         self.lists = stored(dealt.mapInArrow(_lists(frequencies), "token long, node long, n int, place int, cut int"), "lists")
 
@@ -533,7 +532,7 @@ class Corpus:
     def proposed(self, known: DataFrame | None, turn: int) -> DataFrame:
         """One pair per component at most: the member and leader that meet in most lists."""
         part = F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("cut"))
-        dealt = self.told(known).withColumn("part", part).repartition(self.buckets, "token", "part").sortWithinPartitions("token", "part")
+        dealt = self.told(known).withColumn("part", part).repartition("token", "part").sortWithinPartitions("token", "part")
         met = dealt.select("token", "node", "n", "place", "component").mapInArrow(_stars(self.percent, turn), f"{_PAIRS}, hits long")
         met = met.groupBy("a", "b", "ca", "cb").agg(F.sum("hits").alias("hits"))
         best = met.groupBy("ca").agg(F.max_by(F.struct("a", "b", "cb"), F.struct("hits", F.xxhash64(F.lit(turn), "a", "b"))).alias("p"))
@@ -556,7 +555,7 @@ class Corpus:
         rows = F.filter(F.transform(F.sequence(F.lit(0), F.col("js") - 1), lambda j: cell(F.col("i"), j, F.lit(1))), lambda t: t["j"] != F.col("j"))
         tiles = F.when((F.col("is") == 1) & (F.col("js") == 1), one).when(F.col("outside"), F.concat(columns, rows)).otherwise(columns)
         cut = at.join(self.sets.select("node", "sketch"), "node").withColumn("t", F.explode(tiles)).select("token", "t.i", "t.j", "node", "n", "place", "component", "t.role", "sketch")
-        found = cut.repartition(self.buckets, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross(self.percent, every), f"{_PAIRS}, room long")
+        found = cut.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(_cross(self.percent, every), f"{_PAIRS}, room long")
         if every:
             return found.drop("room").distinct()
         best = found.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("room", "a", "b")).alias("p"))

@@ -54,19 +54,22 @@ def clear(spark: SparkSession) -> None:
     _delete(spark, _folder(spark))
 
 
-#: With this, Spark deletes a query's shuffle files when the query ends. A stored table never needs them again.
-_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Spark deletes the query's shuffle files when the query ends (a stored table never needs
+#: them again), and sends Python workers batches of at most 8 MB, so that long texts don't fill a task's memory.
+_WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts the lineage."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, label), spark.conf.get(_CLEAN, "false")
-    spark.conf.set(_CLEAN, "true")
+    path, before = scratch_path(spark, label), {k: spark.conf.get(k) for k in _WHILE_STORING}
     try:
+        for k, v in _WHILE_STORING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEAN, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._colophon_path = path
     return out

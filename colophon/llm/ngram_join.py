@@ -54,7 +54,9 @@ BITS = 1 << 24
 SKETCH = (1 << 8, 1 << 15)
 ROUNDS = 6
 #: Sets in one slice of a shingle's list, and in one side of a tile.
-HEAVY, TILE = 1 << 20, 1 << 11
+HEAVY, TILE = 1 << 20, 1 << 9
+#: Lists of at most so many sets are compared at once, one distance after the other.
+SHORT = 32
 
 
 def shingle_sets(batch: pa.RecordBatch, text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,8 +202,28 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, ...]:
     return token, np.repeat(node, each), np.repeat(n, each), place
 
 
-def _lists(frequencies):
-    """Entries of the shingles that two or more sets have in their prefixes; ``cut``: the slices of the shingle's list."""
+def _fitting(token: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which entries of a contiguous list may link with another one by length and place; all of those of a long list."""
+    heads = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    sizes = np.diff(np.concatenate([heads, [len(token)]]))
+    own = np.repeat(sizes, sizes)
+    out = own > SHORT
+    short = np.flatnonzero(~out)
+    for d in range(1, SHORT):
+        x = short[short < len(token) - d]
+        x = x[token[x] == token[x + d]]
+        if not len(x):
+            break
+        x = x[_may_link(n[x], place[x], n[x + d], place[x + d], percent)]
+        out[x] = out[x + d] = True
+    return out
+
+
+def _lists(percent: int, frequencies):
+    """Entries of the shingles that two or more sets have in their prefixes, if their lengths and places let them link.
+
+    ``cut``: the slices of the shingle's list.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
@@ -224,8 +246,7 @@ def _lists(frequencies):
         keep = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
         token, node, n, place = token[keep], node[keep], n[keep], place[keep]
         cut = _slices(frequencies.value[(token >> np.uint64(44)).astype(np.int64)])
-        same = token[1:] == token[:-1]
-        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (cut > 1)
+        shared = _fitting(token, n.astype(np.int64), place.astype(np.int64), percent) | (cut > 1)
         token = token.view(np.int64)
         for lo in range(0, len(token), 100_000):
             pick = np.flatnonzero(shared[lo : lo + 100_000]) + lo
@@ -310,9 +331,8 @@ def _tile_pairs(group: np.ndarray, role: np.ndarray, component: np.ndarray) -> I
     sizes = np.diff(np.concatenate([heads, [len(group)]]))
     own = np.repeat(sizes, sizes)
     meets = lambda x, y: (component[x] != component[y]) & (((role[x] & 1) & (role[y] >> 1)) | ((role[y] & 1) & (role[x] >> 1))).astype(bool)
-    # Short lists all at once, one distance after the other.
-    short = np.flatnonzero(own <= 32)
-    for d in range(1, 32):
+    short = np.flatnonzero(own <= SHORT)
+    for d in range(1, SHORT):
         x = short[short < len(group) - d]
         x = x[group[x] == group[x + d]]
         if not len(x):
@@ -321,7 +341,7 @@ def _tile_pairs(group: np.ndarray, role: np.ndarray, component: np.ndarray) -> I
         if len(x):
             yield x, x + d
     for lo, size in zip(heads.tolist(), sizes.tolist()):
-        if size > 32:
+        if size > SHORT:
             rows = np.flatnonzero(role[lo : lo + size] & 1) + lo
             every = np.arange(lo, lo + size)
             for k in range(0, len(rows), 64):
@@ -521,7 +541,7 @@ class Corpus:
         # A task holds one bucket of prefixes, about a million entries of 24 bytes.
         self.buckets = max(sc.defaultParallelism, int(entries * (100 - percent) // 100 // 1_000_000))
         dealt = self.plain.where("doc is not null").mapInArrow(_deal(width, percent, self.buckets, frequencies), "bucket int, packed binary").repartition(self.buckets, "bucket")
-        self.lists = stored(dealt.mapInArrow(_lists(frequencies), "token long, node long, n int, place int, cut int"), "lists")
+        self.lists = stored(dealt.mapInArrow(_lists(percent, frequencies), "token long, node long, n int, place int, cut int"), "lists")
 
     def told(self, known: DataFrame | None) -> DataFrame:
         """List entries with their component so far."""

@@ -33,50 +33,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colophon.llm.storage import drop_stored, partitions, scratch_path, stored
+from colophon.llm.storage import drop_stored, partitions, stored
+from colophon.llm.textblocks import slices
 
 LIMIT, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
 
 # --- token ids ---------------------------------------------------------------
 
 
-def _byte_letters() -> list[str]:
-    """The public byte-level alphabet: printable bytes stand for themselves, the others follow from 256 on."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
-
-
-class _Chunks(dict):
-    """Ids of each chunk (text between white space) as bytes, asked from the library on first use."""
-
-    def __init__(self, tokenizer, dtype: np.dtype):
-        super().__init__()
-        self[""] = b""
-        self.encode, self.word, self.dtype, self.letters = tokenizer.encode, tokenizer.model.tokenize, dtype, _byte_letters()
-
-    def __missing__(self, chunk: str) -> bytes:
-        stem, mark = (chunk[:-1], chunk[-1]) if chunk[-1] in ".," else (chunk, "")
-        if stem.isalpha() and max(stem) < "\u0180" and "\u0130" not in stem:
-            # Composed Latin letters only: the tokenizer's own steps come to lower case, one word, byte letters.
-            low = stem.lower()
-            ids = self.get(low) if mark or low != chunk else None
-            if ids is None:
-                spelled = low if low.isascii() else "".join([self.letters[b] for b in low.encode()])
-                ids = np.array([t.id for t in self.word(spelled)], self.dtype).tobytes()
-            if mark:
-                ids += self[mark]
-        else:
-            ids = np.array(self.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
-        self[chunk] = ids
-        return ids
-
-
 class CachedTokenizer:
-    """A tokenizer that splits at white space, asked once per distinct chunk.
+    """The library's ids of whole texts; each distinct chunk between white space is encoded once.
 
-    For vocabularies whose pre-tokenizer drops white space, the ids of a text are
-    the ids of its chunks in order.  ``KEEP`` bounds the chunks that a worker remembers.
+    That is the same only if the vocabulary's own pre-tokenizer drops white space
+    and no added token contains any: both are asked when it is loaded.  Other
+    vocabularies encode each text whole.  ``KEEP`` bounds the chunks that a worker remembers.
     """
 
     KEEP = 1_000_000
@@ -86,13 +56,32 @@ class CachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.known = _Chunks(self.tokenizer, dtype)
+        self.known: dict[str, bytes] = {"": b""}
+        self.by_chunk = self._drops_white_space()
+
+    def _drops_white_space(self) -> bool:
+        pre = self.tokenizer.pre_tokenizer
+        if pre is None or any(any(c.isspace() for c in t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            return False
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = ("a", "Bc", "1", "23", ".", ",.", "a's", "'")
+        # No piece may depend on the white space beside it.
+        return all(ids(f"{x}{gap}{y}") == ids(x) + ids(y) for gap in (" ", "\n", "\t", "\r", " \n ") for x in pieces for y in pieces) and not any(p.isspace() for p, _ in pre.pre_tokenize_str("a b\nc\td\re"))
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_chunk:
+            return self._ids([t or "" for t in texts])
         if len(self.known) > self.KEEP:
-            self.known = _Chunks(self.tokenizer, self.dtype)
-        get = self.known.__getitem__
-        return [b"".join(map(get, t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))) if t else b"" for t in texts]
+            self.known = {"": b""}
+        known = self.known
+        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        new = list({w for words in cut for w in words if w not in known})
+        known.update(zip(new, self._ids(new)))
+        get = known.__getitem__
+        return [b"".join(map(get, words)) for words in cut]
 
 
 _TOKENIZERS: dict = {}
@@ -102,22 +91,37 @@ def id_type(vocabulary: int) -> np.dtype:
     return np.dtype("<u2") if vocabulary <= 1 << 16 else np.dtype("<u4")
 
 
-def tokenized(docs: DataFrame, path: str, *, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc``, ``ids``: little-endian ids of every whole text with ``end_id`` appended."""
-    dtype = id_type(vocabulary)
+def _tokenize(path: str, dtype: np.dtype, end_id: int, vocabulary: int):
+    """Ids of every text; at the end, one row with this task's counts of all ids that it met."""
     end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, dtype) not in _TOKENIZERS:
             _TOKENIZERS[path, dtype] = CachedTokenizer(path, dtype)
-        tokenizer = _TOKENIZERS[path, dtype]
+        tokenizer, total = _TOKENIZERS[path, dtype], np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for part in slices(batch, "text", rows=256):
                 ids = [x + end for x in tokenizer.encode(part.column(1).to_pylist())]
-                yield pa.record_batch({"doc": part.column(0), "ids": pa.array(ids, pa.binary())})
+                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=vocabulary)
+                yield pa.record_batch({"doc": part.column(0), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+        used = np.flatnonzero(total)
+        if len(used):
+            counts = np.stack([used, total[used]]).astype("<i8").tobytes()
+            yield pa.record_batch({"doc": pa.nulls(1, pa.int64()), "ids": pa.nulls(1, pa.binary()), "counts": pa.array([counts], pa.binary())})
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for packed in batch.column(0):
+            used, n = np.frombuffer(packed.as_buffer(), "<i8").reshape(2, -1)
+            yield pa.record_batch({"id": pa.array(used.astype(np.int32)), "n": pa.array(n)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, "doc long, ids binary")
+
+def tokenized(docs: DataFrame, path: str, *, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc``, ``ids``: little-endian ids of every whole text with ``end_id`` appended; and, where ``ids`` is null, a task's ``counts``."""
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).mapInArrow(_tokenize(path, id_type(vocabulary), end_id, vocabulary), "doc long, ids binary, counts binary")
 
 
 # --- the code ----------------------------------------------------------------
@@ -217,24 +221,12 @@ def decode_block(counts: np.ndarray, bits: np.ndarray, payload: bytes, table: tu
 # --- files -------------------------------------------------------------------
 
 
-def _count(vocabulary: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            for x in batch.column(0):
-                total += np.bincount(np.frombuffer(x.as_buffer(), id_type(vocabulary)), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.record_batch({"id": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
-
-    return run
-
-
 def write_corpus(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenize ``docs`` and write them under ``path`` in ascending id order."""
     spark = docs.sparkSession
-    ids = stored(tokenized(docs, tokenizer, vocabulary=vocabulary, end_id=end_id, id_col=id_col, text_col=text_col), "ids")
-    counts = np.zeros(vocabulary, dtype=np.int64)
-    for r in ids.select("ids").mapInArrow(_count(vocabulary), "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per vocabulary entry
+    made = stored(tokenized(docs, tokenizer, vocabulary=vocabulary, end_id=end_id, id_col=id_col, text_col=text_col), "ids")
+    ids, counts = made.where("ids is not null").select("doc", "ids"), np.zeros(vocabulary, dtype=np.int64)
+    for r in made.where("counts is not null").select("counts").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per vocabulary entry
         counts[r["id"]] = r["n"]
     lengths = code_lengths(counts)
     spark.createDataFrame([(bytearray(lengths.tobytes()), vocabulary, end_id)], "lengths binary, vocabulary int, end_id int").write.parquet(f"{path}/code")
@@ -266,10 +258,11 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str, *, vocabulary: int,
         if texts:
             yield flush()
 
-    order = [F.col("doc").asc_nulls_first()]
-    in_order = ids.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order, F.col("ids"))
+    # Rows of one id, or without any, may be many: their checksums deal them out, and equal rows are interchangeable.
+    order = [F.col("doc").asc_nulls_first(), F.xxhash64("ids"), F.col("ids")]
+    in_order = ids.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
     in_order.mapInArrow(blocks, "part int, seq int, before long, total long, docs binary, missing binary, counts binary, bits binary, payload binary").write.option("compression", "none").parquet(f"{path}/blocks")
-    drop_stored(ids)
+    drop_stored(made)
 
 
 def read_corpus(spark: SparkSession, path: str, digest: bool = False) -> DataFrame:

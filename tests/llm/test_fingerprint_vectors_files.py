@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colophon.llm import fingerprint, huffman, nn_descent
+from tests.llm.conftest import SHAPE
 
 
 def test_edits(docs, corpus):
@@ -155,3 +156,26 @@ def test_chunks_agree_with_whole_texts():
     t = huffman.CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"), huffman.id_type(49408))
     for text in ["Ünï, ß. SS ſs can't it's THE'S <|endoftext|> a<|startoftext|>b 123 4,5 ... éa éa  x\x1cy z ŉ. Ŀ, ª µ ﬁ.", "İstanbul ǅ Σας, 你好. नमस्ते,", " a b c\x85d\n\te "]:
         assert np.frombuffer(t.encode([text])[0], "<u2").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_vocabularies_that_keep_white_space_encode_whole_texts(tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    words = {"[UNK]": 0, "a": 1, "\u2581a": 2, "\u2581": 3, "b": 4, "\u2581b": 5}
+    t = tokenizers.Tokenizer(tokenizers.models.WordLevel(words, unk_token="[UNK]"))
+    t.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace()
+    t.save(str(tmp_path / "t.json"))
+    mine = huffman.CachedTokenizer(str(tmp_path / "t.json"), huffman.id_type(6))
+    assert not mine.by_chunk
+    for text in ("a b", "a  b", "", "b\na"):
+        assert np.frombuffer(mine.encode([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_corpus_of_repeated_and_missing_ids(spark, tmp_path):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    rows = [(7, f"text {k % 5}", None, None, None, 1, None, "y") for k in range(40)] + [(None, "no id", None, None, None, 1, None, "y")] * 9 + [(1, None, None, None, None, 1, "x", None)]
+    docs = spark.createDataFrame(rows, SHAPE).repartition(4)
+    path = f"file://{tmp_path}/r"
+    huffman.write_corpus(docs, path, public_tokenizers.path("word_bpe_49k.json"), vocabulary=49408, end_id=2)
+    out = sorted(huffman.read_corpus(spark, path, digest=True).collect(), key=lambda r: r.start)
+    assert [r.doc for r in out] == [None] * 9 + [1] + [7] * 40
+    assert [r.start for r in out] == [sum(x.n_tokens for x in out[:k]) for k in range(len(out))]

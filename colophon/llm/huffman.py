@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 from colophon.llm.storage import drop_stored, partitions, stored
 from colophon.llm.textblocks import slices
 
-LIMIT, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
+LIMIT, STEP, BLOCK_TOKENS, TEXT_BYTES = 16, 256, 1 << 18, 1 << 23
 
 # --- token ids ---------------------------------------------------------------
 
@@ -44,20 +45,23 @@ LIMIT, STEP, BLOCK_TOKENS = 16, 256, 1 << 18
 class CachedTokenizer:
     """The library's ids of whole texts; each distinct chunk between white space is encoded once.
 
-    That is the same only if the vocabulary's own pre-tokenizer drops white space
-    and no added token contains any: both are asked when it is loaded.  Other
-    vocabularies encode each text whole.  ``KEEP`` bounds the chunks that a worker remembers.
+    That is the same only if the vocabulary's pre-tokenizer drops white space and
+    no added token contains any: both are asked when it is loaded, and so is which
+    ``MARKS`` at the end of a word are tokens apart from it.  Other vocabularies
+    encode each text whole.  ``KEEP`` bounds the chunks that a worker remembers.
     """
 
-    KEEP = 1_000_000
+    KEEP, MARKS = 1_000_000, ".,;:!?"
 
     def __init__(self, path: str, dtype: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-        self.known: dict[str, bytes] = {"": b""}
         self.by_chunk = self._drops_white_space()
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.apart = "".join(m for m in self.MARKS if all(ids(f"{x}{m}") == ids(x) + ids(m) for x in ("a", "Bc", "\u00e9e", "1", "x7", "the", "\u03c3\u03c2", "\u4f60")))
+        self._forget()
 
     def _drops_white_space(self) -> bool:
         pre = self.tokenizer.pre_tokenizer
@@ -66,22 +70,41 @@ class CachedTokenizer:
         ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
         pieces = ("a", "Bc", "1", "23", ".", ",.", "a's", "'")
         # No piece may depend on the white space beside it.
-        return all(ids(f"{x}{gap}{y}") == ids(x) + ids(y) for gap in (" ", "\n", "\t", "\r", " \n ") for x in pieces for y in pieces) and not any(p.isspace() for p, _ in pre.pre_tokenize_str("a b\nc\td\re"))
+        return all(ids(f"{x}{gap}{y}") == ids(x) + ids(y) for gap in (" ", "\n", "\t", "\r", "\x0b", "\x0c", " \n ") for x in pieces for y in pieces) and not any(p.isspace() for p, _ in pre.pre_tokenize_str("a b\nc\td\re"))
+
+    def _forget(self) -> None:
+        self.known = {"": b""} | dict(zip(self.apart, self._ids(list(self.apart))))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        if not self.by_chunk:
-            return self._ids([t or "" for t in texts])
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > self.KEEP:
-            self.known = {"": b""}
-        known = self.known
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
-        known.update(zip(new, self._ids(new)))
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+            self._forget()
+        known, apart = self.known, self.apart
+        new = [w for w in chunks if w not in known]
+        # A word and its mark are encoded one by one, so the word is remembered with and without it.
+        stems = {w: w[:-1] for w in new if w[-1] in apart and w[-2:-1].isalnum()}
+        fresh = list({stems.get(w, w) for w in new} - known.keys())
+        known.update(zip(fresh, self._ids(fresh)))
+        known.update({w: known[x] + known[w[-1]] for w, x in stems.items()})
+        return [known[w] for w in chunks]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in a row, and where each text's begin and end (a null text has none)."""
+        texts = pc.fill_null(texts, "")
+        if not self.by_chunk:
+            made = self._ids(texts.to_pylist())
+            return np.frombuffer(b"".join(made), self.dtype), np.concatenate([[0], np.cumsum([len(x) // self.dtype.itemsize for x in made])]).astype(np.int64)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        made = self._chunks(coded.dictionary.to_pylist())
+        sizes = np.array([len(x) for x in made], dtype=np.int64) // self.dtype.itemsize
+        at, chunk = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        n = sizes[chunk]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = np.frombuffer(b"".join(made), self.dtype)[np.repeat(at[chunk] - ends[:-1], n) + np.arange(ends[-1])]
+        return ids, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
 
 
 _TOKENIZERS: dict = {}
@@ -93,17 +116,19 @@ def id_type(vocabulary: int) -> np.dtype:
 
 def _tokenize(path: str, dtype: np.dtype, end_id: int, vocabulary: int):
     """Ids of every text; at the end, one row with this task's counts of all ids that it met."""
-    end = np.array([end_id], dtype).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (path, dtype) not in _TOKENIZERS:
             _TOKENIZERS[path, dtype] = CachedTokenizer(path, dtype)
         tokenizer, total = _TOKENIZERS[path, dtype], np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for part in slices(batch, "text", rows=256):
-                ids = [x + end for x in tokenizer.encode(part.column(1).to_pylist())]
-                total += np.bincount(np.frombuffer(b"".join(ids), dtype), minlength=vocabulary)
-                yield pa.record_batch({"doc": part.column(0), "ids": pa.array(ids, pa.binary()), "counts": pa.nulls(len(ids), pa.binary())})
+            for part in slices(batch, "text", most=TEXT_BYTES):
+                ids, at = tokenizer.encode(part.column(1))
+                ids = np.insert(ids, at[1:], end_id)
+                total += np.bincount(ids, minlength=vocabulary)
+                offsets = ((at + np.arange(len(at))) * dtype.itemsize).astype(np.int64)
+                column = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(ids.tobytes())]).cast(pa.binary())
+                yield pa.record_batch({"doc": part.column(0), "ids": column, "counts": pa.nulls(part.num_rows, pa.binary())})
         used = np.flatnonzero(total)
         if len(used):
             counts = np.stack([used, total[used]]).astype("<i8").tobytes()

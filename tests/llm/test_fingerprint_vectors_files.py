@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -155,7 +156,10 @@ def test_chunks_agree_with_whole_texts():
     public_tokenizers = pytest.importorskip("public_tokenizers")
     t = huffman.CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"), huffman.id_type(49408))
     for text in ["Ünï, ß. SS ſs can't it's THE'S <|endoftext|> a<|startoftext|>b 123 4,5 ... éa éa  x\x1cy z ŉ. Ŀ, ª µ ﬁ.", "İstanbul ǅ Σας, 你好. नमस्ते,", " a b c\x85d\n\te "]:
-        assert np.frombuffer(t.encode([text])[0], "<u2").tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+        for _ in range(2):  # new chunks, then known ones
+            ids, at = t.encode(pa.array([None, text, "", text]))
+            want = t.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids.tolist() == want + want and at.tolist() == [0, 0, len(want), len(want), 2 * len(want)]
 
 
 def test_vocabularies_that_keep_white_space_encode_whole_texts(tmp_path):
@@ -167,7 +171,7 @@ def test_vocabularies_that_keep_white_space_encode_whole_texts(tmp_path):
     mine = huffman.CachedTokenizer(str(tmp_path / "t.json"), huffman.id_type(6))
     assert not mine.by_chunk
     for text in ("a b", "a  b", "", "b\na"):
-        assert np.frombuffer(mine.encode([text])[0], "<u2").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert mine.encode(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
 
 
 def test_corpus_of_repeated_and_missing_ids(spark, tmp_path):

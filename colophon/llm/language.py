@@ -10,8 +10,8 @@ N-grams are 1 to 3 bytes of the lower-cased text; everything that is not an
 ASCII letter or part of a longer character separates.  Documents enter as square
 roots of their n-gram shares, over whole texts.
 
-Learning uses a bounded sample: about ``sample`` documents, evenly over the
-languages, picked by a hash of the id.
+Learning uses a bounded sample: at most ``sample`` documents (20 per language at
+least), evenly over the languages, picked by a hash of id and text.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; without
 labelled rows everything is; with one language it always wins; repeated rows are
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.textblocks import slices, text_view
@@ -116,12 +116,19 @@ def train(docs: DataFrame, *, sample: int = 3000, id_col: str = "doc_id", text_c
     counts = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}  # one row per language
     if not counts:
         return None
-    each, whole = max(20, sample // len(counts)), 1 << 30
-    limit = F.lit(0)
+    each = max(20, sample // len(counts))
+    # A share of each language by a hash of id and text, then the least of them: many rows of one id are as good as any.
+    whole, limit = 1 << 30, F.lit(0)
     for lang, n in counts.items():
-        limit = F.when(F.col(lang_col) == lang, F.lit(min(whole, whole * each // n + 1))).otherwise(limit)
-    few = known.where(F.pmod(F.xxhash64(F.lit(9), F.col(id_col)), F.lit(whole)) < limit).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = few.mapInArrow(_shares, "lang string, x binary").collect()
+        limit = F.when(F.col("lang") == lang, F.lit(min(whole, 2 * whole * each // n + 1))).otherwise(limit)
+    keyed = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(9), F.col(id_col), F.col(text_col)).alias("h"))
+    some = keyed.where(F.pmod("h", F.lit(whole)) < limit)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(whole)), "h"))
+    # Ranked without texts; rows that agree in hash are copies, and one of them stands for all.
+    few = some.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= each).select("lang", "h")
+    # ``sample`` rows or 20 per language: bounded by the parameters, so the broadcast and what is collected are too.
+    texts = some.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+    rows = texts.mapInArrow(_shares, "lang string, x binary").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))

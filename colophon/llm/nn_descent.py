@@ -7,9 +7,11 @@ neighbours become neighbours).  Edges at or above the threshold, checked in
 double precision, are links.
 
 A list that is full of links is saturated: it may hide more of them, in its own
-component or in others.  Every vector with a saturated list is compared with all
-vectors in blocks, which emit link counts and the pairs of components that a
-link joins, never pairs of vectors.
+component or in others.  Saturated lists, and only those, grow four times as long
+and are refined again, until they are not saturated or have ``longest`` entries.
+Vectors with more links than that are compared with all vectors in blocks, which
+emit link counts and the pairs of components that a link joins, never pairs of
+vectors.
 
 Recall is audited: a fixed number of vectors is compared with all others, in
 blocks; if less than ``least_recall`` of their links were found, over all or per
@@ -44,20 +46,17 @@ SLACK = 1e-3  # single-precision search keeps candidates this far below the thre
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors of length one in doubles; rows that cannot link are left out."""
     for batch in batches:
-        ids, units, sizes = [], [], []
-        for k, v in enumerate(batch.column(1).to_pylist()):
-            i = batch.column(0)[k].as_py()
-            if i is None or not v or any(x is None for x in v):
-                continue
-            u = np.array(v, dtype=np.float64)
-            top = np.abs(u).max()
-            if not np.isfinite(top) or top == 0:
-                continue
-            u = u / top
-            ids.append(i)
-            units.append((u / np.sqrt(u @ u)).tobytes())
-            sizes.append(len(u))
-        yield pa.record_batch({"vec": pa.array(ids, pa.int64()), "dim": pa.array(sizes, pa.int32()), "u": pa.array(units, pa.binary())})
+        batch = batch.filter(pc.and_(batch.column(0).is_valid(), pc.greater(pc.fill_null(pc.list_value_length(batch.column(1)), 0), 0)))
+        sizes = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+        for dim in np.unique(sizes):
+            part = batch.filter(pa.array(sizes == dim))
+            # A null component becomes NaN, which leaves its row out.
+            u = part.column(1).flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, dim)
+            top = np.abs(u).max(1)
+            keep = np.isfinite(top) & (top > 0)
+            u = u[keep] / top[keep, None]
+            u /= np.sqrt(np.einsum("ij,ij->i", u, u))[:, None]
+            yield pa.record_batch({"vec": part.column(0).filter(pa.array(keep)), "dim": pa.array(np.full(len(u), dim, np.int32)), "u": pa.array([r.tobytes() for r in u], pa.binary())})
 
 
 def _matrix(column: pa.Array, kind=np.float64) -> np.ndarray:
@@ -195,6 +194,43 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int, seed: int) -> DataFrame:
     return merged(edges.select("node", "nbr", "sim").union(met.mapInArrow(_meet, EDGES)), k)
 
 
+def _saturated(edges: DataFrame, k: int, threshold: float) -> DataFrame:
+    """Nodes whose list has ``k`` entries that all may be links."""
+    return edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("low") >= threshold - SLACK)).select("node")
+
+
+def _widened(nodes: DataFrame, edges: DataFrame, active: DataFrame, k: int, threshold: float, seed: int) -> DataFrame:
+    """One round for the ``active`` nodes: at their neighbours, they meet neighbours of neighbours, and keep the ``k`` best possible links."""
+    mine = edges.join(active, "node", "left_semi")
+    pivots = mine.select(F.col("nbr").alias("pivot")).union(active.select("node")).distinct()
+    order = Window.partitionBy("nbr").orderBy(F.xxhash64(F.lit(seed), "node"))
+    back = edges.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select(F.col("nbr").alias("pivot"), "node")
+    members = edges.select(F.col("node").alias("pivot"), F.col("nbr").alias("node")).union(back).union(pivots.select("pivot", F.col("pivot").alias("node")))
+    members = members.join(pivots, "pivot", "left_semi").distinct()
+    # No similarity is above 2: the others are met, and seek nothing.
+    low = F.when(F.col("active"), F.lit(threshold - SLACK)).otherwise(2.0).cast("float")
+    carried = nodes.select("node", "x").join(active.withColumn("active", F.lit(True)), "node", "left").select("node", "x", low.alias("low"))
+    met = members.join(carried, "node").select("pivot", "node", "low", "x").repartition("pivot").sortWithinPartitions("pivot")
+    return merged(mine.select("node", "nbr", "sim").union(met.mapInArrow(_meet, EDGES)), k).union(edges.join(active, "node", "left_anti").select("node", "nbr", "sim"))
+
+
+def enlarged(nodes: DataFrame, edges: DataFrame, k: int, longest: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the lists of saturated nodes enlarged, and the nodes that are saturated still."""
+    active, n = stored(_saturated(edges, k, threshold), "active"), edges.count()
+    while k < longest and not active.isEmpty():
+        k = min(4 * k, longest)
+        for r in range(3):
+            new = stored(_widened(nodes, edges, active, k, threshold, 100 * k + r), "edges")
+            drop_stored(edges)
+            edges, before, n = new, n, new.count()
+            if n == before:
+                break
+        still = stored(_saturated(edges.join(active, "node", "left_semi"), k, threshold), "active")
+        drop_stored(active)
+        active = still
+    return edges, active
+
+
 def _exact(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,7 +307,7 @@ def _audit(threshold: float, asked: np.ndarray, units: np.ndarray):
 
 
 def near_vectors(
-    vectors: DataFrame, *, threshold: float = 0.9, k: int = 8, trees: int = 8, leaf: int = 200, rounds: int = 4, fit: int = 8192, audit: int = 256, least_recall: float = 0.97, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, threshold: float = 0.9, k: int = 8, longest: int = 128, trees: int = 8, leaf: int = 200, rounds: int = 4, fit: int = 8192, audit: int = 256, least_recall: float = 0.97, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept``, ``audit_recall`` (a number of the whole run)."""
     spark = vectors.sparkSession
@@ -308,13 +344,13 @@ def near_vectors(
             edges = new
             if fresh <= 0.002 * k * sum(sizes.values()):
                 break
+        edges, full = enlarged(single, edges, k, longest, threshold)
         near = edges.where(F.col("sim") >= threshold - SLACK)
         pairs = near.select(F.least("node", "nbr").alias("a"), F.greatest("node", "nbr").alias("b")).distinct()
         ends = nodes.select("node", "u")
         double = pairs.join(ends.select(F.col("node").alias("a"), F.col("u").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("u").alias("y")), "b").select("a", "b", "x", "y")
         links = stored(double.mapInArrow(_exact(threshold), "a long, b long"), "links")
         groups = stored(components(links), "groups")
-        full = edges.groupBy("node").agg(F.min("sim").alias("low"), F.count("*").alias("n")).where((F.col("n") >= k) & (F.col("low") >= threshold - SLACK)).select("node")
         known = _settled(nodes, links, groups, full, threshold, block)
         recall = _recall(known, nodes, asked, threshold)
         if recall >= least_recall:

@@ -9,7 +9,7 @@ The histogram has a bounded number of cells: lengths are exact up to
 driver holds some thousand cells whatever the corpus.  A document longer than
 the budget has a batch of its own.  Null and empty texts have length 0 and share
 the shortest bucket; repeated rows are packed one by one; an empty table gives
-an empty result; other columns are not touched by ``pack`` (ids and places).
+an empty result; ``pack`` returns ids and places, ``packed_order`` all columns.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.mixing import word_count
-from colophon.llm.storage import partitions, ranked
+from colophon.llm.storage import drop_stored, partitions, ranked, stored
 
 EXACT_TO = 1024
 
@@ -62,17 +62,19 @@ def best_boundaries(lengths: list[int], counts: list[int], buckets: int) -> tupl
     return sorted(set(ends)), int(best[m])
 
 
-def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 16384, seed: int = 23, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: length, bucket, padded length, batch (global) and its row in the batch."""
-    slim = docs.select(F.col(id_col), word_count(text_col).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__shuffle"))
-    slim = slim.withColumn("__cell", cell_of(F.col("n_tokens")))
+def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 16384, seed: int = 23, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: length, bucket, padded length, batch (global) and its row in the batch. ``keep``: further columns to carry."""
+    slim = docs.select(F.col(id_col), word_count(text_col).alias("n_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__shuffle"), *keep)
+    # The texts are read and split once: histogram and order read the sizes.
+    slim = stored(slim.withColumn("__cell", cell_of(F.col("n_tokens"))), "sizes")
     # Ordered by cell, then shuffled: every bucket is one stretch of the global order.
     histogram = sorted(slim.groupBy("__cell").count().collect())
     ends, _ = best_boundaries([r[0] for r in histogram], [r[1] for r in histogram], buckets)
     bucket = F.lit(max(len(ends) - 1, 0))
     for k in range(len(ends) - 2, -1, -1):
         bucket = F.when(F.col("__cell") <= ends[k], F.lit(k)).otherwise(bucket)
-    rows = ranked(slim.withColumn("bucket", bucket.cast("int")), [F.col("bucket"), F.col("__shuffle"), F.col(id_col).asc_nulls_last()], (), "pack")
+    rows = ranked(slim.withColumn("bucket", bucket.cast("int")), [F.col("bucket"), F.col("__shuffle"), F.col(id_col).asc_nulls_last(), *keep], (), "pack")
+    drop_stored(slim)
     sizes = [0] * max(len(ends), 1)
     for cell, n in histogram:
         sizes[next(k for k, e in enumerate(ends) if cell <= e)] += n
@@ -86,13 +88,23 @@ def pack(docs: DataFrame, *, buckets: int = 16, token_budget: int = 16384, seed:
     inside = F.col("rank") - F.col("__first")
     out = rows.join(F.broadcast(known), "bucket")  # one row per bucket
     return out.select(
-        id_col, "n_tokens", "bucket", "bucket_length", (F.col("__batch") + F.floor(inside / F.col("__each"))).cast("long").alias("batch"), (inside % F.col("__each")).cast("int").alias("row"), (F.col("bucket_length") - F.col("n_tokens")).alias("padding")
+        id_col, "n_tokens", "bucket", "bucket_length", (F.col("__batch") + F.floor(inside / F.col("__each"))).cast("long").alias("batch"), (inside % F.col("__each")).cast("int").alias("row"), (F.col("bucket_length") - F.col("n_tokens")).alias("padding"), *keep
     )
 
 
 def packed_order(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with ``bucket``, ``batch`` and ``row``, in files of whole batches ordered by batch."""
-    id_col = options.get("id_col", "doc_id")
-    places = pack(docs, **options)
-    out = docs.join(places.select(F.col(id_col).alias("__id"), "n_tokens", "bucket", "bucket_length", "batch", "row"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    """``docs`` with ``n_tokens``, ``bucket``, ``bucket_length``, ``batch`` and ``row``, in files of whole batches ordered by batch.
+
+    Columns of those names are replaced.  Rows are named by a hash of all their
+    columns; those that agree in all are interchangeable and get a place each.
+    """
+    added = ["n_tokens", "bucket", "bucket_length", "batch", "row"]
+    told = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    named = docs.withColumn("__row", F.struct(F.xxhash64(F.lit(1), *told).alias("a"), F.xxhash64(F.lit(2), *told).alias("b")))
+    places = pack(named, keep=("__row",), **options).select(F.col("__row").alias("__r"), F.struct(*added).alias("__p"))
+    # A name with several rows has several places: one of the rows goes to each of them.
+    many = places.groupBy("__r").agg(F.count("*").alias("__n")).where("__n > 1")
+    alone = named.join(many, named["__row"] == many["__r"], "left_anti")
+    first = named.join(many.select("__r"), named["__row"] == many["__r"], "left_semi").dropDuplicates(["__row"])
+    out = alone.unionByName(first).join(places, F.col("__row") == F.col("__r")).select(*[f"`{c}`" for c in docs.columns if c not in added], "__p.*")
     return out.repartitionByRange(partitions(docs.sparkSession), "batch").sortWithinPartitions("batch", "row")

@@ -10,12 +10,13 @@ Features are read from bytes, over whole texts: shares of letter cases, digits,
 white space, single symbols and symbol runs, word lengths, and how often words,
 word pairs and lines repeat.
 
-Learning uses a bounded sample: per mark at most ``sample`` labelled documents,
-those least by a hash of their id.  Scoring covers every document.
+Learning uses a bounded sample: per mark at most ``sample`` labelled rows,
+those least by a hash of their id and text.  Scoring covers every document.
 
 Edge cases: null and empty texts get features of an empty text and a score like
 any other; without both marks in the sample every score is 0.5; null labels
-teach nothing; repeated rows are scored each; extra columns are ignored.
+teach nothing; repeated rows are scored each; extra columns are carried, but for
+one of the score's name, which the score replaces.
 """
 
 from __future__ import annotations
@@ -121,17 +122,20 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             x = features(*text_view(part.column(1)))
-            yield pa.record_batch({"good": part.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+            yield pa.record_batch({"good": part.column(0), "x": pa.array([r.tobytes() for r in x], pa.binary()), "n": part.column(2)})
 
 
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker | None:
     """Learn from at most ``sample`` documents of each mark; None if one mark is missing."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("good"))
-    least = [F.xxhash64(F.lit(3), "__id"), F.col("__id")]
-    few = marked.where("good = 1").orderBy(*least).limit(sample).union(marked.where("good = 0").orderBy(*least).limit(sample))
-    # At most 2 * sample ids: bounded by the parameter, so the broadcast is too.
-    texts = docs.join(F.broadcast(few), docs[id_col] == few["__id"]).select(F.col("good").cast("int").alias("good"), F.col(text_col).alias("text"))
-    rows = texts.mapInArrow(_featurize, "good int, x binary").collect()
+    # Rows, not ids, are counted: an id may have any number of them. Ordered limits keep a bounded number per task too.
+    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(marked, "__id").withColumn("__h", F.xxhash64(F.lit(3), "__id", "text"))
+    least = lambda mark: found.where(F.col("good") == mark).select("__h", "__id").orderBy("__h", "__id").limit(sample)
+    few = least(1).union(least(0)).groupBy("__h", "__id").agg(F.count("*").alias("__n"))
+    # At most 2 * sample rows: bounded by the parameter, so the broadcast is too. Rows that agree in id and text are one row with a number.
+    once = found.join(F.broadcast(few), ["__h", "__id"]).groupBy("__h", "__id", "__n").agg(F.max("good").cast("int").alias("good"), F.first("text").alias("text"))
+    rows = once.select("good", "text", F.col("__n").cast("int").alias("n")).mapInArrow(_featurize, "good int, x binary, n int").collect()
+    rows = [r for r in rows for _ in range(r["n"])]
     good = np.array([r["good"] == 1 for r in rows], dtype=bool)
     if not good.any() or good.all():
         return None
@@ -141,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, id_col: str
 
 
 def scored(docs: DataFrame, ranker: Ranker | None, *, text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """``keep`` columns (all, if None) with the score as ``name``."""
+    """``keep`` columns (all, if None) with the score as ``name``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
-    columns = docs.columns if keep is None else keep
+    columns = [c for c in (docs.columns if keep is None else keep) if c != name]
     picked = docs.select(*columns, F.col(text_col).alias("__text"))
     shape = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
 

@@ -130,3 +130,13 @@ def test_batches(docs, corpus):
     for batch in by.values():
         assert len({r.bucket for r in batch}) == 1 and sorted(r.row for r in batch) == list(range(len(batch)))
         assert len(batch) == 1 or len(batch) * batch[0].bucket_length <= 256
+
+
+def test_packed_rows_keep_their_number(spark):
+    """Repeated ids and rows, null ids and texts, and columns with the names of the result."""
+    rows = [(7, "a b", None, "s", k % 2, 1, None, None) for k in range(6)] + [(7, "c", None, "s", 1, 1, None, None), (None, "d e f", None, None, None, None, None, None), (None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, SHAPE).withColumnRenamed("rank", "row").withColumnRenamed("size", "batch")
+    out = packing.packed_order(docs).collect()
+    assert Counter((r.doc_id, r.text, r.n_chars) for r in out) == Counter((r[0], r[1], r[4]) for r in rows)
+    assert len({(r.batch, r.row) for r in out}) == len(rows) and all(r.n_tokens == n_words(r.text) for r in out)
+    assert packing.packed_order(docs.limit(0)).count() == 0

@@ -186,3 +186,21 @@ def test_planted_secrets_are_found_and_known_names_are_not(spark):
     spans = [(k, *map(int, x.split(":")[1:])) for k, all_ in got.items() for x in all_.split(",") if x.startswith("novel:")]
     right = {k for k, s, e in spans if planted.get(k) == rows[k][1][s:e]}
     assert len(right) >= 0.98 * len(planted) and len(right) >= 0.95 * len(spans)
+
+
+def test_score_replaces_a_column_of_its_name(spark, docs, corpus):
+    out = quality.scored(docs, None)  # the documents have a column named score
+    assert sorted(out.columns) == sorted(docs.columns) and {r.score for r in out.collect()} == {0.5}
+    assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in corpus)
+
+
+def test_samples_are_bounded_by_rows(spark, monkeypatch):
+    """One id or one text with very many rows doesn't fill the driver."""
+    rows = [(1, f"good text number {k % 50}", "en", None, None, 1, None, None) for k in range(400)] + [(2, f"BAD {k} !!", "fr", None, None, 1, None, None) for k in range(90)]
+    docs, labels = spark.createDataFrame(rows, SHAPE), spark.createDataFrame([(1, 1), (2, 0), (3, None)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "Ranker", lambda x, good: seen.append((len(x), int(good.sum()))))
+    quality.train(docs, labels, sample=30)
+    monkeypatch.setattr(language, "Decoder", lambda x, langs: seen.append(Counter(langs)))
+    language.train(docs, sample=40)
+    assert seen[0] == (60, 30) and max(seen[1].values()) <= 20 and set(seen[1]) == {"en", "fr"}

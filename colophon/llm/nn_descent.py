@@ -146,9 +146,8 @@ def merged(edges: DataFrame, k: int) -> DataFrame:
     return edges.repartition(partitions(edges.sparkSession), "node").sortWithinPartitions("node").mapInArrow(_merge(k), EDGES)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """At each pivot, all its members meet; a pair is emitted for each side whose list it improves."""
-    rest = None
+def _meet(k: int):
+    """At each pivot, all its members meet; a pair is emitted for each side whose list it improves, at most ``k`` per side and batch."""
 
     def pairs(table: pa.Table) -> pa.RecordBatch:
         pivot, node, low = (table.column(c).to_numpy() for c in ("pivot", "node", "low"))
@@ -164,21 +163,25 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not out:
             return _top(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), 1)
         a, b, s = (np.concatenate([o[i] for o in out]) for i in range(3))
-        return _top(a, b, s, 1 << 30)
+        return _top(a, b, s, k)
 
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        if rest is not None:
-            table = pa.concat_tables([rest, table])
-        if not table.num_rows:
-            continue
-        pivot = table.column("pivot").to_numpy()
-        cut = len(pivot) - int((pivot == pivot[-1]).sum())
-        rest = table.slice(cut)
-        if cut:
-            yield from (pairs(t) for t in _by_length(table.slice(0, cut), "x"))
-    if rest is not None and rest.num_rows:
-        yield from (pairs(t) for t in _by_length(rest, "x"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if rest is not None:
+                table = pa.concat_tables([rest, table])
+            if not table.num_rows:
+                continue
+            pivot = table.column("pivot").to_numpy()
+            cut = len(pivot) - int((pivot == pivot[-1]).sum())
+            rest = table.slice(cut)
+            if cut:
+                yield from (pairs(t) for t in _by_length(table.slice(0, cut), "x"))
+        if rest is not None and rest.num_rows:
+            yield from (pairs(t) for t in _by_length(rest, "x"))
+
+    return run
 
 
 def descend(nodes: DataFrame, edges: DataFrame, k: int, seed: int) -> DataFrame:
@@ -191,7 +194,7 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int, seed: int) -> DataFrame:
     members = own.union(back).union(itself).distinct()
     carried = nodes.select("node", "x").join(full, "node", "left").select("node", "x", F.coalesce("low", F.lit(-2.0)).cast("float").alias("low"))
     met = members.join(carried, "node").select("pivot", "node", "low", "x").repartition(partitions(nodes.sparkSession), "pivot").sortWithinPartitions("pivot")
-    return merged(edges.select("node", "nbr", "sim").union(met.mapInArrow(_meet, EDGES)), k)
+    return merged(edges.select("node", "nbr", "sim").union(met.mapInArrow(_meet(k), EDGES)), k)
 
 
 def _saturated(edges: DataFrame, k: int, threshold: float) -> DataFrame:
@@ -211,7 +214,7 @@ def _widened(nodes: DataFrame, edges: DataFrame, active: DataFrame, k: int, thre
     low = F.when(F.col("active"), F.lit(threshold - SLACK)).otherwise(2.0).cast("float")
     carried = nodes.select("node", "x").join(active.withColumn("active", F.lit(True)), "node", "left").select("node", "x", low.alias("low"))
     met = members.join(carried, "node").select("pivot", "node", "low", "x").repartition("pivot").sortWithinPartitions("pivot")
-    return merged(mine.select("node", "nbr", "sim").union(met.mapInArrow(_meet, EDGES)), k).union(edges.join(active, "node", "left_anti").select("node", "nbr", "sim"))
+    return merged(mine.select("node", "nbr", "sim").union(met.mapInArrow(_meet(k), EDGES)), k).union(edges.join(active, "node", "left_anti").select("node", "nbr", "sim"))
 
 
 def enlarged(nodes: DataFrame, edges: DataFrame, k: int, longest: int, threshold: float) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +222,7 @@ def enlarged(nodes: DataFrame, edges: DataFrame, k: int, longest: int, threshold
     active, n = stored(_saturated(edges, k, threshold), "active"), edges.count()
     while k < longest and not active.isEmpty():
         k = min(4 * k, longest)
-        for r in range(3):
+        for r in range(2):
             new = stored(_widened(nodes, edges, active, k, threshold, 100 * k + r), "edges")
             drop_stored(edges)
             edges, before, n = new, n, new.count()

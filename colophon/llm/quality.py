@@ -128,13 +128,14 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker | None:
     """Learn from at most ``sample`` documents of each mark; None if one mark is missing."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("good"))
-    # Rows, not ids, are counted: an id may have any number of them. Ordered limits keep a bounded number per task too.
-    found = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(marked, "__id").withColumn("__h", F.xxhash64(F.lit(3), "__id", "text"))
-    least = lambda mark: found.where(F.col("good") == mark).select("__h", "__id").orderBy("__h", "__id").limit(sample)
-    few = least(1).union(least(0)).groupBy("__h", "__id").agg(F.count("*").alias("__n"))
+    # Rows, not ids, are counted: an id may have any number of them. Hashes are ranked, and texts travel only for what is picked.
+    keyed = docs.select(F.col(id_col).alias("__id"), F.xxhash64(F.lit(3), F.col(id_col), F.col(text_col)).alias("__h"), F.col(text_col).alias("text"))
+    found = keyed.select("__id", "__h").join(marked, "__id")
+    least = lambda mark: found.where(F.col("good") == mark).orderBy("__h", "__id").limit(sample)
+    few = least(1).union(least(0)).groupBy("__h", "__id", "good").agg(F.count("*").alias("n"))
     # At most 2 * sample rows: bounded by the parameter, so the broadcast is too. Rows that agree in id and text are one row with a number.
-    once = found.join(F.broadcast(few), ["__h", "__id"]).groupBy("__h", "__id", "__n").agg(F.max("good").cast("int").alias("good"), F.first("text").alias("text"))
-    rows = once.select("good", "text", F.col("__n").cast("int").alias("n")).mapInArrow(_featurize, "good int, x binary, n int").collect()
+    once = keyed.join(F.broadcast(few), ["__h", "__id"]).groupBy("__h", "__id", "good", "n").agg(F.first("text").alias("text"))
+    rows = once.select(F.col("good").cast("int").alias("good"), "text", F.col("n").cast("int").alias("n")).mapInArrow(_featurize, "good int, x binary, n int").collect()
     rows = [r for r in rows for _ in range(r["n"])]
     good = np.array([r["good"] == 1 for r in rows], dtype=bool)
     if not good.any() or good.all():

@@ -59,10 +59,10 @@ def clear(spark: SparkSession) -> None:
 _WHILE_STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+def write(df: DataFrame, path: str) -> None:
+    """Write ``df`` as Parquet under ``path``."""
     spark = df.sparkSession
-    path, before = scratch_path(spark, label), {k: spark.conf.get(k) for k in _WHILE_STORING}
+    before = {k: spark.conf.get(k) for k in _WHILE_STORING}
     try:
         for k, v in _WHILE_STORING.items():
             spark.conf.set(k, v)
@@ -70,6 +70,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._colophon_path = path
     return out

@@ -6,7 +6,9 @@
 4. mixing: documents as often as the mix to target weights takes them;
 5. packing: the place of each row in optimal length buckets and batches.
 
-All stages but the last return the columns of ``documents``.
+All stages but the last return the columns of ``documents``.  Rows with a null
+id, null or empty texts, repeated rows and further columns pass through every
+stage as its operator states; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.llm import mixing, ngram_join, packing, quality, secrets
-from colophon.llm.storage import scratch_path
+from colophon.llm.storage import scratch_path, write
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,6 +51,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        write(stage(spark, docs, sf_dir), path)
         docs = spark.read.parquet(path)
     return docs

@@ -4,7 +4,7 @@ Each entry is one canonical table of the catalogue (works, assertions, external
 identifiers, ...) as a SELECT over ``part``, ``lineitem``, ``orders``, ``events``,
 ``customer``, ``supplier``, ``documents``, ``conversations`` and ``pages``.  An
 oracle prefixes them as CTEs; Spark gets them as DataFrames.  Every row of a
-source is used: an order is a translation, an edition, an etext or a witness, and
+source is used: the works of one order share its identifier; an order is a translation, an edition, an etext or a witness, and
 the lines of four orders in a row are segments of the etext among them.  So that
 every coverage state occurs, each 13th work leaves its identifiers to the one before it.
 """
@@ -31,9 +31,9 @@ TABLES = {
         ) AS facts""",
     "external_identifiers": """
         SELECT concat('W', CAST(l_partkey - CASE WHEN l_partkey % 13 = 12 THEN 1 ELSE 0 END AS STRING)) AS entity_id,
-               CASE l_suppkey % 7 WHEN 0 THEN 'GRETIL' WHEN 1 THEN 'PANDIT' WHEN 2 THEN 'DOI' WHEN 3 THEN 'ARCHIVE_ORG' WHEN 4 THEN 'DARSHANA' WHEN 5 THEN 'SANSKRITREE' ELSE 'OPENALEX' END AS scheme,
-               concat('v', CAST(l_suppkey AS STRING)) AS value, min(l_shipdate) AS created_at
-        FROM lineitem GROUP BY l_partkey - CASE WHEN l_partkey % 13 = 12 THEN 1 ELSE 0 END, l_suppkey""",
+               CASE l_orderkey % 7 WHEN 0 THEN 'GRETIL' WHEN 1 THEN 'PANDIT' WHEN 2 THEN 'DOI' WHEN 3 THEN 'ARCHIVE_ORG' WHEN 4 THEN 'DARSHANA' WHEN 5 THEN 'SANSKRITREE' ELSE 'OPENALEX' END AS scheme,
+               concat('v', CAST(l_orderkey AS STRING)) AS value, min(l_shipdate) AS created_at
+        FROM lineitem GROUP BY l_partkey - CASE WHEN l_partkey % 13 = 12 THEN 1 ELSE 0 END, l_orderkey""",
     "translations": """
         SELECT concat('T', CAST(o_orderkey AS STRING)) AS id, concat('W', CAST(o_custkey AS STRING)) AS work_id, CASE o_orderkey % 3 WHEN 0 THEN 'eng' WHEN 1 THEN 'fre' ELSE 'ger' END AS language,
                o_orderpriority AS translator, CASE o_orderstatus WHEN 'F' THEN 'FULL' WHEN 'O' THEN 'PARTIAL' ELSE 'MACHINE' END AS completeness

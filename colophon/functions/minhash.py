@@ -10,7 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colophon.functions.text import shingles
+from colophon.functions.text import normalize_sanskrit, prefix_suffix_hash, shingles
+from colophon.functions.udfs import nfc
 
 #: Shingles that a worker remembers the hashes of (4 bytes for each component); then it starts anew.
 KNOWN = 100_000
@@ -76,3 +77,13 @@ def similar_pairs(signed: DataFrame, threshold: float, rows: int = 8) -> DataFra
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")))
     out = pairs.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"), similarity(F.col("a.signature"), F.col("b.signature")).alias("similarity"))
     return out.where(F.col("similarity") >= threshold).distinct()
+
+
+def text_fingerprints(docs: DataFrame, id_col: str, text_col: str, components: int = 128, kept: int = 8) -> DataFrame:
+    """The fingerprint record of every text: shingles, the first ``kept`` components, prefix and suffix with their digests, length and digest."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = docs.select(F.col(id_col).alias("id"), text.alias("text"), normalize_sanskrit(nfc(text), False).alias("normal"))
+    signed = signatures(plain, "id", "normal", components).select(F.col("id").alias("__id"), F.slice("signature", 1, kept).alias("minhash"))
+    ends = prefix_suffix_hash(F.col("normal"))
+    told = plain.select("id", F.greatest(F.char_length("normal") - 2, F.lit(0)).alias("shingle_count"), F.substring("normal", 1, 100).alias("prefix"), F.right("normal", F.lit(100)).alias("suffix"), ends["prefix_hash"].alias("prefix_hash"), ends["suffix_hash"].alias("suffix_hash"), ends["n_letters"].alias("n_letters"), F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16).alias("text_hash"))
+    return told.join(signed, told["id"].eqNullSafe(signed["__id"])).drop("__id")

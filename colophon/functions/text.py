@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Letters of the scholarly transliteration and what they fold to.
 IAST = ("āīūṛṝḷḹṃḥṅñṭḍṇśṣḻ", "aiurrllmhnntdnssl")
+#: Letters of a source word in a proof.
+SOURCE_LETTERS = "āīūṛṝḷḹṃṁñṅṇśṣṭḍḥ"
 DEVANAGARI_DIGITS = ("०१२३४५६७८९", "0123456789")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colophon.functions.text import IAST, squeeze
+from colophon.functions.text import IAST, SOURCE_LETTERS, squeeze
 
 
 def witness_tokens(readings: DataFrame) -> DataFrame:
@@ -35,25 +35,82 @@ def collation_score(collated: DataFrame) -> DataFrame:
     return collated.groupBy("work_id").agg(F.count("*").alias("n_places"), v.alias("n_variants"), (F.count("*") - v).alias("n_consensus"), (1 - F.try_divide(v.cast("double"), F.count("*"))).alias("score"))
 
 
-def alpha_tokens(text: Column, iast: bool = False) -> Column:
-    letters = "a-z" + (IAST[0] if iast else "")
+#: Technical terms and the renderings that a translation may use beside them.
+GLOSSARY = {
+    "śiva": ("Shiva", "Śiva"),
+    "śakti": ("Shakti", "Śakti"),
+    "brahman": ("Brahman",),
+    "ātman": ("Atman", "Ātman"),
+    "dharma": ("Dharma",),
+    "karman": ("Karma", "Karman"),
+    "saṃsāra": ("Samsara", "Saṃsāra"),
+    "mokṣa": ("Moksha", "Mokṣa"),
+    "nirvāṇa": ("Nirvana", "Nirvāṇa"),
+    "yoga": ("Yoga",),
+    "tantra": ("Tantra",),
+    "mantra": ("Mantra",),
+    "yantra": ("Yantra",),
+    "kuṇḍalinī": ("Kundalini", "Kuṇḍalinī"),
+    "cakra": ("Chakra", "Cakra"),
+    "prāṇa": ("Prana", "Prāṇa"),
+    "pramāṇa": ("Pramana", "Pramāṇa"),
+    "darśana": ("Darshana", "Darśana"),
+    "vedānta": ("Vedanta", "Vedānta"),
+    "nyāya": ("Nyaya", "Nyāya"),
+    "vaiśeṣika": ("Vaisheshika", "Vaiśeṣika"),
+    "mīmāṃsā": ("Mimamsa", "Mīmāṃsā"),
+    "sāṃkhya": ("Samkhya", "Sāṃkhya"),
+}
+
+
+def alpha_tokens(text: Column, source: bool = False) -> Column:
+    letters = "a-z" + (SOURCE_LETTERS if source else "")
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"([{letters}]+)"), F.lit(1)))
 
 
-def prove(pairs: DataFrame) -> DataFrame:
-    """Source and translation: word overlap over 0.1, at least 0.3 words of translation per source word, and both."""
+def _share(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part.cast("double"), whole), F.lit(0.0))
+
+
+def _violations(translation: Column, glossary: dict[str, tuple[str, ...]]) -> Column:
+    """Terms that the translation has without any of their renderings."""
+    low = F.lower(F.coalesce(translation, F.lit("")))
+    without = lambda accepted: ~F.exists(F.array(*[F.lit(a.lower()) for a in accepted]), lambda a: F.contains(low, a))
+    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t.lower())) & without(a), F.lit(t)) for t, a in glossary.items()]))
+
+
+def prove(pairs: DataFrame, glossary: dict[str, tuple[str, ...]] = GLOSSARY) -> DataFrame:
+    """Three checks of a source and its translation, and the verdict that all pass.
+
+    Binding: more than 0.1 of the source's words are in the translation.  Terms:
+    none without a rendering.  Coverage: more than 0.3 words of translation per
+    word of source.  Shares are rounded to three digits, half to even.  With a
+    column ``gold``, ``semantic``: the share of its words that the translation has.
+    """
     src, out = alpha_tokens(F.col("source"), True), alpha_tokens(F.col("translation"))
-    binding = F.coalesce(F.try_divide(F.size(F.array_intersect(src, out)).cast("double"), F.size(src)), F.lit(0.0))
-    n = lambda c: F.size(F.filter(F.split(squeeze(F.coalesce(c, F.lit(""))), " "), lambda w: w != ""))
-    ratio = F.coalesce(F.try_divide(n(F.col("translation")).cast("double"), n(F.col("source"))), F.lit(0.0))
-    done = pairs.withColumn("binding", binding).withColumn("coverage", ratio)
-    return done.withColumn("verdict", F.when((F.col("binding") > 0.1) & (F.col("coverage") > 0.3), "PASS").otherwise("FAIL"))
+    words = lambda c: F.filter(F.split(squeeze(F.coalesce(c, F.lit(""))), " "), lambda w: w != "")
+    n_source, matched = F.size(src), F.size(F.array_intersect(src, out))
+    binding, coverage = _share(matched, n_source), _share(F.size(words(F.col("translation"))), F.size(words(F.col("source"))))
+    sha = lambda c: F.substring(F.sha2(F.col(c).cast("binary"), 256), 1, 16)
+    done = pairs.withColumns({
+        "n_source_tokens": n_source, "n_matched": matched, "__binding": binding, "violations": _violations(F.col("translation"), glossary),
+        "n_padas": F.size(F.regexp_extract_all(F.coalesce("source", F.lit("")), F.lit(r"\|\|\s*\d+\s*\|\|"), F.lit(0))), "n_words": F.size(words(F.col("translation"))), "__coverage": coverage,
+        "source_sha": sha("source"), "translation_sha": sha("translation"),
+    })
+    if "gold" in pairs.columns:
+        gold = F.array_distinct(words(F.lower("gold")))
+        done = done.withColumn("semantic", F.when(F.col("gold") != "", F.bround(_share(F.size(F.array_intersect(gold, words(F.lower("translation")))), F.size(gold)), 3)))
+    passed = (F.col("__binding") > 0.1) & (F.size("violations") == 0) & (F.col("__coverage") > 0.3)
+    return done.withColumn("binding", F.bround("__binding", 3)).withColumn("coverage", F.bround("__coverage", 3)).withColumn("verdict", F.when(passed, "PASS").otherwise("FAIL")).drop("__binding", "__coverage")
 
 
 def term_violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
-    """(id, term): the source has the term and the translation none of its renderings. A glossary of up to 10,000 terms is broadcast, a longer one met in pairs of partitions."""
+    """(id, term): the translation has the term and none of its renderings, for a glossary of any length in a table.
+
+    Up to 10,000 terms are broadcast; a longer list is met in pairs of partitions.
+    """
     terms = F.broadcast(glossary) if glossary.count() <= 10_000 else glossary
-    joined = pairs.join(terms, F.contains(F.lower("source"), F.lower("term")))
+    joined = pairs.join(terms, F.contains(F.lower("translation"), F.lower("term")))
     return joined.where(~F.exists("renderings", lambda r: F.contains(F.lower("translation"), F.lower(r)))).select("id", "term")
 
 

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions import scratch
+from colophon.functions.udfs import jcs
+
 BLOCK = 12  # 2**BLOCK leaves fold in one row before any further shuffle
 
 
@@ -28,10 +33,16 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 def append_events(events: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` with the next cursors in the order of (recorded_at, event_id). A batch is small against the ledger."""
+    """``new`` with the next cursors in the order of (recorded_at, event_id), and the digest of each payload's canonical JSON."""
     last = max_cursor(events)
-    place = F.row_number().over(Window.orderBy("recorded_at", "event_id"))
-    return new.crossJoin(F.broadcast(last)).withColumn("cursor", F.col("max_cursor") + place).drop("max_cursor")
+    placed = positions(new, order=("recorded_at", "event_id"))
+    out = placed.crossJoin(F.broadcast(last)).withColumn("cursor", F.col("max_cursor") + F.col("pos") + 1).drop("max_cursor", "pos")
+    return out.withColumn("payload_digest", payload_digest(F.col("payload"))) if "payload" in new.columns else out
+
+
+def payload_digest(payload):
+    """JSON of algorithm and value: SHA-512 of the payload's canonical form."""
+    return F.to_json(F.struct(F.lit("sha512").alias("algorithm"), F.sha2(jcs(payload).cast("binary"), 512).alias("value")))
 
 
 def leaf(event_id, cursor, digest):
@@ -61,21 +72,20 @@ def _fold(hashes, whole: bool):
     return hashes[0]
 
 
-def positions(events: DataFrame, parts: int | None = None) -> DataFrame:
-    """``pos``: 0-based place of each event by cursor: one range shuffle, and one row per partition to add up."""
+def positions(events: DataFrame, parts: int | None = None, order: tuple[str, ...] = ("cursor",)) -> DataFrame:
+    """``pos``: 0-based place of each event by ``order`` (unique): one range shuffle, and one row per partition to add up."""
     spark = events.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    # Cursors are unique, so places within equal-width ranges of them, plus the counts before, give the order.
-    ends = events.agg(F.min("cursor").alias("lo"), F.max("cursor").alias("hi"))
-    ranged = events.crossJoin(F.broadcast(ends)).withColumn("__r", F.least(F.floor((F.col("cursor") - F.col("lo")) * n / (F.col("hi") - F.col("lo") + 1)), F.lit(n - 1))).drop("lo", "hi")
-    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
+    # Ranges come from a sample of the cursors, so gaps don't matter; rows are stored, so places stay as they are.
+    rows = scratch.cut(events.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__r", F.shiftrightunsigned("__at", 33))
+    counts = rows.groupBy("__r").agg(F.count("*").alias("__n"))
     before = counts.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))  # n rows
-    within = F.row_number().over(Window.partitionBy("__r").orderBy("cursor")) - 1
-    return ranged.withColumn("__w", within).join(F.broadcast(before), "__r").withColumn("pos", F.col("__b") + F.col("__w")).drop("__r", "__b", "__w")
+    return rows.join(F.broadcast(before), "__r").withColumn("pos", F.col("__b") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__r", "__b", "__at")
 
 
-def merkle_root(events: DataFrame) -> DataFrame:
-    """One row: root, first and last cursor and count. Log2(n) rounds, each half the rows of the one before.
+def merkle_root(events: DataFrame, hashed=None) -> DataFrame:
+    """``hashed``: the leaf's hash, if it isn't that of event id, cursor and digest. One row: root, first and last cursor and count. Log2(n) rounds, each half the rows of the one before.
 
     The number of rounds comes from one count; nothing else reaches the driver.
     """
@@ -83,7 +93,7 @@ def merkle_root(events: DataFrame) -> DataFrame:
     n = facts.first()["n_events"]
     if not n:
         return facts.select(F.sha2(F.lit("empty-ledger").cast("binary"), 256).alias("root"), "first_cursor", "last_cursor", "n_events")
-    level = positions(events).select("pos", leaf(F.col("event_id"), F.col("cursor"), F.col("digest")).alias("hash"))
+    level = positions(events).select("pos", (leaf(F.col("event_id"), F.col("cursor"), F.col("digest")) if hashed is None else hashed).alias("hash"))
     # Whole blocks fold in place: every block but the last is full, so its top is the tree's node at that height.
     block = level.groupBy(F.floor(F.col("pos") / (1 << BLOCK)).alias("pos")).agg(F.sort_array(F.collect_list(F.struct("pos", "hash"))).alias("leaves"))  # 4096 leaves at most
     blocks = -(-n // (1 << BLOCK))
@@ -105,15 +115,49 @@ def merkle_verify(events: DataFrame, checkpoints: DataFrame, checkpoint_id: str)
     return merkle_root(span).select((F.col("root") == F.lit(found["root"])).alias("valid"))
 
 
+def state_digest(events: DataFrame) -> DataFrame:
+    """One digest of the whole state: the Merkle root of (event id, type) in the order of the cursors."""
+    return merkle_root(events, F.sha2(F.concat(F.col("event_id"), F.lit(":"), F.col("event_type")).cast("binary"), 256)).select(F.col("root").alias("state_digest"), "n_events")
+
+
+def checkpoint_row(events: DataFrame, checkpoints: DataFrame, generated_at) -> DataFrame:
+    """The next checkpoint: root and count over all events, and the id of the checkpoint before it (that of the greatest first cursor)."""
+    last = checkpoints.agg(F.max_by("id", F.struct("first_event_cursor", "last_event_cursor")).alias("previous_checkpoint_id"))
+    made = merkle_root(events).crossJoin(last)  # one row each
+    key = F.sha2(F.concat_ws(":", "root", "first_cursor", "last_cursor", F.coalesce("previous_checkpoint_id", F.lit(""))).cast("binary"), 256)
+    merkle = F.to_json(F.struct(F.col("root"), F.col("n_events").alias("leaf_count")))
+    return made.select(F.concat(F.lit("CP_"), F.substring(key, 1, 16)).alias("id"), "previous_checkpoint_id", F.coalesce("first_cursor", F.lit(0)).cast("long").alias("first_event_cursor"), F.coalesce("last_cursor", F.lit(0)).cast("long").alias("last_event_cursor"), F.col("n_events").alias("event_count"), merkle.alias("merkle"), generated_at.alias("generated_at"))
+
+
+def latest_checkpoint(checkpoints: DataFrame) -> DataFrame:
+    return checkpoints.orderBy(F.desc("first_event_cursor"), F.desc("last_event_cursor")).limit(1)
+
+
+def signature(record, signed_at, algorithm: str = "sha256", key_id: str = "default"):
+    """A signature tagged with its algorithm: the digest of the record's canonical JSON. A key's signature would take the digest's place."""
+    digest = F.sha2(jcs(record).cast("binary"), 512 if algorithm == "sha512" else 256)
+    return F.struct(F.lit(algorithm).alias("algorithm"), F.lit(key_id).alias("key_id"), digest.alias("signature"), digest.alias("signed_digest"), signed_at.alias("signed_at"))
+
+
+def signature_valid(record, signed):
+    """Whether the record's digest is still the signed one."""
+    canonical = jcs(record).cast("binary")
+    return F.coalesce(F.when(signed["algorithm"] == "sha512", F.sha2(canonical, 512)).otherwise(F.sha2(canonical, 256)) == signed["signed_digest"], F.lit(False))
+
+
 def follow_merges(merges: DataFrame) -> DataFrame:
-    """``from_id`` to its last ``into_id``, through chains: pointers are doubled until none moves."""
-    at = merges.select("from_id", "into_id")
-    while True:
-        step = at.join(at.select(F.col("from_id").alias("into_id"), F.col("into_id").alias("next")), "into_id", "left").select("from_id", F.coalesce("next", "into_id").alias("into_id"), F.col("next").isNotNull().alias("moved"))
-        step = step.where("from_id != into_id").checkpoint() if merges.sparkSession.sparkContext.getCheckpointDir() else step.where("from_id != into_id").cache()
-        if not step.where("moved").limit(1).count():
-            return step.select("from_id", "into_id")
-        at = step.select("from_id", "into_id")
+    """``from_id`` to its last ``into_id``, through chains; null for what is on a cycle or leads into one.
+
+    Pointers are doubled, so log2 of the number of merges bounds the rounds: what
+    still moves then never ends.
+    """
+    at = scratch.cut(merges.where("from_id != into_id").groupBy("from_id").agg(F.min("into_id").alias("into_id")).withColumn("moved", F.lit(True)))
+    for _ in range(math.ceil(math.log2(at.count() + 2)) + 1):
+        ahead = at.select(F.col("from_id").alias("into_id"), F.col("into_id").alias("next"))
+        at = scratch.cut(at.select("from_id", "into_id").join(ahead, "into_id", "left").select("from_id", F.coalesce("next", "into_id").alias("into_id"), F.col("next").isNotNull().alias("moved")))
+        if at.where("moved").isEmpty():
+            break
+    return at.select("from_id", F.when(~F.col("moved"), F.col("into_id")).alias("into_id"))
 
 
 def traverse(edges: DataFrame, start: str, depth: int = 5) -> DataFrame:

@@ -35,8 +35,13 @@ def is_reserved(fields: DataFrame, reserved: DataFrame) -> DataFrame:
 
 
 def run_signature(gold, code, config) -> "F.Column":
-    """One digest of three; each is a canonical JSON text or a digest."""
-    return F.sha2(F.concat_ws("\u001f", gold, code, config).cast("binary"), 256)
+    """One digest of three: of their canonical JSON object, members sorted."""
+    member = lambda name, value: F.concat(F.lit(f'"{name}": "'), value, F.lit('"'))
+    return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", member("code", code), member("config", config), member("gold", gold)), F.lit("}")).cast("binary"), 256)
+
+
+def run_of(runs: DataFrame, signature: str) -> DataFrame:
+    return runs.where(F.col("signature") == signature)
 
 
 def record_runs(runs: DataFrame, new: DataFrame) -> DataFrame:
@@ -88,7 +93,34 @@ def enrich_editions(editions: DataFrame, files: DataFrame, scholars: list[str])
 
 
 def deepfind(hits: DataFrame) -> DataFrame:
-    """(work, variant_order, source, url): the hits of each work's first variant that has any, once per address, and their number."""
+    """(work, variant_order, source, url): the hits of each work's first variant that has any, once per address, and their number.
+
+    An address that several sources give counts for the least of them.
+    """
     first = hits.groupBy("work").agg(F.min("variant_order").alias("variant_order"))
-    kept = hits.join(first, ["work", "variant_order"]).dropDuplicates(["work", "url"])
+    kept = hits.join(first, ["work", "variant_order"]).groupBy("work", "url").agg(F.min("source").alias("source"))
     return kept.groupBy("work").agg(F.count("*").alias("n_confirmed"), F.sort_array(F.collect_set("source")).alias("sources"))
+
+
+def record_derivations(new: DataFrame) -> DataFrame:
+    """(activity_type, inputs, outputs, actor_id, software, configuration, at) as activities with a deterministic id."""
+    key = F.sha2(F.to_json(F.struct("activity_type", "inputs", "outputs", "actor_id", "software", "configuration", "at")).cast("binary"), 256)
+    out = new.withColumn("id", F.concat(F.lit("ACT_"), F.substring(key, 1, 32)))
+    return out.select("id", "activity_type", "inputs", "outputs", F.coalesce("actor_id", F.lit("")).alias("actor_id"), F.coalesce("software", F.lit("{}")).alias("software"), F.coalesce("configuration", F.lit("{}")).alias("configuration"), F.col("at").alias("started_at"), F.col("at").alias("completed_at"), F.col("at").alias("created_at"))
+
+
+def record_model_calls(calls: DataFrame) -> DataFrame:
+    """(model, provider, prompt, response, config, at) as activities that keep digests of prompt and response, never the texts."""
+    digest = lambda c: F.struct(F.lit("sha256").alias("algorithm"), F.sha2(F.col(c).cast("binary"), 256).alias("value"))
+    return record_derivations(
+        calls.select(
+            F.lit("LLM_CALL").alias("activity_type"), F.to_json(F.array(F.struct(digest("prompt").alias("prompt_digest")))).alias("inputs"), F.to_json(F.array(F.struct(digest("response").alias("response_digest")))).alias("outputs"),
+            F.concat(F.lit("provider:"), "provider").alias("actor_id"), F.to_json(F.struct("model")).alias("software"), "config", "at",
+        ).withColumnRenamed("config", "configuration")
+    )
+
+
+def gap_cycle(gaps: DataFrame, actions: DataFrame, discoveries: DataFrame) -> DataFrame:
+    """One row: how many gaps, actions and discoveries a cycle has."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    return n(gaps, "gaps").crossJoin(n(actions, "actions")).crossJoin(n(discoveries, "discoveries"))  # one row each

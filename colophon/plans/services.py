@@ -18,8 +18,8 @@ query("candidate_to_entity", "SELECT id, CASE WHEN CAST(substring(subject_id, 2)
 query("feature_evidence", "SELECT concat('K', CAST(seq % 300 AS STRING)) AS cluster, array_to_string(list_sort(list(DISTINCT preferred_title)), ',') AS titles, count(*) AS n_candidates FROM works GROUP BY 1")(
     lambda t: s.feature_evidence(t.works.select(F.concat(F.lit("K"), (F.col("seq") % 300).cast("string")).alias("cluster"), F.col("preferred_title").alias("title"), F.col("work_type").alias("author"))).select("cluster", F.array_join("titles", ",").alias("titles"), "n_candidates")
 )
-query("deepfind", "SELECT entity_id AS work, count(DISTINCT value) AS n_confirmed FROM external_identifiers e WHERE scheme = (SELECT min(scheme) FROM external_identifiers f WHERE f.entity_id = e.entity_id) GROUP BY entity_id")(
-    lambda t: s.deepfind(t.external_identifiers.select(F.col("entity_id").alias("work"), F.col("scheme").alias("variant_order"), F.col("scheme").alias("source"), F.col("value").alias("url"))).select("work", "n_confirmed")
+query("deepfind", "SELECT entity_id AS work, count(DISTINCT value) AS n_confirmed, min(scheme) AS sources FROM external_identifiers e WHERE scheme = (SELECT min(scheme) FROM external_identifiers f WHERE f.entity_id = e.entity_id) GROUP BY entity_id")(
+    lambda t: s.deepfind(t.external_identifiers.select(F.col("entity_id").alias("work"), F.col("scheme").alias("variant_order"), F.col("scheme").alias("source"), F.col("value").alias("url"))).select("work", "n_confirmed", F.array_join("sources", ",").alias("sources"))
 )
 query("enrich_edition", "SELECT d.id AS edition_id, CASE WHEN regexp_matches(lower(publisher), '\\b(ai|hypertuned|auto)\\b') THEN 'C' WHEN contains(lower(publisher), 'high') THEN 'A' ELSE 'B' END AS tier, CASE WHEN count(f.id) > 0 THEN 4 ELSE 0 END AS ladder, coalesce(CAST(sum(CASE WHEN f.ordinal IS NULL THEN 0 ELSE f.ordinal END) FILTER (WHERE f.id IS NOT NULL) AS BIGINT), NULL) AS bytes FROM editions d LEFT JOIN document_segments f ON substring(f.etext_id, 2) = CAST(CAST(substring(d.id, 2) AS BIGINT) + 1 AS STRING) GROUP BY d.id, publisher")(
     lambda t: s.enrich_editions(
@@ -39,8 +39,10 @@ query("coverage_from_title", "SELECT id, CASE WHEN regexp_matches(lower(preferre
 query("fp_similarity", "SELECT a.doc_id, (CASE WHEN substring(a.text, 1, 100) = substring(b.text, 1, 100) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END) + (CASE WHEN right(a.text, 100) = right(b.text, 100) THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END) + 0.2::DOUBLE * coalesce(least(length(a.text), length(b.text))::DOUBLE / nullif(greatest(length(a.text), length(b.text)), 0), 0.0) AS similarity FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")(
     lambda t: t.documents.select("doc_id", x.prefix_suffix_hash(F.col("text")).alias("f")).join(t.documents.select((F.col("doc_id") - 1).alias("doc_id"), x.prefix_suffix_hash(F.col("text")).alias("g")), "doc_id").select("doc_id", x.fp_similarity(F.col("f"), F.col("g")).alias("similarity"))
 )
-query("semantic_fp", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS fp FROM documents")(lambda t: t.documents.select("doc_id", F.sha2(x.normalize_sanskrit(F.col("text")).cast("binary"), 256).alias("fp")))
-query("run_signature", "SELECT id, sha256(concat_ws(chr(31), id, preferred_title, work_type)) AS signature FROM works")(lambda t: t.works.select("id", s.run_signature(F.col("id"), F.col("preferred_title"), F.col("work_type")).alias("signature")))
+query("semantic_fp", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS fp FROM documents")(lambda t: t.documents.select("doc_id", F.sha2(x.normalize_sanskrit(udfs.nfc("text")).cast("binary"), 256).alias("fp")))
+query("run_signature", """SELECT id, sha256(concat('{"code": "', sha256(preferred_title), '", "config": "', sha256(work_type), '", "gold": "', sha256(id), '"}')) AS signature FROM works""")(
+    lambda t: t.works.select("id", s.run_signature(*[F.sha2(F.col(c).cast("binary"), 256) for c in ("id", "preferred_title", "work_type")]).alias("signature"))
+)
 query("golden_audit", "SELECT CAST(doc_id AS STRING) AS name, sha256(right(text, 2000)) AS now, CASE WHEN doc_id % 3 = 0 THEN 'NEW' WHEN doc_id % 3 = 1 THEN 'MATCH' ELSE 'CHANGED' END AS status FROM documents")(
     lambda t: s.audit(t.documents.select(F.col("doc_id").cast("string").alias("name"), F.col("text").alias("output")), t.documents.where("doc_id % 3 > 0").select(F.col("doc_id").cast("string").alias("name"), F.when(F.col("doc_id") % 3 == 1, F.sha2(F.right("text", F.lit(2000)).cast("binary"), 256)).otherwise("x").alias("digest")))
 )

@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 import unicodedata
 import zipfile
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colophon.functions import minhash, text, udfs
-from colophon.operators import catalogue, collation, extract, identity, ledger, serialize
+from colophon.operators import catalogue, collation, extract, identity, ledger, serialize, services
 from colophon.sources import readers
 from colophon.streaming import ledger as stream
 
@@ -77,6 +78,10 @@ def test_merkle_root(spark, n, monkeypatch):
 def test_ledger_chains(spark):
     merges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", "y")], "from_id string, into_id string")
     assert {(r.from_id, r.into_id) for r in ledger.follow_merges(merges).collect()} == {("a", "d"), ("b", "d"), ("c", "d"), ("x", "y")}
+    cycles = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a"), ("p", "q"), ("r", "r")], "from_id string, into_id string")
+    assert {r.from_id: r.into_id for r in ledger.follow_merges(cycles).collect()} == {"a": None, "b": None, "c": None, "x": None, "p": "q"}
+    gaps = spark.createDataFrame([(k if k < 20 else k * 10**9,) for k in range(40)], "cursor long").repartition(5)
+    assert [r.pos for r in sorted(ledger.positions(gaps).collect())] == list(range(40))
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
     assert {(r.node, r.distance) for r in ledger.traverse(edges, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
@@ -119,11 +124,30 @@ def test_extraction(spark):
 
 
 def test_serializers(spark):
-    got = one(spark, serialize.prov_activity(F.col("a"), F.lit("ingest"), F.array(F.lit("x")), F.array(F.lit("y")), F.lit("t")), a="act")
-    assert json.loads(got)["prov:used"] == [{"@id": "x"}]
-    note = json.loads(one(spark, serialize.web_annotation(F.col("a"), F.lit("b"), F.lit("s"), F.lit("q"), F.lit(1), F.lit(2)), a="n"))
-    assert [s["type"] for s in note["target"]["selector"]] == ["TextQuoteSelector", "TextPositionSelector"]
+    got = one(spark, serialize.prov_activity(F.col("a"), F.array(F.lit("x")), F.array().cast("array<string>"), F.lit("t"), F.lit("u"), software=F.lit("s"), version=F.lit("1")), a="act")
+    assert json.loads(got)["prov:used"] == [{"type": "prov:Entity", "id": "x"}, {"type": "prov:SoftwareAgent", "id": "s", "prov:wasAttributedTo": "1"}]
+    assert "prov:generated" not in json.loads(got) and "prov:wasAssociatedWith" not in json.loads(got)
+    selectors = serialize.anchor_selectors(F.lit(1), F.lit(2), F.lit("q"))
+    note = json.loads(one(spark, serialize.web_annotation(F.lit("s"), selectors, F.col("a"), F.lit("t")), a='say "n"'))
+    assert note["target"] == {"type": "TextPosition", "start": 1, "end": 2} and note["body"]["value"] == 'say "n"'
+    whole = json.loads(one(spark, serialize.web_annotation(F.lit("s"), F.array().cast(serialize.SELECTORS), F.col("a"), F.lit("t")), a="n"))
+    assert whole["target"] == {"type": "TextPositionSelector", "source": "s"}
+    stam = one(spark, serialize.stam_from_anchor(F.col("a"), F.lit("s"), selectors, F.lit("t")), a="i")
+    assert json.loads(stam)["target"] == {"type": "TextSelector", "text": {"set": "s"}, "quote": "q"}
+    back = one(spark, serialize.anchor_from_stam(F.col("a")), a=json.dumps({"id": "i", "target": {"type": "TextSelector", "text": {"set": "s"}, "begin": 3, "end": 9}}))
+    assert (back["id"], back["source"], [(x["type"], x["start"], x["end"]) for x in back["selectors"]]) == ("i", "s", [("TextPosition", 3, 9)])
+    collection = json.loads(one(spark, serialize.annotation_collection(F.array(serialize.prov_entity(F.col("a")))), a="n"))
+    assert [x["id"] for x in collection["items"]] == ["n"]
+    passage = json.loads(one(spark, serialize.passage_annotation(F.col("a"), F.lit("p"), F.lit("x"), F.array().cast("array<string>"), F.lit("t")), a="w"))
+    assert passage == {"work_id": "w", "passage_id": "p", "text": "x", "annotations": [], "metadata": {"created_at": "t", "source": "Colophon"}}
+    assert json.loads(one(spark, serialize.stam_set(F.col("a"), F.lit("n"), F.array().cast("array<string>"), F.lit("t")), a="i"))["annotations"] == []
+    assert json.loads(one(spark, serialize.atlas_from_annotation(F.col("a"), F.lit(None), F.lit("m"), F.lit("p")), a="l"))["lemma"] == ""
+    assert json.loads(one(spark, serialize.web_from_annotation(F.col("a"), F.lit("s"), F.lit(1), F.lit(2), F.lit("v"), F.lit("linking"), F.lit("t")), a="i"))["target"]["selector"]["end"] == 2
+    snapshot = json.loads(one(spark, serialize.datacite_snapshot(F.col("a"), F.lit("2026-05-04T00:00:00Z"), F.lit(7), F.lit(2026)), a="S"))
+    assert snapshot["data"]["attributes"]["titles"] == [{"title": "Colophon Snapshot 2026-05-04"}]
+    assert json.loads(one(spark, serialize.error(F.col("a"), F.lit("m"), F.lit(404)), a="c")) == {"error": {"code": "c", "message": "m", "status": 404}}
     assert json.loads(one(spark, serialize.c2pa_manifest(F.col("a"), F.lit("d"), "colophon"), a="t"))["assertions"][0]["data"]["hash"] == "d"
+    assert one(spark, serialize.judged(F.col("a")), a="no object here")["reason"] == "__PARSE__ no object here"
 
 
 def test_readers(spark, tmp_path):
@@ -186,7 +210,7 @@ def test_canonical_tables_use_every_row(spark):
     assert n["passages"] == n["document_segments"] == lines.count()
     assert n["translations"] + n["editions"] + n["etexts"] + n["witnesses"] == orders.count() and min(n.values()) > 0
     ids = table(spark, DATA, "external_identifiers")
-    given = lines.select(F.concat(F.lit("W"), (F.col("l_partkey") - (F.col("l_partkey") % 13 == 12).cast("int")).cast("string")), "l_suppkey").distinct()
+    given = lines.select(F.concat(F.lit("W"), (F.col("l_partkey") - (F.col("l_partkey") % 13 == 12).cast("int")).cast("string")), "l_orderkey").distinct()
     assert ids.count() == ids.select("entity_id", "value").distinct().count() == given.count()
     assert 0 < table(spark, DATA, "works").join(ids, F.col("id") == F.col("entity_id"), "left_anti").count()
 
@@ -206,6 +230,40 @@ def test_minhash_query_has_every_component(spark):
 def test_a_long_glossary_is_read_whole(spark):
     terms = [f"t{k:05}" for k in range(12_000)]
     glossary = spark.createDataFrame([(x, [x.upper() + "!"]) for x in terms], "term string, renderings array<string>")
-    pairs = spark.createDataFrame([(1, " ".join(terms), f"{terms[7]}! and no more"), (2, "nothing", "")], "id long, source string, translation string")
+    pairs = spark.createDataFrame([(1, "", f"{' '.join(terms)}! {terms[7]}! and no more"), (2, " ".join(terms), "")], "id long, source string, translation string")
     got = collation.term_violations(pairs, glossary).collect()
-    assert sorted((r.id, r.term) for r in got) == [(1, x) for x in terms if x != terms[7]]
+    assert sorted((r.id, r.term) for r in got) == [(1, x) for x in terms if x not in (terms[7], terms[-1])]
+
+
+def test_prove(spark):
+    rows = [
+        (1, "dharmaṃ vakṣye || 12 || dharma iti", "I tell of Dharma , the dharma", "the dharma I tell"),
+        (2, "śivaṃ namāmi", "bow to śiva", None),
+        (3, "śivaṃ namāmi yoga", "yoga for Śiva who is śiva", ""),
+        (4, "", "anything", "x"),
+        (5, None, None, None),
+        (6, "a b c d e f g h i j", "a b", "a z"),
+    ]
+
+    def plain(source, translation, gold):
+        source, translation = source or "", translation or ""
+        s, t = set(re.findall(r"[a-zA-Zāīūṛṝḷḹṃṁñṅṇśṣṭḍḥ]+", source.lower())), set(re.findall(r"[a-zA-Z]+", translation.lower()))
+        binding = len(s & t) / len(s) if s else 0
+        bad = [x for x, ok in collation.GLOSSARY.items() if x.lower() in translation.lower() and not any(a.lower() in translation.lower() for a in ok)]
+        cover = len(translation.split()) / len(source.split()) if source.split() else 0
+        semantic = round(len(set(gold.lower().split()) & set(translation.lower().split())) / len(set(gold.lower().split())), 3) if gold else None
+        return round(binding, 3), bad, len(re.findall(r"\|\|\s*\d+\s*\|\|", source)), round(cover, 3), semantic, "PASS" if binding > 0.1 and not bad and cover > 0.3 else "FAIL"
+
+    got = {r.id: (r.binding, r.violations, r.n_padas, r.coverage, r.semantic, r.verdict) for r in collation.prove(spark.createDataFrame(rows, "id long, source string, translation string, gold string")).collect()}
+    assert got == {r[0]: plain(*r[1:]) for r in rows}
+
+
+def test_records(spark):
+    hits = spark.createDataFrame([("w", 2, "b", "u1"), ("w", 2, "a", "u1"), ("w", 2, "c", "u2"), ("w", 3, "d", "u3")], "work string, variant_order int, source string, url string")
+    assert [tuple(r) for r in services.deepfind(hits).collect()] == [("w", 2, ["a", "c"])]
+    one_row = lambda n: spark.range(n)
+    assert tuple(services.gap_cycle(one_row(3), one_row(2), one_row(0)).first()) == (3, 2, 0)
+    want = hashlib.sha256(json.dumps({"gold": "g", "code": "c", "config": "f"}, sort_keys=True).encode()).hexdigest()
+    assert one(spark, services.run_signature(F.col("g"), F.lit("c"), F.lit("f")), g="g") == want
+    digest = json.loads(one(spark, ledger.payload_digest(F.col("p")), p='{"b": 1, "a": [true, null]}'))
+    assert digest == {"algorithm": "sha512", "value": hashlib.sha512(b'{"a":[true,null],"b":1}').hexdigest()}

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from colophon.llm.storage import drop_stored, partitions, ranked
+from colophon.llm.storage import drop_stored, partitions, ranked, stored
 
 WORDS = r"[\x20\x09-\x0D]+"
 
@@ -67,7 +67,9 @@ def schedule(
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id_col), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)).alias("__shuffle"), *keep)
+    slim = stored(slim, "sizes")  # the texts are read and split once: sampling and sorting read the sizes
     rows = ranked(slim, [F.col("source").asc_nulls_last(), F.col("__shuffle"), F.col(id_col).asc_nulls_last(), F.col("size"), *keep], ("size",), "mix")
+    drop_stored(slim)
     # One row per source: weights are handed out in order on the driver, as the mix's own configuration.
     per = sorted(rows.groupBy("source").agg(F.sum("size").alias("n"), F.min("size_before").alias("first")).collect(), key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
     budget = sum(r["n"] for r in per)

@@ -13,7 +13,11 @@ point with very many keys, and is cut into intervals like any other arc.
 
 Edge cases: a null text shares the empty text's ring point and has size
 ``overhead``; a null id hashes like any other value; repeated rows are placed one
-by one; an empty table gives an empty result; other columns are carried along.
+by one; an empty table gives an empty result; other columns are left out.
+
+At load factor 1 counts come out at most one apart, which moves more keys when a
+shard is added than consistent hashing alone would: the overflow of every full
+shard shifts.  ``load_factor`` above 1 trades equal counts for less movement.
 """
 
 from __future__ import annotations
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType
 
-from colophon.llm.storage import ranked
+from colophon.llm.storage import drop_stored, ranked, stored
 
 RING = 1 << 32
 
@@ -102,7 +106,9 @@ def shard_on_ring(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__text"),
         F.xxhash64(F.lit(7), F.col(id_col)).alias("__doc"),
     ).withColumn("__ring", F.pmod(F.shiftrightunsigned("__text", 32) - turn, F.lit(RING)))
+    keyed = stored(keyed, "keys")  # the texts are read and hashed once
     placed = ranked(keyed, [F.col("__ring"), F.col("__text"), F.col("__doc"), F.col(id_col).asc_nulls_first()], ("size",), "ring")
+    drop_stored(keyed)
 
     def arc_of(rings: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(points, rings.to_numpy(dtype=np.int64)).astype(np.int32))

@@ -140,3 +140,17 @@ def test_packed_rows_keep_their_number(spark):
     assert Counter((r.doc_id, r.text, r.n_chars) for r in out) == Counter((r[0], r[1], r[4]) for r in rows)
     assert len({(r.batch, r.row) for r in out}) == len(rows) and all(r.n_tokens == n_words(r.text) for r in out)
     assert packing.packed_order(docs.limit(0)).count() == 0
+
+
+def test_ring_points_stay_and_slack_saves_movement(spark):
+    """One more shard leaves the points of the others alone; a looser bound moves fewer keys."""
+    at, owners = sharding.ring(8, 64)
+    more, theirs = sharding.ring(9, 64)
+    assert {(a, o) for a, o in zip(more, theirs) if o < 8} <= set(zip(at, owners))
+    docs = spark.createDataFrame([(k, f"text {k}", None, None, None, 1, None, None) for k in range(2000)], SHAPE)
+    moved = {}
+    for factor in (1.0, 1.25):
+        before, after = ({r.doc_id: r.shard for r in sharding.shard_on_ring(docs, n, load_factor=factor).collect()} for n in (8, 9))
+        moved[factor] = sum(before[k] != after[k] for k in before)
+        assert max(Counter(before.values()).values()) <= factor * 2000 / 8 + 1
+    assert 2000 / 9 * 0.5 < moved[1.25] < moved[1.0] < 2000 * 0.6

@@ -310,7 +310,7 @@ def _audit(threshold: float, asked: np.ndarray, units: np.ndarray):
 
 
 def near_vectors(
-    vectors: DataFrame, *, threshold: float = 0.9, k: int = 8, longest: int = 128, trees: int = 8, leaf: int = 200, rounds: int = 4, fit: int = 8192, audit: int = 256, least_recall: float = 0.97, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding"
+    vectors: DataFrame, *, threshold: float = 0.9, k: int = 8, longest: int = 32, trees: int = 8, leaf: int = 200, rounds: int = 4, fit: int = 8192, audit: int = 256, least_recall: float = 0.97, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding"
 ) -> DataFrame:
     """``id_col``, ``n_links``, ``component_id``, ``kept``, ``audit_recall`` (a number of the whole run)."""
     spark = vectors.sparkSession

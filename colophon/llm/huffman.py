@@ -26,6 +26,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ class CachedTokenizer:
     encode each text whole.  ``KEEP`` bounds the chunks that a worker remembers.
     """
 
-    KEEP, MARKS = 1_000_000, ".,;:!?"
+    KEEP, AT_ONCE, MARKS = 2_000_000, 1024, ".,;:!?"
 
     def __init__(self, path: str, dtype: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -76,19 +77,25 @@ class CachedTokenizer:
         self.known = {"": b""} | dict(zip(self.apart, self._ids(list(self.apart))))
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out, step = [], self.dtype.itemsize
+        for k in range(0, len(texts), self.AT_ONCE):  # few lists at a time, so the garbage collector has little to look through
+            made = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + self.AT_ONCE], add_special_tokens=False)]
+            raw = np.fromiter(chain.from_iterable(made), self.dtype).tobytes()
+            out += [raw[a * step : b * step] for a, b in pairwise(accumulate(map(len, made), initial=0))]
+        return out
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         if len(self.known) > self.KEEP:
             self._forget()
         known, apart = self.known, self.apart
-        new = [w for w in chunks if w not in known]
+        found = list(map(known.get, chunks))
+        new = [w for w, x in zip(chunks, found) if x is None]
         # A word and its mark are encoded one by one, so the word is remembered with and without it.
         stems = {w: w[:-1] for w in new if w[-1] in apart and w[-2:-1].isalnum()}
         fresh = list({stems.get(w, w) for w in new} - known.keys())
         known.update(zip(fresh, self._ids(fresh)))
         known.update({w: known[x] + known[w[-1]] for w, x in stems.items()})
-        return [known[w] for w in chunks]
+        return [known[w] if x is None else x for w, x in zip(chunks, found)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin and end (a null text has none)."""
@@ -98,7 +105,7 @@ class CachedTokenizer:
             return np.frombuffer(b"".join(made), self.dtype), np.concatenate([[0], np.cumsum([len(x) // self.dtype.itemsize for x in made])]).astype(np.int64)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        made = self._chunks(coded.dictionary.to_pylist())
+        made = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.array([len(x) for x in made], dtype=np.int64) // self.dtype.itemsize
         at, chunk = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
         n = sizes[chunk]

@@ -162,6 +162,17 @@ def test_chunks_agree_with_whole_texts():
             assert ids.tolist() == want + want and at.tolist() == [0, 0, len(want), len(want), 2 * len(want)]
 
 
+def test_chunks_agree_when_they_are_many_or_forgotten(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(huffman.CachedTokenizer, "AT_ONCE", 3)
+    monkeypatch.setattr(huffman.CachedTokenizer, "KEEP", 20)
+    t = huffman.CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"), huffman.id_type(49408))
+    texts = [" ".join(f"Wörd{k * n}{'.,&'[k % 3]}" for k in range(n)) for n in (1, 3, 4, 40, 7)]
+    for kind in (pa.string(), pa.large_string()):
+        for text in texts:
+            assert t.encode(pa.array([text], kind))[0].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_vocabularies_that_keep_white_space_encode_whole_texts(tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     words = {"[UNK]": 0, "a": 1, "\u2581a": 2, "\u2581": 3, "b": 4, "\u2581b": 5}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import fingerprint, huffman, language, mixing, ngram_join, nn_descent, packing, quality, secrets, sharding
+from colophon.llm import fingerprint, huffman, language, line_dedup, mixing, ngram_join, nn_descent, packing, quality, secrets, sharding
 from colophon.llm.storage import scratch_path
 
 
@@ -69,6 +69,10 @@ def op10_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read_corpus(spark, path, digest=True).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_embeddings": op3_embeddings, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman}
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_docs(spark, sf_dir))
 
-ORACLE_SQL: dict[str, str] = {}
+
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_embeddings": op3_embeddings, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman, "op11_lines": op11_lines}
+
+ORACLE_SQL: dict[str, str] = {"op11_lines": line_dedup.REPORT_SQL}

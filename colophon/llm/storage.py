@@ -15,7 +15,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOW_BITS = (1 << 33) - 1
@@ -90,6 +90,11 @@ def drop_stored(*tables: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def named(column: str) -> Column:
+    """A column by its very name, also where it holds dots or backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colophon.llm import fingerprint, huffman, language, line_dedup, mixing, ngram_join, nn_descent, packing, quality, secrets, sharding, turn_repair
+from colophon.llm import fingerprint, huffman, language, line_dedup, mixing, ngram_join, nn_descent, packing, quality, secrets, sharding, token_align, turn_repair
 from colophon.llm.storage import scratch_path
 
 
@@ -73,11 +73,18 @@ def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_docs(spark, sf_dir))
 
 
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_align.aligned(_docs(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.drop("a", "b")
+
+
 def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turn_repair.repair_report(turn_repair.damaged(rows), rows)
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_embeddings": op3_embeddings, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman, "op11_lines": op11_lines, "op13_turns": op13_turns}
+QUERIES = {"op1_mix": op1_mix, "op2_shard": op2_shard, "op3_embeddings": op3_embeddings, "op4_fingerprint": op4_fingerprint, "op5_pack": op5_pack, "op6_language": op6_language, "op7_secrets": op7_secrets, "op8_ngram_join": op8_ngram_join, "op9_quality": op9_quality, "op10_huffman": op10_huffman, "op11_lines": op11_lines, "op12_tokens": op12_tokens, "op13_turns": op13_turns}
 
 ORACLE_SQL: dict[str, str] = {"op11_lines": line_dedup.REPORT_SQL, "op13_turns": turn_repair.REPORT_SQL}

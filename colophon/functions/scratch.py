@@ -25,11 +25,24 @@ def folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{folder(spark)}/colophon-core-{spark.sparkContext.applicationId}"
+
+
 def path(spark: SparkSession, label: str) -> str:
-    return f"{folder(spark)}/{label}-{uuid.uuid4().hex}"
+    return f"{_own(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its rows in the shared folder and no lineage."""
-    folder(df.sparkSession)
-    return df.checkpoint()
+    """``df`` written once to the shared folder and read from there: no lineage, and later plans read the columns they need."""
+    spark = df.sparkSession
+    at = path(spark, "cut")
+    df.write.option("compression", "zstd").parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete what this application has put into the folder. Results that were not written or collected yet can't be read after it."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colophon.functions.scratch import cut
 from colophon.functions.text import IAST, SOURCE_LETTERS, squeeze
+from colophon.operators.containment import contained
 
 
 def witness_tokens(readings: DataFrame) -> DataFrame:
@@ -107,11 +109,17 @@ def prove(pairs: DataFrame, glossary: dict[str, tuple[str, ...]] = GLOSSARY) ->
 def term_violations(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """(id, term): the translation has the term and none of its renderings, for a glossary of any length in a table.
 
-    Up to 10,000 terms are broadcast; a longer list is met in pairs of partitions.
+    Terms and renderings are looked up together, in letters of one case; a null translation has no term.  A term that the
+    glossary lists twice is violated where any of its entries is.
     """
-    terms = F.broadcast(glossary) if glossary.count() <= 10_000 else glossary
-    joined = pairs.join(terms, F.contains(F.lower("translation"), F.lower("term")))
-    return joined.where(~F.exists("renderings", lambda r: F.contains(F.lower("translation"), F.lower(r)))).select("id", "term")
+    rows = cut(pairs.select("id", F.lower("translation").alias("text")).withColumn("row", F.monotonically_increasing_id()))
+    entries = cut(glossary.select("term", F.lower("term").alias("low"), F.transform("renderings", lambda r: F.lower(r)).alias("renderings")).withColumn("entry", F.monotonically_increasing_id()))
+    wanted = entries.select("low").union(entries.select(F.explode("renderings").alias("low"))).distinct()
+    has = cut(contained(rows, wanted, term="low"))
+    found = has.join(entries.select("entry", F.col("low").alias("term")), "term").select("row", "entry")
+    rendered = has.join(entries.select("entry", F.explode(F.array_distinct("renderings")).alias("term")), "term").select("row", "entry")
+    bare = found.join(rendered, ["row", "entry"], "left_anti")
+    return bare.join(entries.select("entry", "term"), "entry").join(rows.select("row", "id"), "row").select("row", "id", "term").distinct().select("id", "term")
 
 
 def duplicate_hashes(table: DataFrame, text: str) -> DataFrame:
@@ -126,13 +134,11 @@ def extractor_sanity(table: DataFrame, group: str, text: str) -> DataFrame:
 
 
 def missed(curated: DataFrame, found: DataFrame) -> DataFrame:
-    """Curated titles that neither contain nor are contained in a found title. Both lists are distinct titles.
-
-    Equal titles are settled by a hash join; only the rest is compared by containment.
-    """
-    left, right = curated.select(F.lower("title").alias("title")).distinct(), found.select(F.lower("title").alias("other")).distinct()
-    rest = left.join(right, left["title"] == right["other"], "left_anti")
-    return rest.join(right, F.contains("title", F.col("other")) | F.contains(F.col("other"), F.col("title")), "left_anti")
+    """Curated titles that neither contain nor are contained in a found title, whatever the case of their letters; each once."""
+    left, right = cut(curated.select(F.lower("title").alias("title")).where("title is not null").distinct()), cut(found.select(F.lower("title").alias("title")).where("title is not null").distinct())
+    holding = contained(left, right, "title", "title", "title").select(F.col("row").alias("title"))
+    held = contained(right, left, "title", "title", "title").select(F.col("term").alias("title"))
+    return left.join(holding.union(held), "title", "left_anti")
 
 
 def source_binding(registry: DataFrame, verses: DataFrame) -> DataFrame:

@@ -11,22 +11,24 @@ from colophon.operators import collation as co
 from colophon.operators import extract
 from colophon.operators import identity as i
 from colophon.operators import ledger as l
+from colophon.operators.set_join import best_pairs, fuzzy_pairs
 from colophon.plans.registry import query
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '^(the|a|an)\s+', ''), '\s+(vol|volume|part|chapter)\s*\d*$', ''), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
 PRINT = r"CASE WHEN trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g')) = '' THEN '' ELSE substring(sha256(substring(trim(regexp_replace(lower(coalesce({0}, '')), '\s+', ' ', 'g')), 1, 100)), 1, 16) END"
-PAIRS = f"""title AS (SELECT subject_id AS work_id, arg_min(literal, id) AS title FROM assertions WHERE predicate_uri = 'TITLE' GROUP BY 1),
-  nt AS (SELECT work_id, {NORM.format("title")} AS key, {PRINT.format("title")} AS fp FROM title),
+PAIRS = f"""title AS (SELECT subject_id AS work_id, literal FROM assertions WHERE predicate_uri = 'TITLE'), author AS (SELECT subject_id AS work_id, literal FROM assertions WHERE predicate_uri = 'AUTHOR'),
+  nt AS (SELECT work_id, {NORM.format("literal")} AS key, {PRINT.format("literal")} AS fp FROM title),
+  own AS (SELECT work_id, {NORM.format("title")} AS key, {PRINT.format("title")} AS fp FROM (SELECT subject_id AS work_id, arg_min(literal, id) AS title FROM assertions WHERE predicate_uri = 'TITLE' GROUP BY 1)),
   m1 AS (SELECT a.entity_id AS work_id, b.entity_id AS match_id, 'exact_identifier' AS matcher, 1.0 AS confidence FROM external_identifiers a JOIN external_identifiers b ON a.scheme = b.scheme AND a.value = b.value AND a.entity_id <> b.entity_id),
-  m2 AS (SELECT a.work_id, b.work_id AS match_id, 'normalized_title' AS matcher, 0.95 AS confidence FROM nt a JOIN nt b ON a.key = b.key AND a.work_id <> b.work_id WHERE a.key <> ''),
-  au AS (SELECT DISTINCT subject_id AS work_id, literal AS author FROM assertions WHERE predicate_uri = 'AUTHOR'), ti AS (SELECT DISTINCT subject_id AS work_id, literal AS title FROM assertions WHERE predicate_uri = 'TITLE'),
-  atl AS (SELECT au.work_id, author, ti.title FROM au JOIN ti USING (work_id)),
-  m3 AS (SELECT DISTINCT a.work_id, b.work_id AS match_id, 'author_title' AS matcher, 0.9 AS confidence, a.author FROM atl a JOIN atl b ON a.author = b.author AND a.title = b.title AND a.work_id <> b.work_id),
-  m4 AS (SELECT a.work_id, b.work_id AS match_id, 'fingerprint' AS matcher, 0.85 AS confidence FROM nt a JOIN nt b ON a.fp = b.fp AND a.work_id <> b.work_id WHERE a.fp <> ''),
-  al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT work_id, match_id, matcher, confidence FROM m3 UNION ALL SELECT * FROM m4),
+  m2 AS (SELECT a.work_id, b.work_id AS match_id, 'normalized_title' AS matcher, 0.95 AS confidence FROM own a JOIN nt b ON a.key = b.key AND a.work_id <> b.work_id WHERE a.key <> ''),
+  m3 AS (SELECT a.work_id, b.work_id AS match_id, 'author_title' AS matcher, 0.9 AS confidence FROM (SELECT au.work_id, au.literal AS author, ti.literal AS title FROM author au JOIN title ti USING (work_id)) a
+         JOIN (SELECT DISTINCT au.work_id, au.literal AS author, ti.literal AS title FROM author au JOIN title ti USING (work_id)) b ON a.author = b.author AND a.title = b.title AND a.work_id <> b.work_id),
+  m4 AS (SELECT a.work_id, b.work_id AS match_id, 'text_fingerprint' AS matcher, 0.85 AS confidence FROM own a JOIN nt b ON a.fp = b.fp AND a.work_id <> b.work_id WHERE a.fp <> ''),
+  al AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3 UNION ALL SELECT * FROM m4),
   rk AS (SELECT work_id, match_id, least(1.0::DOUBLE, max(confidence)::DOUBLE + least(0.1::DOUBLE, 0.05::DOUBLE * (count(*) - 1))) AS confidence, count(*) AS n_rows, array_to_string(list_sort(list(DISTINCT matcher)), ',') AS matchers FROM al GROUP BY ALL),
   lb AS (SELECT *, CASE WHEN confidence >= 0.95 THEN 'same' WHEN confidence >= 0.8 THEN 'probably same' WHEN confidence >= 0.6 THEN 'possibly same' ELSE 'unresolved' END AS resolution FROM rk)"""
-_resolved = lambda t: i.identity_resolve(t.assertions, t.external_identifiers)
+_classes = lambda t: i.classes(t.assertions, t.external_identifiers)
+_histogram = lambda t: i.histogram(_classes(t))
 
 query("normalize_title", f"SELECT id, {NORM.format('literal')} AS key FROM assertions")(lambda t: t.assertions.select("id", x.normalize_title(F.col("literal")).alias("key")))
 query("title_prefix_fp", f"SELECT id, {PRINT.format('preferred_title')} AS fp FROM works")(lambda t: t.works.select("id", x.title_fingerprint(F.col("preferred_title")).alias("fp")))
@@ -34,11 +36,12 @@ query("self_exact_identifier", f"WITH {PAIRS} SELECT work_id, match_id, matcher,
 query("self_normalized_title", f"WITH {PAIRS} SELECT work_id, match_id, matcher, confidence::DOUBLE AS confidence FROM m2")(lambda t: i.by_title(t.assertions))
 query("self_author_title", f"WITH {PAIRS} SELECT work_id, match_id, matcher, confidence::DOUBLE AS confidence FROM m3")(lambda t: i.by_author_title(t.assertions))
 query("self_fingerprint", f"WITH {PAIRS} SELECT work_id, match_id, matcher, confidence::DOUBLE AS confidence FROM m4")(lambda t: i.by_fingerprint(t.assertions))
-query("identity_resolve", f"WITH {PAIRS} SELECT * FROM lb")(_resolved)
-query("ranker_group", f"WITH {PAIRS} SELECT matchers, n_rows, count(*) AS n FROM lb GROUP BY ALL")(lambda t: _resolved(t).groupBy("matchers", "n_rows").agg(F.count("*").alias("n")))
-query("resolution_hist", f"WITH {PAIRS} SELECT resolution, count(*) AS n, count(DISTINCT work_id) AS n_works FROM lb GROUP BY 1")(lambda t: _resolved(t).groupBy("resolution").agg(F.count("*").alias("n"), F.countDistinct("work_id").alias("n_works")))
-query("rank_candidates", f"WITH {PAIRS} SELECT work_id, match_id, confidence, CAST(row_number() OVER (PARTITION BY work_id ORDER BY confidence DESC, match_id) AS INTEGER) AS place FROM lb QUALIFY place <= 3")(lambda t: i.rank_candidates(_resolved(t)).select("work_id", "match_id", "confidence", "place"))
-query("resolve_work_experiment", f"WITH {PAIRS} SELECT count(*) AS n_pairs FROM (SELECT DISTINCT work_id, match_id FROM al WHERE matcher <> 'author_title')")(lambda t: i.identity_resolve(t.assertions, t.external_identifiers, False).agg(F.count("*").alias("n_pairs")))
+query("identity_resolve", f"WITH {PAIRS} SELECT * FROM lb")(lambda t: i.identity_resolve(_classes(t)))
+query("ranker_group", f"WITH {PAIRS} SELECT matchers, n_rows, count(*) AS n FROM lb GROUP BY ALL")(lambda t: i.ranker_group(_histogram(t)))
+query("resolution_hist", f"WITH {PAIRS} SELECT resolution, count(*) AS n, count(DISTINCT work_id) AS n_works FROM lb GROUP BY 1")(lambda t: i.resolution_hist(_histogram(t)))
+query("rank_candidates", f"WITH {PAIRS} SELECT work_id, match_id, confidence, CAST(row_number() OVER (PARTITION BY work_id ORDER BY confidence DESC, match_id) AS INTEGER) AS place FROM lb QUALIFY place <= 3")(lambda t: i.rank_candidates(_classes(t)).select("work_id", "match_id", "confidence", "place"))
+query("candidate_counts", f"WITH {PAIRS} SELECT work_id, CAST(sum(n_rows) AS BIGINT) AS total_candidates, count(*) AS unique_matches FROM lb GROUP BY 1")(lambda t: i.candidate_counts(_histogram(t)))
+query("resolve_work_experiment", f"WITH {PAIRS} SELECT count(*) AS n_pairs FROM (SELECT DISTINCT work_id, match_id FROM al WHERE matcher <> 'author_title')")(lambda t: _histogram(t).where("n_identifier + n_title + n_print > 0").agg(F.sum("n").alias("n_pairs")))
 
 CAND = """cand AS (SELECT concat('K', CAST(seq % 300 AS STRING)) AS cluster, id AS candidate_id, seq AS ordinal, preferred_title AS title, CASE WHEN seq % 4 = 0 THEN NULL ELSE work_type END AS author, CASE WHEN seq % 3 = 0 THEN 'GRETIL' ELSE 'PANDIT' END AS provider FROM works),
   cid AS (SELECT cluster, candidate_id, ordinal, scheme, value FROM cand JOIN external_identifiers e ON e.entity_id = candidate_id WHERE ordinal % 5 = 0),
@@ -113,8 +116,11 @@ query("dupe_hash", "SELECT sha256(text) AS input_hash, count(*) AS n_rows FROM d
 query("extractor_sanity", "SELECT source, count(*) AS n_rows, count(*) FILTER (WHERE regexp_matches(substring(lower(text), 1, 40), '[āīūṛṝḷḹṃḥṅñṭḍṇśṣḻäöüéèçñó]')) AS n_marked, count(*) - count(DISTINCT text) AS n_repeats, (count(*) FILTER (WHERE regexp_matches(substring(lower(text), 1, 40), '[āīūṛṝḷḹṃḥṅñṭḍṇśṣḻäöüéèçñó]')) < greatest(1, count(*) // 2)) OR count(*) > count(DISTINCT text) AS suspicious FROM documents GROUP BY source")(
     lambda t: co.extractor_sanity(t.documents, "source", "text")
 )
-query("substring_bidirectional_anti", "WITH c AS (SELECT DISTINCT lower(preferred_title) AS title FROM works), f AS (SELECT DISTINCT lower(substring(literal, 1, 6)) AS other FROM assertions WHERE predicate_uri = 'TITLE' AND length(literal) > 9) SELECT title FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE contains(title, other) OR contains(other, title))")(
-    lambda t: co.missed(t.works.select(F.col("preferred_title").alias("title")), t.assertions.where("predicate_uri = 'TITLE' and char_length(literal) > 9").select(F.substring("literal", 1, 6).alias("title")))
+query("substring_bidirectional_anti", "WITH c AS (SELECT DISTINCT lower(preferred_title) AS title FROM works), f AS (SELECT DISTINCT lower(literal) AS other FROM assertions WHERE predicate_uri = 'TITLE') SELECT title FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE contains(title, other) OR contains(other, title))")(
+    lambda t: co.missed(t.works.select(F.col("preferred_title").alias("title")), t.assertions.where("predicate_uri = 'TITLE'").select(F.col("literal").alias("title")))
+)
+query("passages_missed", "WITH c AS (SELECT DISTINCT lower(text) AS title FROM benchmark), f AS (SELECT DISTINCT lower(unnest(string_split(text, chr(10)))) AS other FROM documents) SELECT title FROM c WHERE NOT EXISTS (SELECT 1 FROM f WHERE other <> '' AND (contains(title, other) OR contains(other, title)))")(
+    lambda t: co.missed(t.benchmark.select(F.col("text").alias("title")), t.documents.select(F.explode(F.split("text", "\n")).alias("title")).where("title <> ''"))
 )
 query("source_binding_join", "SELECT concat('o', CAST(d.doc_id AS STRING)) AS object_id, CASE WHEN d.doc_id % 7 = 0 THEN 'MISSING' WHEN d.doc_id % 5 = 0 THEN 'MISMATCH' ELSE 'MATCH' END AS status FROM documents d")(
     lambda t: co.source_binding(
@@ -139,17 +145,16 @@ query("word_jaccard", f"WITH n AS (SELECT a.doc_id, {TOK.format('a.text')} AS s,
     lambda t: _pairs(t).select("doc_id", x.word_jaccard(F.col("source"), F.col("translation")).alias("jaccard"))
 )
 query("fuzzy_pair_join", f"WITH w AS (SELECT DISTINCT preferred_title AS title FROM works), k AS (SELECT title, {TOK.format('title')} AS s FROM w) SELECT a.title AS title_a, b.title AS title_b, len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS score FROM k a JOIN k b ON a.title < b.title WHERE score > 0.3")(
-    lambda t: _fuzzy(t.works.select(F.col("preferred_title").alias("title")).distinct(), 0.3)
+    lambda t: fuzzy_pairs(t.works.select(F.col("preferred_title").alias("title")), 0.3)
 )
 
 
-def _fuzzy(titles, threshold):
-    """Pairs of titles with a common word; a pair without one scores 0."""
-    words = titles.select("title", x.tokens(F.col("title")).alias("w"))
-    flat = words.select("title", F.size("w").alias("n"), F.explode("w").alias("word"))
-    a, b = flat.select(F.col("title").alias("title_a"), F.col("n").alias("n_a"), "word"), flat.select(F.col("title").alias("title_b"), F.col("n").alias("n_b"), "word")
-    common = a.join(b, "word").where("title_a < title_b").groupBy("title_a", "title_b", "n_a", "n_b").agg(F.count("*").alias("c"))
-    return common.select("title_a", "title_b", (F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c"))).alias("score")).where(F.col("score") > threshold)
+query("fuzzy_documents", f"WITH w AS (SELECT DISTINCT string_split(text, chr(10))[1] AS title FROM documents), k AS (SELECT title, {TOK.format('title')} AS s FROM w WHERE trim(title) <> '') SELECT a.title AS title_a, b.title AS title_b, len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS score FROM k a JOIN k b ON a.title < b.title WHERE score > 0.7")(
+    lambda t: fuzzy_pairs(t.documents.select(F.substring_index("text", "\n", 1).alias("title")), 0.7)
+)
+query("best_pair", f"WITH {CAND}, w AS (SELECT cluster, ordinal, {TOK.format('title')} AS t FROM cand), p AS (SELECT a.cluster, a.ordinal AS first, b.ordinal AS second, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS score FROM w a JOIN w b ON a.cluster = b.cluster AND a.ordinal < b.ordinal) SELECT cluster, first, second, score FROM p WHERE score > 0.7 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY score DESC, first, second) = 1")(
+    lambda t: best_pairs(_candidates(t)[0])
+)
 
 
 query("fold_iast", "SELECT doc_id, regexp_replace(translate(lower(text), 'āīūṛṝḷḹṃḥṅñṭḍṇśṣḻ', 'aiurrllmhnntdnssl'), '[^a-z0-9 ]', '', 'g') AS folded FROM documents")(lambda t: t.documents.select("doc_id", x.fold_iast(F.col("text")).alias("folded")))

@@ -3,11 +3,12 @@
 Each source shuffles its documents by a seeded hash and serves them in that
 order, epoch after epoch.  A copy's virtual finish time is its source's
 cumulative words, this copy included, divided by the source's target weight (its
-target words).  All copies are range-sorted by virtual finish time, which
-interleaves the sources in proportion, and the mix is truncated at the total
-budget: before the first copy with which its words would be further from the
-budget than without.  A source so ends within a document of its target, but for
-what others leave of theirs.
+target words).  All copies are range-sorted by virtual time, which interleaves
+the sources in proportion, and the mix is truncated at the total budget: before
+the first copy with which its words would be further from the budget than
+without.  The cut takes a copy's virtual time as that at which half of it is
+served, half its own words before its virtual finish time, so a source ends
+within half a document of its target, but for what others leave of theirs.
 
 Targets are filled like water: sources share the budget by weight, a source
 stops at ``max_epochs`` times its own size, and what it leaves is shared again.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from colophon.llm.storage import drop_stored, partitions, ranked, stored
+from colophon.llm.storage import drop_stored, fresh, named, partitions, ranked, stored
 
 WORDS = r"[\x20\x09-\x0D]+"
 
@@ -80,8 +81,11 @@ def schedule(
     rows = rows.join(table, rows["__source"].eqNullSafe(table["source"])).drop("__source")
     # Words of the source up to this copy's end; epoch e adds e times the source's size.
     finish = lambda epoch: F.try_divide(F.col("size_before") - F.col("__first") + F.col("size") + epoch * F.col("source_size"), F.col("target"))
-    # Order of the mix: virtual finish time, then the document's place, which is unique, then the epoch.
-    key = lambda epoch: F.struct(finish(epoch).alias("finish"), F.col("rank").alias("place"), epoch.cast("int").alias("epoch"))
+    # The queue is cut by the virtual time at which half of a copy is served, not all of it: so a source gets a copy that lies
+    # across the cut if that brings it nearer to its target, and sources of long documents don't fall short of theirs.
+    half = lambda epoch: finish(epoch) - F.try_divide(F.col("size"), 2 * F.col("target"))
+    # Then the document's place, which is unique, then the epoch.
+    key = lambda epoch: F.struct(half(epoch).alias("finish"), F.col("rank").alias("place"), epoch.cast("int").alias("epoch"))
     copies = rows.where("size > 0").select("size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(max_epochs - 1)), key)).alias("key")).select("size", "key.*")
     queue = ranked(copies, [F.col("finish"), F.col("place"), F.col("epoch")], ("size",), "queue")
     # One row: the first copy, in the order of the mix, of which more than half is beyond the budget.
@@ -103,9 +107,10 @@ def mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
 def mix_rows(docs: DataFrame, **options) -> DataFrame:
     """The taken documents with all their columns, one row per copy."""
     # A hash of the whole row names it: rows that share one are interchangeable, so one of them stands for all.
-    told = [x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]  # a hash alone skips nulls
-    named = docs.withColumn("__row", F.struct(F.xxhash64(F.lit(1), *told).alias("a"), F.xxhash64(F.lit(2), *told).alias("b")))
-    taken = schedule(named, keep=("__row",), **options).groupBy(F.col("__row").alias("__r")).agg(F.sum("times").alias("__t"), F.count("*").alias("__n")).where("__t > 0")
-    joined = named.join(taken, named["__row"] == taken["__r"])
-    once, many = joined.where("__n = 1"), joined.where("__n > 1").dropDuplicates(["__row"])
-    return once.unionByName(many).withColumn("__copy", F.explode(F.expr("sequence(1, cast(__t as int))"))).select(*[f"`{c}`" for c in docs.columns])
+    row, other, n, times, copy = (fresh(x, docs.columns) for x in ("__row", "__r", "__n", "__t", "__copy"))
+    told = [x for c in docs.columns for x in (named(c).isNull(), named(c))]  # a hash alone skips nulls
+    hashed = docs.withColumn(row, F.struct(F.xxhash64(F.lit(1), *told).alias("a"), F.xxhash64(F.lit(2), *told).alias("b")))
+    taken = schedule(hashed, keep=(row,), **options).groupBy(F.col(row).alias(other)).agg(F.sum("times").alias(times), F.count("*").alias(n)).where(F.col(times) > 0)
+    joined = hashed.join(taken, hashed[row] == taken[other])
+    once, many = joined.where(F.col(n) == 1), joined.where(F.col(n) > 1).dropDuplicates([row])
+    return once.unionByName(many).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times).cast("int")))).select(*map(named, docs.columns))

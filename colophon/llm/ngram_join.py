@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colophon.llm.components import components
-from colophon.llm.storage import drop_stored, stored
+from colophon.llm.storage import drop_stored, fresh, named, stored
 from colophon.llm.textblocks import mix64, shingle_hashes, slices, sorted_sets, text_view, word_hashes, words
 
 CELLS, CHUNK = 1 << 20, 1 << 14
@@ -645,10 +645,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 75, width: int = 5, id_co
     joined(corpus.crossing(known))
     corpus.drop()
     # From here on one row per distinct set, until the documents get the least id of their class.
-    named = corpus.sets.select("node", "doc").join(known, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
-    least = named.groupBy("component").agg(F.min("doc").alias("least"))
-    named = stored(named.join(least, "component").select("node", "least"), "named")
-    out = corpus.nodes.select("doc", "n", "node").join(named, "node", "left")
+    labelled = corpus.sets.select("node", "doc").join(known, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("component"))
+    least = labelled.groupBy("component").agg(F.min("doc").alias("least"))
+    labelled = stored(labelled.join(least, "component").select("node", "least"), "named")
+    out = corpus.nodes.select("doc", "n", "node").join(labelled, "node", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("least", "doc")).cast("long").alias("component_id"))
 
 
@@ -673,12 +673,13 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Rows with a null id are left alone.
     """
-    groups = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), "component_id"), "groups")
-    gone = groups.where("__id != component_id").select("__id").distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
-    repeated = groups.groupBy("__id").count().where("count > 1 and __id is not null").select("__id")
+    key, order = fresh("__id", docs.columns), fresh("__k", docs.columns)
+    groups = stored(near_duplicates(docs, id_col=id_col, text_col=text_col, **options).select(named(id_col).alias(key), "component_id"), "groups")
+    gone = groups.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    kept = docs.join(gone, named(id_col) == F.col(key), "left_anti")
+    repeated = groups.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key)
     if repeated.isEmpty():
         return kept
-    again = kept.join(repeated, F.col(id_col) == F.col("__id"), "left_semi")
-    first = again.withColumn("__k", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*docs.columns)))).where("__k = 1").drop("__k")
-    return kept.join(repeated, F.col(id_col) == F.col("__id"), "left_anti").union(first)
+    again = kept.join(repeated, named(id_col) == F.col(key), "left_semi")
+    first = again.withColumn(order, F.row_number().over(Window.partitionBy(named(id_col)).orderBy(named(text_col), F.xxhash64(*map(named, docs.columns))))).where(F.col(order) == 1).drop(order)
+    return kept.join(repeated, named(id_col) == F.col(key), "left_anti").union(first)

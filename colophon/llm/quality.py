@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colophon.llm.storage import named
 from colophon.llm.textblocks import slices, text_view, word_hashes, words
 
 CUT = 0.3
@@ -149,15 +150,17 @@ def scored(docs: DataFrame, ranker: Ranker | None, *, text_col: str = "text", ke
     """``keep`` columns (all, if None) with the score as ``name``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(ranker)
     columns = [c for c in (docs.columns if keep is None else keep) if c != name]
-    picked = docs.select(*columns, F.col(text_col).alias("__text"))
-    shape = docs.select(*columns).withColumn(name, F.lit(0.0)).schema
+    # Workers see columns by place, so that any name will do.
+    places = [f"c{k}" for k in range(len(columns))]
+    picked = docs.select(*[named(c).alias(k) for c, k in zip(columns, places)], named(text_col).alias("text"))
+    shape = picked.drop("text").withColumn("score", F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            for part in slices(batch, "__text"):
-                view = text_view(part.column(len(columns)))
+            for part in slices(batch, "text"):
+                view = text_view(part.column(len(places)))
                 s = model.score(features(*view)) if model is not None else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(s)], names=[*columns, name])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(places)], pa.array(s)], names=[*places, "score"])
 
-    return picked.mapInArrow(run, shape)
+    return picked.mapInArrow(run, shape).toDF(*columns, name)

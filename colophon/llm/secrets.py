@@ -3,12 +3,13 @@
 Base patterns find assignments, access keys and long hex runs.  The novelty
 method adds strings that no pattern names: every candidate (a long mixed run with
 a sensitive word within ``CONTEXT`` characters before or after it, on any line;
-also its parts between equals signs and what follows a sensitive word in it) is
-compressed with zstandard primed with the text around it and a dictionary of the
-corpus' own identifiers: the words that occur most often in and around the
-candidates of all documents.  Its
-marginal compressed bytes per byte tell how much of it neither the surroundings
-nor the dictionary explains; incompressible candidates are reported as ``novel``.
+also its parts between equals signs, and what follows a sensitive word in it up to
+the next) is compressed with zstandard primed with the text around it and a
+dictionary of the corpus' own identifiers: the words that occur most often in and
+around the candidates of all documents.  Its marginal compressed bytes per byte
+tell how much of it neither the surroundings nor the dictionary explains;
+incompressible candidates are reported as ``novel``.  A text costs linear time,
+also where one run of letters fills it.
 
 The dictionary is counted over every document in a first pass (``dictionary``);
 its size is a parameter of the model, ``WORDS`` words, and it is all that reaches
@@ -28,6 +29,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -42,6 +44,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|credential|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer", re.ASCII | re.IGNORECASE)
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{16,}")
+DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 #: Part of a run between equals signs; those at the end of the run are padding.
 PART = re.compile(r"[A-Za-z0-9+/_.-]{16,}(?:=+$)?")
 #: A document without any of these has no span of any kind; scanned by a linear-time automaton.
@@ -78,14 +81,29 @@ def dictionary(docs: DataFrame, *, text_col: str = "text", words: int = WORDS) -
 _PARAMETERS = zstandard.ZstdCompressionParameters.from_level(-1, min_match=4, hash_log=16, window_log=17, target_length=1, write_content_size=False, write_checksum=False)
 
 
-def marginal_bytes(candidate: str, before: str, after: str, words: bytes = b"") -> int:
-    """By how many bytes a stream that has the dictionary and the surroundings grows when the candidate follows them.
+class Novelty:
+    """Marginal bytes beside a dictionary. The dictionary is digested once; the compressor keeps nothing between two calls."""
 
-    The fast strategy may step over a repeat: the least of three orders counts.
-    """
-    primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if words else None
-    size = lambda text: len(zstandard.ZstdCompressor(compression_params=_PARAMETERS, dict_data=primed).compress(text.encode()))
-    return min(size(near + candidate) - size(near) for near in (f"{before}\n{after}\n", f"{after}\n{before}\n", "\n"))
+    def __init__(self, words: bytes = b""):
+        primed = zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if words else None
+        if primed is not None:
+            primed.precompute_compress(compression_params=_PARAMETERS)
+        self._compressor = zstandard.ZstdCompressor(compression_params=_PARAMETERS, dict_data=primed)
+
+    def _size(self, text: str) -> int:
+        return len(self._compressor.compress(text.encode()))
+
+    def marginal_bytes(self, candidate: str, before: str, after: str) -> int:
+        """By how many bytes a stream that has the dictionary and the surroundings grows when the candidate follows them.
+
+        The fast strategy may step over a repeat: the least of three orders counts.
+        """
+        return min(self._size(near + candidate) - self._size(near) for near in (f"{before}\n{after}\n", f"{after}\n{before}\n", "\n"))
+
+
+@lru_cache(maxsize=2)
+def _novelty(words: bytes) -> Novelty:
+    return Novelty(words)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,15 +115,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Runs near a sensitive word, in the order of the text; parts of a run before the run, then what follows a word in it."""
+    """Runs near a sensitive word, in the order of the text: parts of a run, then the run, then what follows each word in it
+    up to the next. The three together are at most three times as long as the runs."""
     words = [m.span() for m in SENSITIVE.finditer(text)]
     starts, ends = [s for s, _ in words], [e for _, e in words]
     for m in RUN.finditer(text) if words else ():
         s, e = m.span()
-        near = range(bisect_left(ends, s - CONTEXT), bisect_right(starts, e + CONTEXT))
-        if near:
+        if bisect_left(ends, s - CONTEXT) < bisect_right(starts, e + CONTEXT):
             parts = [(s + x.start(), s + x.end()) for x in PART.finditer(m[0])]
-            yield from dict.fromkeys([*parts, (s, e), *[(ends[k], e) for k in near if s < ends[k] <= e - 16]])
+            inside = range(bisect_right(ends, s), bisect_right(ends, e - 16))
+            tails = [(ends[k], min(e, starts[k + 1] if k + 1 < len(words) else e)) for k in inside]
+            yield from dict.fromkeys([*parts, (s, e), *[(a, b) for a, b in tails if b - a >= 16]])
 
 
 def novel_spans(text: str, taken: list[tuple[int, int, int]], words: bytes = b"") -> list[tuple[int, int, int]]:
@@ -113,13 +133,14 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], words: bytes = b""
     starts, furthest = [a for a, _, _ in ordered], []
     for _, _, b in ordered:
         furthest.append(reach := max(reach, b))
+    measure = _novelty(words).marginal_bytes
     for s, e in candidates(text):
         c = text[s:e]
-        mixed = any(x.isdigit() for x in c) and any(x.isalpha() for x in c)
+        mixed = DIGIT.search(c) and LETTER.search(c)
         k = bisect_left(starts, e)
         if not mixed or (k and furthest[k - 1] > s) or (out and out[-1][2] > s):  # ends in ``out`` never go back
             continue
-        if marginal_bytes(c, text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT], words) >= NOVELTY * len(c):
+        if measure(c, text[max(0, s - CONTEXT) : s], text[e : e + CONTEXT]) >= NOVELTY * len(c):
             out.append((s, 3, e))
     return out
 
@@ -180,7 +201,9 @@ def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
                 new = texts.to_pylist()
                 for k in pc.indices_nonzero(hits).to_pylist():
                     new[k] = redact(new[k], scan(new[k], words)[1])
-                batch = batch.set_column(at, text_col, pa.array(new, texts.type))
+                batch = batch.set_column(at, batch.schema.field(at).name, pa.array(new, texts.type))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    # Workers see columns by place, so that any name will do.
+    placed = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return placed.mapInArrow(run, placed.schema).toDF(*docs.columns)

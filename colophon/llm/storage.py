@@ -95,6 +95,14 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores behind it as it takes to be none of ``taken``, whatever their case."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -113,14 +121,16 @@ def ranked(df: DataFrame, order: list, sums: tuple[str, ...] = (), label: str =
         df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()),
         label,
     )
-    rows = rows.withColumn("__pid", F.shiftrightunsigned("__at", 33))
-    per = rows.groupBy("__pid").agg(F.count("*").alias("__n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in sums])
+    placed = rows.withColumn("__pid", F.shiftrightunsigned("__at", 33))
+    per = placed.groupBy("__pid").agg(F.count("*").alias("__n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"__s_{c}") for c in sums])
     # One row per range partition, so the single-task window and the broadcast are bounded by the partition count.
     earlier = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     base = per.select("__pid", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__n"), *[F.coalesce(F.sum(f"__s_{c}").over(earlier), F.lit(0)).alias(f"__s_{c}") for c in sums])
-    out = rows.join(F.broadcast(base), "__pid").withColumn("rank", F.col("__n") + F.col("__at").bitwiseAND(F.lit(_LOW_BITS)))
+    out = placed.join(F.broadcast(base), "__pid").withColumn("rank", F.col("__n") + F.col("__at").bitwiseAND(F.lit(_LOW_BITS)))
     if sums:
         within = Window.partitionBy("__pid").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
         for c in sums:
             out = out.withColumn(f"{c}_before", F.col(f"__s_{c}") + F.coalesce(F.sum(c).over(within), F.lit(0)))
-    return out.drop("__pid", "__at", "__n", *[f"__s_{c}" for c in sums])
+    out = out.drop("__pid", "__at", "__n", *[f"__s_{c}" for c in sums])
+    out._colophon_path = rows._colophon_path
+    return out

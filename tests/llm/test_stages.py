@@ -11,6 +11,7 @@ from tests.llm.conftest import SHAPE, prose
 from tests.llm.test_mixing_sharding_packing import n_words
 from tests.llm.test_ngram_join import brute
 
+BACKTICK = "`"
 SECRET = "k3J9xQ7vLm2PzR8tYw5N"
 
 
@@ -81,3 +82,34 @@ def test_empty_table(spark, sf_dir):
     import corpus_pipeline as p
 
     assert p.run(spark, f"{sf_dir}/none").count() == 0
+
+
+def test_columns_of_any_name(spark, rows, tmp_path):
+    """Names with dots and spaces, and names that operators use themselves, pass through every stage."""
+    import corpus_pipeline as p
+
+    extra = ["a.b", "c`d", "c d", "__text", "__id", "__score", "__row", "__r", "__t", "__n", "__k", "__copy", "score", "size", "component_id", "__Text", "target", "times"]
+    extra = [c for k, c in enumerate(extra) if c.lower() not in [x.lower() for x in extra[:k]]]
+    docs = spark.createDataFrame([(*r[:5], *extra) for r in rows], "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", `{c.replace(BACKTICK, BACKTICK * 2)}` string" for c in extra))
+    spark.createDataFrame([(r[0], int(r[0] % 2)) for r in rows if r[0] is not None], "doc_id long, quality int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, f"file://{tmp_path}")
+        assert out.columns == docs.columns, name
+        assert all(tuple(r)[5:] == tuple(extra) for r in out.collect()), name
+    assert p.STAGES[-1][1](spark, docs, f"file://{tmp_path}").count() == len(rows)
+
+
+def test_secrets_of_one_long_run_cost_linear_time():
+    import time
+
+    for unit in ("auth", "token=", "secret_", "authK3J9xQ7vLm2PzR8t"):
+        text = unit * (1_000_000 // len(unit)) + "1"
+        began = time.process_time()
+        secrets.scan(text)
+        short = time.process_time() - began
+        began = time.process_time()
+        secrets.scan(text + text)
+        assert time.process_time() - began < 4 * short + 1, unit
+    began = time.process_time()
+    secrets.scan("auth" * 250_000 + "1")
+    assert time.process_time() - began < 3  # on a slow machine; half a second on an idle one

@@ -138,11 +138,30 @@ def prefixed_id(prefix: str, *keys: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("\u001f", *keys).cast("binary"), 256), 1, 32))
 
 
-def text_anchor(text: Column, start: Column, end: Column) -> Column:
-    """Selectors of a passage: positions, a quote of up to 100 letters with up to 20 before and after, and the text's digest."""
-    before = F.substring(text, F.greatest(start - 19, F.lit(1)), F.least(start, F.lit(20)))
-    return F.struct(
-        F.struct(start.alias("start"), end.alias("end")).alias("position"),
-        F.struct(F.substring(text, start + 1, F.least(end - start, F.lit(100))).alias("exact"), before.alias("prefix"), F.substring(text, end + 1, F.lit(20)).alias("suffix")).alias("quote"),
-        F.sha2(text.cast("binary"), 256).alias("source_sha256"),
-    )
+ANCHOR_SELECTOR = "struct<type:string,start:bigint,end:bigint,exact:string,prefix:string,suffix:string,xpath:string,xml_id:string>"
+
+
+def text_anchor(source: Column, passage: Column, start: Column | None = None, end: Column | None = None, xpath: Column | None = None, xml_id: Column | None = None) -> Column:
+    """A passage of a source by several selectors: positions, a quote, a path and an element id, each where it is given.
+
+    The quote has the passage's first 100 letters, and its own first and last 20 letters if it has more than 20.  The digest
+    is that of the passage; a null passage counts as empty.
+    """
+    text, null = F.coalesce(passage, F.lit("")), F.lit(None)
+    part = lambda c: F.when(F.char_length(text) > 20, c).otherwise("")
+    given = lambda c: null.cast("string") if c is None else c
+
+    def selector(kind: str, when: Column, **values: Column) -> Column:
+        names = ("start", "end", "exact", "prefix", "suffix", "xpath", "xml_id")
+        return F.when(when, F.struct(F.lit(kind).alias("type"), *[values.get(n, null).alias(n) for n in names]).cast(ANCHOR_SELECTOR))
+
+    low, high = (null.cast("long") if c is None else c for c in (start, end))
+    selectors = F.array_compact(F.array(
+        selector("TextPosition", low.isNotNull() & high.isNotNull(), start=low, end=high),
+        selector("TextQuote", text != "", exact=F.substring(text, 1, 100), prefix=part(F.substring(text, 1, 20)), suffix=part(F.right(text, F.lit(20)))),
+        selector("XPath", given(xpath) != "", xpath=given(xpath)),
+        selector("XmlId", given(xml_id) != "", xml_id=given(xml_id)),
+    ))
+    digest = F.struct(F.lit("sha256").alias("algorithm"), F.sha2(text.cast("binary"), 256).alias("value"), F.lit("hex").alias("encoding"), null.cast("string").alias("canonicalization"))
+    key = F.concat_ws("\u001f", source, F.to_json(selectors), digest["value"])
+    return F.struct(prefixed_id("PTANC_", key).alias("id"), source.alias("source_artifact_id"), selectors.alias("selectors"), digest.alias("source_digest"), null.cast("string").alias("normalization_profile"))

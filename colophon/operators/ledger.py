@@ -40,9 +40,9 @@ def append_events(events: DataFrame, new: DataFrame) -> DataFrame:
     return out.withColumn("payload_digest", payload_digest(F.col("payload"))) if "payload" in new.columns else out
 
 
-def payload_digest(payload):
-    """JSON of algorithm and value: SHA-512 of the payload's canonical form."""
-    return F.to_json(F.struct(F.lit("sha512").alias("algorithm"), F.sha2(jcs(payload).cast("binary"), 512).alias("value")))
+def payload_digest(payload, algorithm: str = "sha512"):
+    """JSON of algorithm and value: SHA-512 (or SHA-256) of the payload's canonical form."""
+    return F.to_json(F.struct(F.lit(algorithm).alias("algorithm"), F.sha2(jcs(payload).cast("binary"), 512 if algorithm == "sha512" else 256).alias("value")))
 
 
 def leaf(event_id, cursor, digest):
@@ -115,9 +115,21 @@ def merkle_verify(events: DataFrame, checkpoints: DataFrame, checkpoint_id: str)
     return merkle_root(span).select((F.col("root") == F.lit(found["root"])).alias("valid"))
 
 
-def state_digest(events: DataFrame) -> DataFrame:
-    """One digest of the whole state: the Merkle root of (event id, type) in the order of the cursors."""
-    return merkle_root(events, F.sha2(F.concat(F.col("event_id"), F.lit(":"), F.col("event_type")).cast("binary"), 256)).select(F.col("root").alias("state_digest"), "n_events")
+def state_digest(events: DataFrame, since: int = 0, limit: int = 1000, algorithm: str = "sha512") -> DataFrame:
+    """The digest of one page of the ledger: canonical JSON of ``{"events": [{"id", "type"}, ...]}`` in the order of the cursors.
+
+    A page has ``limit`` events at most, so it fits one row; for a whole ledger see ``state_root``.
+    """
+    page = changes_feed(events, since, limit)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("cursor", F.col("event_id").alias("id"), F.col("event_type").alias("type")))), lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type")))
+    state = jcs(F.to_json(F.struct(listed.alias("events")))).cast("binary")
+    return page.agg(F.sha2(state, 512 if algorithm == "sha512" else 256).alias("state_digest"), F.count("*").alias("n_events"))
+
+
+def state_root(events: DataFrame) -> DataFrame:
+    """One digest of the whole state: the Merkle root of (event id, type) in the order of the cursors. A digest of all events
+    as one document has no other order than one byte after the other; a tree is hashed in all partitions at once."""
+    return merkle_root(events, F.sha2(F.concat(F.col("event_id"), F.lit(":"), F.col("event_type")).cast("binary"), 256)).select(F.col("root").alias("state_root"), "n_events")
 
 
 def checkpoint_row(events: DataFrame, checkpoints: DataFrame, generated_at) -> DataFrame:

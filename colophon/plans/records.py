@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions import minhash, scratch, udfs
@@ -20,7 +23,8 @@ AT = "2026-01-01T00:00:00Z"
 
 TREE = """tree AS (SELECT 0 AS lvl, pos, h, (SELECT count(*) FROM leaves) AS n FROM leaves UNION ALL
          SELECT lvl + 1, pos // 2, sha256(concat(h, coalesce(nx, h))), (n + 1) // 2 FROM (SELECT lvl, pos, h, n, lead(h) OVER (ORDER BY pos) AS nx FROM tree) WHERE n > 1 AND pos % 2 = 0)"""
-query("state_digest", f"WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY cursor) - 1 AS pos, sha256(concat(event_id, ':', event_type)) AS h FROM ledger), {TREE} SELECT h AS state_digest, (SELECT count(*) FROM ledger) AS n_events FROM tree WHERE n = 1")(lambda t: l.state_digest(t.ledger))
+query("state_digest", """WITH page AS (SELECT * FROM ledger WHERE cursor > 0 ORDER BY cursor LIMIT 1000) SELECT sha256(concat('{"events":[', string_agg(concat('{"id":"', event_id, '","type":"', event_type, '"}'), ',' ORDER BY cursor), ']}')) AS state_digest, count(*) AS n_events FROM page""")(lambda t: l.state_digest(t.ledger, algorithm="sha256"))
+query("state_root", f"WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY cursor) - 1 AS pos, sha256(concat(event_id, ':', event_type)) AS h FROM ledger), {TREE} SELECT h AS state_root, (SELECT count(*) FROM ledger) AS n_events FROM tree WHERE n = 1")(lambda t: l.state_root(t.ledger))
 
 
 def _checkpoints(t):
@@ -33,11 +37,21 @@ query(
     "checkpoint_row",
     f"WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY cursor) - 1 AS pos, sha256(concat(event_id, ':', CAST(cursor AS STRING), ':', coalesce(digest, ''))) AS h FROM ledger), {TREE} SELECT 'c3' AS previous_checkpoint_id, (SELECT min(cursor) FROM ledger) AS first_event_cursor, (SELECT max(cursor) FROM ledger) AS last_event_cursor, (SELECT count(*) FROM ledger) AS event_count, concat('{{\"root\":\"', h, '\",\"leaf_count\":', CAST((SELECT count(*) FROM ledger) AS STRING), '}}') AS merkle FROM tree WHERE n = 1",
 )(lambda t: l.checkpoint_row(t.ledger, _checkpoints(t), F.lit(AT)).drop("id", "generated_at"))
-query("merkle_verify", "SELECT true AS valid")(lambda t: l.merkle_verify(t.ledger, l.merkle_root(t.ledger).select(F.lit("c").alias("checkpoint_id"), "first_cursor", "last_cursor", "root"), "c"))
+query("merkle_verify", "SELECT * FROM (VALUES ('kept', true), ('one event changed', false), ('one event lost', false), ('no checkpoint', false)) v(ledger, valid)")(lambda t: _verified(t))
+
+
+def _verified(t):
+    """The recorded root against the ledger as it is, with one event changed, with one lost, and without a checkpoint."""
+    kept = l.merkle_root(t.ledger).select(F.lit("c").alias("checkpoint_id"), "first_cursor", "last_cursor", "root")
+    middle = F.col("cursor") == t.ledger.agg(F.floor(F.avg("cursor")).alias("c")).first()["c"]
+    cases = {"kept": (t.ledger, "c"), "one event changed": (t.ledger.withColumn("digest", F.when(middle, "x").otherwise(F.col("digest"))), "c"), "one event lost": (t.ledger.where(~middle), "c"), "no checkpoint": (t.ledger, "d")}
+    return reduce(DataFrame.unionByName, [l.merkle_verify(ledger, kept, c).select(F.lit(name).alias("ledger"), "valid") for name, (ledger, c) in cases.items()])
+
+
 query("append_event", "SELECT event_id, (SELECT max(cursor) FROM ledger) + row_number() OVER (ORDER BY recorded_at, event_id) AS cursor FROM ledger")(
     lambda t: l.append_events(t.ledger, t.ledger.select("event_id", "recorded_at")).select("event_id", "cursor")
 )
-query("payload_digest", """SELECT event_id, concat('{"algorithm":"sha512","value":"', 'x', '"}') IS NOT NULL AS has_digest FROM events""")(lambda t: t.events.select("event_id", l.payload_digest(F.to_json(F.struct("event_type", "user_id"))).rlike('^\\{"algorithm":"sha512","value":"[0-9a-f]{128}"\\}$').alias("has_digest")))
+query("payload_digest", """SELECT event_id, concat('{"algorithm":"sha256","value":"', sha256(concat('{"event_type":"', event_type, '","user_id":', user_id, '}')), '"}') AS digest FROM events""")(lambda t: t.events.select("event_id", l.payload_digest(F.to_json(F.struct("user_id", "event_type")), "sha256").alias("digest")))
 query("sign_verify", "SELECT event_id, event_id % 2 = 0 AS valid FROM events")(
     lambda t: t.events.select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("r")).select("event_id", l.signature_valid(F.when(F.col("event_id") % 2 == 0, F.col("r")).otherwise(F.lit("{}")), l.signature(F.col("r"), F.lit(AT))).alias("valid"))
 )
@@ -47,10 +61,10 @@ query("follow_merges", "SELECT id AS from_id, 'W1' AS into_id FROM works WHERE s
 query("split_lookup", "SELECT concat('S', CAST(seq AS STRING)) AS id FROM works WHERE work_type = (SELECT work_type FROM works WHERE seq = 1)")(
     lambda t: sv.split_targets(t.works.select(F.concat(F.lit("S"), F.col("seq").cast("string")).alias("id"), F.col("work_type").alias("old_id")), t.works.where("seq = 1").first()["work_type"]).select("id")
 )
-query("record_derivation", "SELECT id AS entity, 'ACT_' AS prefix, '{}' AS software FROM works")(
+query("record_derivation", f"""SELECT id AS entity, concat('ACT_', substring(sha256(concat('{{"activity_type":"INGEST","inputs":"[{{\\"object_id\\":\\"', id, '\\"}}]","outputs":"', id, '","at":"{AT}"}}')), 1, 32)) AS id, '{{}}' AS software FROM works""")(
     lambda t: sv.record_derivations(
         t.works.select(F.lit("INGEST").alias("activity_type"), F.to_json(F.array(F.struct(F.col("id").alias("object_id")))).alias("inputs"), F.col("id").alias("outputs"), F.lit(None).cast("string").alias("actor_id"), F.lit(None).cast("string").alias("software"), F.lit(None).cast("string").alias("configuration"), F.lit(AT).alias("at"))
-    ).select(F.col("outputs").alias("entity"), F.substring("id", 1, 4).alias("prefix"), "software")
+    ).select(F.col("outputs").alias("entity"), "id", "software")
 )
 query("record_llm_call", """SELECT doc_id, concat('[{"prompt_digest":{"algorithm":"sha256","value":"', sha256(text), '"}}]') AS inputs, concat('provider:', source) AS actor_id FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")(
     lambda t: sv.record_model_calls(t.documents.where("text is not null and source is not null").select(F.lit("m").alias("model"), F.col("source").alias("provider"), F.col("text").alias("prompt"), F.lit("r").alias("response"), F.col("doc_id").cast("string").alias("config"), F.lit(AT).alias("at"))).select(F.col("configuration").cast("long").alias("doc_id"), "inputs", "actor_id")
@@ -78,15 +92,31 @@ def _anchors(t):
 query("web_annotation", f"WITH an AS ({ANCHOR}) SELECT doc_id, CAST(to_json({{'@context': '{s.ANNO}', 'type': 'Annotation', 'body': {{'type': 'TextualBody', 'value': 'note'}}, 'target': {{'type': 'TextPosition', 'start': lo, 'end': hi}}, 'created': '{AT}', 'generator': '{s.BY}'}}) AS VARCHAR) AS json FROM an")(
     lambda t: _anchors(t).select("doc_id", s.web_annotation(F.col("source"), s.anchor_selectors(F.col("lo"), F.col("hi"), F.col("exact")), F.lit("note"), F.lit(AT)).alias("json"))
 )
-query("stam_annotation", f"WITH an AS ({ANCHOR}) SELECT doc_id, CAST(to_json({{'type': 'Annotation', 'id': source, 'target': {{'type': 'TextSelector', 'text': {{'set': source}}, 'quote': exact}}, 'body': {{'type': 'TextualBody', 'value': ''}}, 'motivation': 'linking', 'created': '{AT}'}}) AS VARCHAR) AS json FROM an WHERE NOT regexp_matches(exact, '[\\x00-\\x1f\\x7f\"\\\\]')")(
-    lambda t: _anchors(t).where(~F.col("exact").rlike('[\\x00-\\x1f\\x7f"\\\\]')).select("doc_id", s.stam_from_anchor(F.col("source"), F.col("source"), s.anchor_selectors(F.col("lo"), F.col("hi"), F.col("exact")), F.lit(AT)).alias("json"))
+query("stam_annotation", f"WITH an AS ({ANCHOR}) SELECT doc_id, CAST(to_json({{'type': 'Annotation', 'id': source, 'target': {{'type': 'TextSelector', 'text': {{'set': source}}, 'quote': exact}}, 'body': {{'type': 'TextualBody', 'value': ''}}, 'motivation': 'linking', 'created': '{AT}'}}) AS VARCHAR) AS json FROM an")(
+    lambda t: _anchors(t).select("doc_id", s.stam_from_anchor(F.col("source"), F.col("source"), s.anchor_selectors(F.col("lo"), F.col("hi"), F.col("exact")), F.lit(AT)).alias("json"))
 )
 query("stam_round_trip", f"WITH an AS ({ANCHOR}) SELECT doc_id, source, 1 AS n_selectors, exact FROM an")(
     lambda t: _anchors(t).select("doc_id", s.anchor_from_stam(s.stam_from_anchor(F.col("source"), F.col("source"), s.anchor_selectors(F.col("lo"), F.col("hi"), F.col("exact")), F.lit(AT))).alias("a")).select("doc_id", F.col("a.source").alias("source"), F.size("a.selectors").alias("n_selectors"), F.col("a.selectors")[0]["exact"].alias("exact"))
 )
-query("text_anchor", "SELECT doc_id, length(text) // 3 AS start, length(text) // 2 AS stop, substring(text, length(text) // 3 + 1, least(length(text) // 2 - length(text) // 3, 100)) AS exact, sha256(text) AS source_sha256 FROM documents")(
-    lambda t: t.documents.select("doc_id", x.text_anchor(F.col("text"), F.floor(F.char_length("text") / 3).cast("int"), F.floor(F.char_length("text") / 2).cast("int")).alias("a")).select("doc_id", F.col("a.position.start").cast("long").alias("start"), F.col("a.position.end").cast("long").alias("stop"), F.col("a.quote.exact").alias("exact"), F.col("a.source_sha256").alias("source_sha256"))
-)
+ANCHORED = """WITH p AS (SELECT doc_id, length(text) // 3 AS lo, length(text) // 2 AS hi, substring(coalesce(text, ''), length(text) // 3 + 1, length(text) // 2 - length(text) // 3) AS q FROM documents),
+  r AS (SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN lo END AS start, CASE WHEN doc_id % 4 <> 0 THEN hi END AS stop, coalesce(q, '') AS q, CASE WHEN doc_id % 2 = 0 THEN concat('/p[', CAST(doc_id AS VARCHAR), ']') END AS xpath, CASE WHEN doc_id % 3 = 0 THEN concat('p', CAST(doc_id AS VARCHAR)) END AS xml_id FROM p)
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN start IS NOT NULL AND stop IS NOT NULL THEN 'TextPosition' END, CASE WHEN q <> '' THEN 'TextQuote' END, CASE WHEN xpath IS NOT NULL THEN 'XPath' END, CASE WHEN xml_id IS NOT NULL THEN 'XmlId' END], lambda y: y IS NOT NULL), ',') AS types,
+    CASE WHEN stop IS NOT NULL THEN start END AS start, stop, CASE WHEN q <> '' THEN substring(q, 1, 100) END AS exact, CASE WHEN q <> '' THEN CASE WHEN length(q) > 20 THEN substring(q, 1, 20) ELSE '' END END AS prefix,
+    CASE WHEN q <> '' THEN CASE WHEN length(q) > 20 THEN right(q, 20) ELSE '' END END AS suffix, xpath, xml_id, sha256(q) AS digest FROM r"""
+query("text_anchor", ANCHORED)(lambda t: _anchored(t))
+
+
+def _anchored(t):
+    n, every = F.char_length("text"), F.col("doc_id")
+    lo, hi, text = F.floor(n / 3), F.floor(n / 2), lambda c: c.cast("string")
+    some = lambda k, c: F.when(every % k == 0, c)
+    a = x.text_anchor(text(every), F.substring("text", (lo + 1).cast("int"), (hi - lo).cast("int")), F.when(every % 4 != 0, lo), F.when(every % 4 != 0, hi), some(2, F.concat(F.lit("/p["), text(every), F.lit("]"))), some(3, F.concat(F.lit("p"), text(every))))
+    of = lambda kind, field: F.get(F.filter("a.selectors", lambda y: y["type"] == kind), F.lit(0))[field]
+    names = F.array_join(F.transform("a.selectors", lambda y: y["type"]), ",").alias("types")
+    quoted = [of("TextQuote", c).alias(c) for c in ("exact", "prefix", "suffix")]
+    return t.documents.select("doc_id", a.alias("a")).select("doc_id", names, of("TextPosition", "start").alias("start"), of("TextPosition", "end").alias("stop"), *quoted, of("XPath", "xpath").alias("xpath"), of("XmlId", "xml_id").alias("xml_id"), F.col("a.source_digest.value").alias("digest"))
+
+
 query("cidoc_work", f"SELECT id, CAST(to_json({{'@context': '{s.CIDOC}', 'type': 'crm:E31_Documentary_Object', 'id': id, 'crm:P102_has_title': preferred_title, 'crm:P106_is_composed_of': [{{'type': 'crm:E39_Actor', 'crm:P102_has_title': work_type}}]}}) AS VARCHAR) AS json FROM works")(
     lambda t: t.works.select("id", s.cidoc_work(F.col("id"), F.col("preferred_title"), F.array("work_type")).alias("json"))
 )
@@ -122,7 +152,15 @@ query("text_fp_record", f"SELECT doc_id, CAST(greatest(length(n) - 2, 0) AS INTE
     lambda t: minhash.text_fingerprints(t.documents, "doc_id", "text").select(F.col("id").alias("doc_id"), "shingle_count", "prefix", "prefix_hash", "suffix_hash", "n_letters", "text_hash")
 )
 query("normalize_for_fp", f"SELECT doc_id, {NORMAL} AS normal FROM documents")(lambda t: t.documents.select("doc_id", x.normalize_sanskrit(udfs.nfc(F.coalesce("text", F.lit(""))), False).alias("normal")))
-query("minhash_similarity", "SELECT doc_id, 1.0::DOUBLE AS similarity FROM documents")(lambda t: minhash.signatures(t.documents, "doc_id", "text").select(F.col("id").alias("doc_id"), minhash.similarity(F.col("signature"), F.col("signature")).alias("similarity")))
+# A signature's component in SQL: the least of the first four bytes, as hex digits, over the distinct shingles, each hashed once.
+SIGNED = "RECURSIVE gram AS (SELECT DISTINCT doc_id, substring(text, i, 3) AS g FROM (SELECT doc_id, text, unnest(range(1, length(text) - 1)) AS i FROM documents WHERE length(text) >= 3)), hashed AS (SELECT g, c, substring(sha256(concat(g, '_', CAST(c AS VARCHAR))), 1, 8) AS h FROM (SELECT DISTINCT g FROM gram), range(8) r(c)), least AS (SELECT doc_id, c, min(h) AS h FROM gram JOIN hashed USING (g) GROUP BY ALL)"
+_signed = lambda t: minhash.signatures(t.documents, "doc_id", "text", 8)
+query("minhash_components", f"WITH {SIGNED} SELECT d.doc_id, CAST(r.c AS INTEGER) AS component, coalesce(CAST(concat('0x', h) AS BIGINT), 0) AS value FROM documents d CROSS JOIN range(8) r(c) LEFT JOIN least l ON l.doc_id = d.doc_id AND l.c = r.c")(
+    lambda t: _signed(t).select(F.col("id").alias("doc_id"), F.posexplode("signature").alias("component", "value"))
+)
+query("minhash_similarity", f"WITH {SIGNED} SELECT d.doc_id, (SELECT count(*) FROM range(8) r(c) LEFT JOIN least a ON a.c = r.c AND a.doc_id = d.doc_id LEFT JOIN least b ON b.c = r.c AND b.doc_id = d.doc_id + 1 WHERE coalesce(a.h, '') = coalesce(b.h, '')) / 8.0::DOUBLE AS similarity FROM documents d WHERE d.doc_id + 1 IN (SELECT doc_id FROM documents)")(
+    lambda t: _signed(t).join(_signed(t).select((F.col("id") - 1).alias("id"), F.col("signature").alias("next")), "id").select(F.col("id").alias("doc_id"), minhash.similarity(F.col("signature"), F.col("next")).alias("similarity"))
+)
 
 # --- extraction ------------------------------------------------------------------------
 

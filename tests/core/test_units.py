@@ -32,8 +32,33 @@ def test_small_text_functions(spark):
     assert one(spark, text.edition_tier(F.col("t"), F.col("a"), ["Torella"]), t="Study", a="R. Torella") == "A"
     assert one(spark, text.normalize_sanskrit(F.col("t")), t=" क ॥ १२ ।") == "क | 12 |"
     assert one(spark, text.classify_file(F.col("t")), t="x_djvu.txt") == "ocr_text"
-    a = one(spark, text.text_anchor(F.col("t"), F.lit(2), F.lit(4)), t="abcdef")
-    assert a.quote.exact == "cd" and a.quote.prefix == "ab" and a.quote.suffix == "ef"
+    a = one(spark, text.text_anchor(F.lit("s"), F.col("t"), F.lit(2), F.lit(4), xml_id=F.lit("d")), t="abcdef" * 20)
+    assert [y.type for y in a.selectors] == ["TextPosition", "TextQuote", "XmlId"] and a.source_digest.value == hashlib.sha256(("abcdef" * 20).encode()).hexdigest()
+    assert (a.selectors[1].exact, a.selectors[1].prefix, a.selectors[1].suffix) == (("abcdef" * 20)[:100], ("abcdef" * 4)[:20], ("abcdef" * 20)[-20:])
+    assert [y.type for y in one(spark, text.text_anchor(F.lit("s"), F.col("t"), F.lit(2)), t="").selectors] == []
+
+
+def test_state_digest_is_that_of_the_canonical_page(spark):
+    rows = [(k, f"E{k}", "EntityCreated" if k % 2 else 'with "quotes" é') for k in range(1, 8)]
+    page = {"events": [{"id": e, "type": t} for _, e, t in rows[2:6]]}
+    want = hashlib.sha512(json.dumps(page, separators=(",", ":"), ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+    assert tuple(ledger.state_digest(spark.createDataFrame(rows[::-1], "cursor long, event_id string, event_type string"), 2, 4).first()) == (want, 4)
+
+
+def test_fingerprint_records_of_repeated_ids(spark):
+    rows = [(1, "one text"), (1, "another text"), (1, "one text"), (None, None), (2, "")]
+    got = minhash.text_fingerprints(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()
+    assert len(got) == 5 and all(len(r.minhash) == 8 for r in got)
+    assert {tuple(r.minhash) for r in got if r.prefix == "one text"} == {tuple(min(int(hashlib.sha256(f"{s}_{i}".encode()).hexdigest()[:8], 16) for s in ("one", "ne ", "e t", " te", "tex", "ext")) for i in range(8))}
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 5])
+def test_minhash_of_any_letters(spark, k):
+    texts = ["", None, "ab", "🙂é漢字 and 🙂é漢字", "x" * 50_000, "the quick brown fox " * 900]
+    got = {r.id: r.signature for r in minhash.signatures(spark.createDataFrame(list(enumerate(texts)), "id long, t string"), "id", "t", 6, k).collect()}
+    for n, t in enumerate(texts):
+        grams = {t[i : i + k] for i in range(len(t) - k + 1)} if t else set()
+        assert got[n] == [min((int(hashlib.sha256(f"{s}_{i}".encode()).hexdigest()[:8], 16) for s in grams), default=0) for i in range(6)]
 
 
 @pytest.mark.parametrize(("x", "want"), [(1e21, "1e+21"), (1e20, "100000000000000000000"), (1e-7, "1e-7"), (0.000001, "0.000001"), (333333333.33333329, "333333333.3333333"), (-0.0, "0"), (4.5, "4.5"), (2e-3, "0.002"), (1.25e-10, "1.25e-10"), (10.0, "10"), (123.456, "123.456"), (1e23, "1e+23")])

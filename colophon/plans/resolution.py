@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from colophon.functions import minhash
+from colophon.functions import minhash, scratch
 from colophon.functions import text as x
 from colophon.functions import udfs
 from colophon.operators import collation as co
 from colophon.operators import extract
 from colophon.operators import identity as i
 from colophon.operators import ledger as l
+from colophon.operators.index import EntityIndex
 from colophon.operators.set_join import best_pairs, fuzzy_pairs
 from colophon.plans.registry import query
 
@@ -43,9 +46,17 @@ query("rank_candidates", f"WITH {PAIRS} SELECT work_id, match_id, confidence, CA
 query("candidate_counts", f"WITH {PAIRS} SELECT work_id, CAST(sum(n_rows) AS BIGINT) AS total_candidates, count(*) AS unique_matches FROM lb GROUP BY 1")(lambda t: i.candidate_counts(_histogram(t)))
 query("resolve_work_experiment", f"WITH {PAIRS} SELECT count(*) AS n_pairs FROM (SELECT DISTINCT work_id, match_id FROM al WHERE matcher <> 'author_title')")(lambda t: _histogram(t).where("n_identifier + n_title + n_print > 0").agg(F.sum("n").alias("n_pairs")))
 
-CAND = """cand AS (SELECT concat('K', CAST(seq % 300 AS STRING)) AS cluster, id AS candidate_id, seq AS ordinal, preferred_title AS title, CASE WHEN seq % 4 = 0 THEN NULL ELSE work_type END AS author, CASE WHEN seq % 3 = 0 THEN 'GRETIL' ELSE 'PANDIT' END AS provider FROM works),
-  cid AS (SELECT cluster, candidate_id, ordinal, scheme, value FROM cand JOIN external_identifiers e ON e.entity_id = candidate_id WHERE ordinal % 5 = 0),
-  idx AS (SELECT scheme, value, concat('Z', value) AS entity_id FROM (SELECT DISTINCT scheme, value FROM external_identifiers) WHERE scheme = 'DOI')"""
+# A cluster's candidates come from two providers, each with the identifiers of its own scheme. Known entities are the works
+# that are described by a note and a date; their identifiers and fingerprints are registered, then those of works with a
+# note and a tradition again, for other entities.
+FP = "CASE WHEN trim(lower(coalesce(title, ''))) <> '' THEN substring(sha256(concat(trim(lower(title)), '|', trim(lower(coalesce(author, ''))))), 1, 16) END"
+CAND = f"""cand AS (SELECT concat('K', CAST(seq % 300 AS STRING)) AS cluster, id AS candidate_id, seq AS ordinal, preferred_title AS title, CASE WHEN seq % 4 = 0 THEN NULL ELSE work_type END AS author, CASE WHEN seq % 3 = 0 THEN 'GRETIL' ELSE 'PANDIT' END AS provider FROM works),
+  cid AS (SELECT cluster, candidate_id, ordinal, scheme, value FROM cand JOIN external_identifiers e ON e.entity_id = candidate_id AND scheme = provider),
+  noted AS (SELECT subject_id FROM assertions WHERE predicate_uri = 'NOTE'),
+  described AS (SELECT 1 AS version, subject_id, concat('Z', subject_id) AS as_entity FROM assertions WHERE predicate_uri = 'DATE' AND subject_id IN (FROM noted) UNION ALL SELECT 2, subject_id, concat('Y', subject_id) FROM assertions WHERE predicate_uri = 'TRADITION' AND subject_id IN (FROM noted)),
+  idx AS (SELECT scheme, value, as_entity AS entity_id FROM described JOIN external_identifiers e ON e.entity_id = subject_id JOIN works ON id = subject_id QUALIFY row_number() OVER (PARTITION BY scheme, value ORDER BY version DESC, seq DESC, as_entity DESC) = 1),
+  cross_idx AS (SELECT scheme, value, concat('X', subject_id) AS entity_id FROM noted JOIN external_identifiers e ON e.entity_id = subject_id JOIN works ON id = subject_id QUALIFY row_number() OVER (PARTITION BY scheme, value ORDER BY seq DESC, subject_id DESC) = 1),
+  fps AS (SELECT fp, as_entity AS entity_id FROM (SELECT version, ordinal, as_entity, {FP} AS fp FROM described JOIN cand ON candidate_id = subject_id) WHERE fp IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fp ORDER BY version DESC, ordinal DESC, as_entity DESC) = 1)"""
 
 
 def _candidates(t):
@@ -53,38 +64,84 @@ def _candidates(t):
         F.concat(F.lit("K"), (F.col("seq") % 300).cast("string")).alias("cluster"), F.col("id").alias("candidate_id"), F.col("seq").alias("ordinal"), F.col("preferred_title").alias("title"), F.when(F.col("seq") % 4 != 0, F.col("work_type")).alias("author"),
         F.when(F.col("seq") % 3 == 0, "GRETIL").otherwise("PANDIT").alias("provider"),
     )
-    ids = cand.where("ordinal % 5 = 0").join(t.external_identifiers.select(F.col("entity_id").alias("candidate_id"), "scheme", "value"), "candidate_id").select("cluster", "candidate_id", "ordinal", "scheme", "value")
-    index = t.external_identifiers.where("scheme = 'DOI'").select("scheme", "value").distinct().withColumn("entity_id", F.concat(F.lit("Z"), "value"))
-    return cand, ids, index
+    ids = cand.join(t.external_identifiers.select(F.col("entity_id").alias("candidate_id"), F.col("scheme").alias("provider"), "value"), ["candidate_id", "provider"]).select("cluster", "candidate_id", "ordinal", F.col("provider").alias("scheme"), "value")
+    return cand, ids
 
 
-FP = "CASE WHEN trim(lower(coalesce(title, ''))) <> '' THEN substring(sha256(concat(trim(lower(title)), '|', trim(lower(coalesce(author, ''))))), 1, 16) END"
+def _index(t, keys: list[str], label: str, *registered) -> EntityIndex:
+    made = EntityIndex(t.spark, f"{label}_{uuid.uuid4().hex}", keys, scratch.path(t.spark, label))
+    for r in registered:
+        made.register(r)
+    return made
+
+
+def _described(t):
+    """Works of the two registrations, each under its entity's name."""
+    fact = lambda p: t.assertions.where(F.col("predicate_uri") == p).select(F.col("subject_id").alias("candidate_id")).distinct()
+    noted = fact("NOTE")
+    return [noted.join(fact(p), "candidate_id").withColumn("entity_id", F.concat(F.lit(x), "candidate_id")) for p, x in (("DATE", "Z"), ("TRADITION", "Y"))], noted.withColumn("entity_id", F.concat(F.lit("X"), "candidate_id"))
+
+
+def _ids_of(t, works):
+    owned = t.external_identifiers.select(F.col("entity_id").alias("candidate_id"), "scheme", "value")
+    return works.join(owned, "candidate_id").join(t.works.select(F.col("id").alias("candidate_id"), F.col("seq").alias("ordinal")), "candidate_id").select("scheme", "value", "entity_id", "ordinal")
+
+
+def _externals(t):
+    return _index(t, ["scheme", "value"], "external", *[_ids_of(t, w) for w in _described(t)[0]])
+
+
+def _crosswalk(t):
+    return _index(t, ["scheme", "value"], "crosswalk", _ids_of(t, _described(t)[1]))
+
+
+def _prints(t):
+    fp = _candidates(t)[0].select("candidate_id", "ordinal", x.biblio_fingerprint(F.col("title"), F.col("author")).alias("fp"))
+    return _index(t, ["fp"], "prints", *[w.join(fp, "candidate_id").select("fp", "entity_id", "ordinal") for w in _described(t)[0]])
+
+
+query("index_externals", f"WITH {CAND} SELECT * FROM idx")(lambda t: _externals(t).entries().drop("version"))
+query("index_prints", f"WITH {CAND} SELECT * FROM fps")(lambda t: _prints(t).entries().drop("version"))
 query("biblio_fp", f"WITH {CAND} SELECT candidate_id, {FP} AS fp FROM cand")(lambda t: _candidates(t)[0].select("candidate_id", x.biblio_fingerprint(F.col("title"), F.col("author")).alias("fp")))
-query("r0_index", f"WITH {CAND}, o AS (SELECT cluster, entity_id, row_number() OVER (PARTITION BY cluster ORDER BY ordinal, scheme, value, entity_id) AS k FROM cid JOIN idx USING (scheme, value)) SELECT cluster, entity_id, 'MERGE' AS decision, 1.0::DOUBLE AS confidence, 'R0' AS stage FROM o WHERE k = 1")(
-    lambda t: i.r0_index(*_candidates(t)[1:])
-)
-query("r0_shared", f"WITH {CAND} SELECT DISTINCT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'MERGE' AS decision, 1.0::DOUBLE AS confidence, 'R0' AS stage FROM (SELECT cluster, scheme, value FROM cid GROUP BY ALL HAVING count(DISTINCT candidate_id) > 1)")(lambda t: i.r0_shared(_candidates(t)[1]))
-query("r2_composite", f"WITH {CAND}, f AS (SELECT cluster, {FP} AS fp FROM cand), g AS (SELECT cluster, fp FROM f WHERE fp IS NOT NULL GROUP BY ALL HAVING count(*) > 1) SELECT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'REVIEW' AS decision, 0.85::DOUBLE AS confidence, 'R2' AS stage FROM g GROUP BY cluster")(
-    lambda t: i.r2_composite(_candidates(t)[0], t.spark.createDataFrame([], "fp string, entity_id string"))
+R0 = "SELECT cluster, entity_id, 'MERGE' AS decision, 1.0::DOUBLE AS confidence, 'R0' AS stage FROM (SELECT cluster, entity_id, row_number() OVER (PARTITION BY cluster ORDER BY ordinal, scheme, value, entity_id) AS k FROM cid JOIN idx USING (scheme, value)) WHERE k = 1"
+query("r0_index", f"WITH {CAND} {R0}")(
+    lambda t: i.r0_index(_candidates(t)[1], _externals(t).entries())
+)
+R0S = "SELECT DISTINCT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'MERGE' AS decision, 1.0::DOUBLE AS confidence, 'R0' AS stage FROM (SELECT cluster, scheme, value FROM cid GROUP BY ALL HAVING count(DISTINCT candidate_id) > 1)"
+query("r0_shared", f"WITH {CAND} {R0S}")(lambda t: i.r0_shared(_candidates(t)[1]))
+R1 = "SELECT cluster, entity_id, 'LINK_PROBABLE' AS decision, 0.95::DOUBLE AS confidence, 'R1' AS stage FROM (SELECT cluster, entity_id, row_number() OVER (PARTITION BY cluster ORDER BY ordinal, entity_id) AS k FROM cid JOIN cross_idx USING (scheme, value)) WHERE k = 1"
+query("r1_crosswalk", f"WITH {CAND} {R1}")(lambda t: i.r1_crosswalk(_candidates(t)[1], _crosswalk(t).entries()))
+R2 = f"SELECT g.cluster, fps.entity_id, 'REVIEW' AS decision, 0.85::DOUBLE AS confidence, 'R2' AS stage FROM (SELECT cluster, fp FROM (SELECT cluster, ordinal, {FP} AS fp FROM cand) WHERE fp IS NOT NULL GROUP BY cluster, fp HAVING count(*) > 1 QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY min(ordinal)) = 1) g LEFT JOIN fps USING (fp)"
+query("r2_composite", f"WITH {CAND} {R2}")(
+    lambda t: i.r2_composite(_candidates(t)[0], _prints(t).entries())
 )
 TOK = r"list_distinct(string_split(trim(regexp_replace(lower({0}), '\s+', ' ', 'g')), ' '))"
-query("r3_fuzzy", f"WITH {CAND}, w AS (SELECT cluster, ordinal, {TOK.format('title')} AS t FROM cand), p AS (SELECT a.cluster, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS j FROM w a JOIN w b ON a.cluster = b.cluster AND a.ordinal < b.ordinal) SELECT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'REVIEW' AS decision, max(j) AS confidence, 'R3' AS stage FROM p WHERE j > 0.7 GROUP BY cluster")(
+R3 = f"WITH w AS (SELECT cluster, ordinal, {TOK.format('title')} AS t FROM cand), p AS (SELECT a.cluster, len(list_intersect(a.t, b.t))::DOUBLE / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))) AS j FROM w a JOIN w b ON a.cluster = b.cluster AND a.ordinal < b.ordinal) SELECT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'REVIEW' AS decision, max(j) AS confidence, 'R3' AS stage FROM p WHERE j > 0.7 GROUP BY cluster"
+query("r3_fuzzy", f"WITH {CAND} SELECT * FROM (" + R3 + ")")(
     lambda t: i.r3_fuzzy(_candidates(t)[0])
 )
-query("r4_multi_source", f"WITH {CAND}, f AS (SELECT cluster, provider, {FP} AS fp FROM cand) SELECT DISTINCT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'LINK_PROBABLE' AS decision, 0.9::DOUBLE AS confidence, 'R4' AS stage FROM (SELECT cluster, fp FROM f WHERE fp IS NOT NULL GROUP BY ALL HAVING count(DISTINCT provider) > 1)")(
+R4 = f"WITH f AS (SELECT cluster, provider, {FP} AS fp FROM cand) SELECT DISTINCT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'LINK_PROBABLE' AS decision, 0.9::DOUBLE AS confidence, 'R4' AS stage FROM (SELECT cluster, fp FROM f WHERE fp IS NOT NULL GROUP BY ALL HAVING count(DISTINCT provider) > 1)"
+query("r4_multi_source", f"WITH {CAND} SELECT * FROM (" + R4 + ")")(
     lambda t: i.r4_multi_source(_candidates(t)[0])
 )
-query("r5_scholar", f"WITH {CAND} SELECT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'REVIEW' AS decision, 0.95::DOUBLE AS confidence, 'R5' AS stage FROM cand GROUP BY cluster HAVING count(*) > 1 AND cluster IN (SELECT concat('K', CAST(seq AS STRING)) FROM works WHERE seq % 10 = 0)")(
+R5 = f"SELECT cluster, CAST(NULL AS VARCHAR) AS entity_id, 'REVIEW' AS decision, 0.95::DOUBLE AS confidence, 'R5' AS stage FROM cand GROUP BY cluster HAVING count(*) > 1 AND cluster IN (SELECT concat('K', CAST(seq AS STRING)) FROM works WHERE seq % 10 = 0)"
+query("r5_scholar", f"WITH {CAND} SELECT * FROM (" + R5 + ")")(
     lambda t: i.r5_scholar(_candidates(t)[0], t.works.where("seq % 10 = 0").select(F.concat(F.lit("K"), F.col("seq").cast("string")).alias("cluster")))
 )
 
 
-def _staged(t):
-    cand, ids, index = _candidates(t)
-    return i.resolve(cand, ids, index, t.spark.createDataFrame([], "fp string, entity_id string"), cand.where("cluster = 'K10'").select("cluster"), t.spark.createDataFrame([], "scheme string, value string, entity_id string"))
+STAGES = " UNION ALL ".join(f"SELECT {k} AS k, cluster, entity_id, decision, confidence, stage FROM ({sql})" for k, sql in enumerate((R0, R0S, R1, R2, R3, R4, R5)))
+FIRST = "SELECT c.cluster, f.entity_id, coalesce(f.decision, 'REVIEW') AS decision, coalesce(f.confidence, 0.0)::DOUBLE AS confidence, coalesce(f.stage, 'NONE') AS stage FROM (SELECT DISTINCT cluster FROM cand) c LEFT JOIN (FROM every QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY k) = 1) f USING (cluster)"
+
+
+def _staged(t, all_stages: bool = False):
+    cand, ids = _candidates(t)
+    attested = t.works.where("seq % 10 = 0").select(F.concat(F.lit("K"), F.col("seq").cast("string")).alias("cluster"))
+    return i.resolve(cand, ids, _externals(t).entries(), _prints(t).entries(), attested, _crosswalk(t).entries(), all_stages)
 
 
-query("stage_order")(_staged)
+query("stage_order", f"WITH {CAND}, every AS ({STAGES}) {FIRST}")(_staged)
+query("stage_decisions", f"WITH {CAND}, every AS ({STAGES}) SELECT cluster, entity_id, decision, confidence, stage FROM every")(lambda t: _staged(t, True))
 
 FEED = "SELECT cursor, event_id, event_type, entity_id FROM ledger WHERE cursor > 500 ORDER BY cursor LIMIT 200"
 query("changes_feed", FEED)(lambda t: l.changes_feed(t.ledger, 500, 200).select("cursor", "event_id", "event_type", "entity_id"))

@@ -13,6 +13,7 @@ from colophon.operators import collation as co
 from colophon.operators import extract
 from colophon.operators import identity as i
 from colophon.operators import ledger as l
+from colophon.operators import projections as pj
 from colophon.operators.index import EntityIndex
 from colophon.operators.set_join import best_pairs, fuzzy_pairs
 from colophon.plans.registry import query
@@ -148,7 +149,37 @@ query("changes_feed", FEED)(lambda t: l.changes_feed(t.ledger, 500, 200).select(
 query("max_cursor", "SELECT coalesce(max(cursor), 0) AS max_cursor FROM ledger")(lambda t: l.max_cursor(t.ledger))
 query("latest_n_events", "SELECT entity_id, cursor, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY cursor DESC) AS INTEGER) AS place FROM ledger QUALIFY place <= 10")(lambda t: l.latest_events(t.ledger, 10).select("entity_id", "cursor", "place"))
 query("replay", "SELECT entity_id AS id, arg_min(title, cursor) AS preferred_title, min(cursor) AS first_cursor FROM ledger WHERE event_type = 'EntityCreated' AND NOT starts_with(entity_id, 'PTCND_') GROUP BY 1")(lambda t: l.replay(t.ledger))
-query("truncate_rebuild", "SELECT count(*) AS n_works FROM (SELECT DISTINCT entity_id FROM ledger WHERE event_type = 'EntityCreated' AND NOT starts_with(entity_id, 'PTCND_'))")(lambda t: l.replay(t.ledger).agg(F.count("*").alias("n_works")))
+# Beside the one rule that a ledger's events have of themselves, rules for a ledger that names what it adds.
+REBUILT = {
+    **pj.RULES,
+    "assertions": pj.Rule("event_type = 'AssertionAdded'", "event_id", {"subject_id": "entity_id", "literal": "title"}),
+    "external_identifiers": pj.Rule("event_type = 'AssertionAdded' AND digest IS NOT NULL", "concat(entity_id, ':', title)", {"entity_id": "entity_id", "scheme": "title", "value": "digest"}),
+    "identity_assertions": pj.Rule("event_type NOT IN ('EntityCreated', 'AssertionAdded')", "entity_id", {"relation": "event_type"}),
+}
+LED = "led AS (SELECT * FROM ledger WHERE NOT starts_with(entity_id, 'PTCND_'))"
+ROWS = {
+    "works": "SELECT entity_id AS id, min(cursor) AS first_cursor, arg_min(coalesce(title, ''), cursor) AS preferred_title FROM led WHERE event_type = 'EntityCreated' GROUP BY 1",
+    "assertions": "SELECT event_id AS id, cursor AS first_cursor, entity_id AS subject_id, title AS literal FROM led WHERE event_type = 'AssertionAdded'",
+    "external_identifiers": "SELECT concat(entity_id, ':', title) AS id, min(cursor) AS first_cursor, title AS scheme, arg_min(digest, cursor) AS value FROM led WHERE event_type = 'AssertionAdded' AND digest IS NOT NULL GROUP BY entity_id, title",
+    "identity_assertions": "SELECT entity_id AS id, min(cursor) AS first_cursor, arg_min(event_type, cursor) AS relation FROM led WHERE event_type NOT IN ('EntityCreated', 'AssertionAdded') GROUP BY 1",
+}
+
+
+def _rebuilt(t) -> str:
+    """Two rebuilds: of the first half of the ledger, then of all of it; readers see the second."""
+    root = scratch.path(t.spark, "projections")
+    half = t.ledger.agg(F.floor(F.avg("cursor")).alias("c")).first()["c"] or 0
+    pj.rebuild(t.ledger.where(F.col("cursor") <= half), root, REBUILT)
+    pj.rebuild(t.ledger, root, REBUILT)
+    return root
+
+
+query("truncate_rebuild", f"WITH {LED}, " + ", ".join(f"r_{n} AS ({q})" for n, q in ROWS.items()) + " SELECT projection, coalesce(n, 0) AS n_rows FROM (SELECT unnest([" + ", ".join(f"'{n}'" for n in pj.PROJECTIONS) + "]) AS projection) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS projection, count(*) AS n FROM r_{n}" for n in ROWS) + ") USING (projection)")(
+    lambda t: pj.counts(t.spark, _rebuilt(t))
+)
+for _name, _fields in (("works", ["preferred_title"]), ("assertions", ["subject_id", "literal"]), ("external_identifiers", ["scheme", "value"]), ("identity_assertions", ["relation"])):
+    query(f"rebuilt_{_name}", f"WITH {LED} {ROWS[_name]}")(lambda t, n=_name, f=_fields: pj.read(t.spark, _rebuilt(t), n, {c: "string" for c in f}))
+
 query(
     "merkle_root",
     """WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY cursor) - 1 AS pos, sha256(concat(event_id, ':', CAST(cursor AS STRING), ':', coalesce(digest, ''))) AS h FROM ledger),

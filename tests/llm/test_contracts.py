@@ -26,6 +26,9 @@ COLUMNS = {
     "op8_ngram_join": "doc_id:bigint n_shingles:bigint component_id:bigint",
     "op9_quality": "doc_id:bigint held_out:boolean score:double predicted:int",
     "op10_huffman": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
+    "op11_lines": "doc_id:bigint n_lines:bigint n_dropped:bigint kept_sha256:string",
+    "op12_tokens": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
+    "op13_turns": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
 }
 
 
@@ -169,3 +172,30 @@ def test_op10(spark, texts):
         assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert got.keys() == texts.keys()
+
+
+def test_op11(spark, texts):
+    from tests.llm.test_line_dedup import plain
+
+    got = rows_of(spark, "op11_lines")
+    want = {r[0]: (n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for r, n, kept in plain([(k, r.text) for k, r in texts.items()])}
+    assert {k: tuple(r)[1:] for k, r in got.items()} == want and any(n for _, n, _ in want.values())
+
+
+def test_op12(spark, texts):
+    pytest.importorskip("public_tokenizers")
+    from tests.llm.test_token_align import plain
+
+    got, order = rows_of(spark, "op12_tokens"), sorted(texts)
+    assert [tuple(got[k])[1:8] for k in order] == plain([texts[k].text for k in order]) and len(got) == len(order)
+
+
+def test_op13(spark):
+    from colophon.llm.turn_repair import damaged
+    from tests.llm.test_turn_repair import by_conversation
+
+    got, table = rows_of(spark, "op13_turns", "conv_id"), spark.read.parquet(f"{SF}/conversations.parquet")
+    want = by_conversation([tuple(r) for r in damaged(table).collect()])
+    full = {k: (*v[:-1], hashlib.sha256("\n".join(v[-1]).encode()).hexdigest()) for k, v in want.items()}
+    none = (0, 0, 0, 0, 0, 0, "", hashlib.sha256().hexdigest())
+    assert {k: tuple(r)[1:] for k, r in got.items()} == {r.conv_id: full.get(r.conv_id, none) for r in table.select("conv_id").distinct().collect()}

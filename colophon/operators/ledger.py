@@ -172,11 +172,27 @@ def follow_merges(merges: DataFrame) -> DataFrame:
     return at.select("from_id", F.when(~F.col("moved"), F.col("into_id")).alias("into_id"))
 
 
-def traverse(edges: DataFrame, start: str, depth: int = 5) -> DataFrame:
-    """Nodes within ``depth`` steps of ``start`` along (source, target), with their distance."""
-    seen = edges.sparkSession.createDataFrame([(start, 0)], "node string, distance int")
+def traverse(edges: DataFrame, start: list[str], depth: int = 5, direction: str = "both", relation: str | None = None, limit: int | None = None) -> DataFrame:
+    """(node, distance): what lies within ``depth`` steps of ``start`` along (source, relation, target), nearest first.
+
+    ``direction``: out (from source to target), in, or both.  The edges are read
+    and turned once, and stored by the node that a step starts from; a step joins
+    the last frontier only, and what was seen before is left out by an anti join.
+    The search ends early when a frontier is empty, or, with ``limit`` (the
+    nearest so many nodes, ties by name), when the steps so far have enough.
+    """
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"no direction {direction}")
+    spark = edges.sparkSession
+    kept = (edges if relation is None else edges.where(F.col("relation") == relation)).select("source", "target").dropna()
+    turned = kept.select(F.col("target").alias("source"), F.col("source").alias("target"))
+    steps = scratch.cut({"out": kept, "in": turned, "both": kept.union(turned)}[direction].distinct().repartition("source"))
+    seen = spark.createDataFrame([(n, 0) for n in sorted(set(start))], "node string, distance int")
     front = seen
     for d in range(1, depth + 1):
-        front = edges.join(front, edges["source"] == front["node"]).select(F.col("target").alias("node"), F.lit(d).alias("distance")).distinct().join(seen.select("node"), "node", "left_anti")
+        reached = steps.join(front.select(F.col("node").alias("source")), "source").select(F.col("target").alias("node")).distinct()
+        front = scratch.cut(reached.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("distance")))
         seen = seen.union(front)
-    return seen
+        if front.isEmpty() or (limit is not None and seen.limit(limit).count() == limit):
+            break
+    return seen if limit is None else seen.orderBy("distance", "node").limit(limit)

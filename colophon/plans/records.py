@@ -58,6 +58,14 @@ query("sign_verify", "SELECT event_id, event_id % 2 = 0 AS valid FROM events")(
 query("follow_merges", "SELECT id AS from_id, 'W1' AS into_id FROM works WHERE seq > 1")(
     lambda t: l.follow_merges(t.works.where("seq > 1").select(F.col("id").alias("from_id"), F.concat(F.lit("W"), F.floor(F.col("seq") / 2).cast("string")).alias("into_id")))
 )
+# Works and their authors and traditions as a graph.
+GRAPH = "e AS (SELECT subject_id AS s, predicate_uri AS r, literal AS t FROM assertions WHERE predicate_uri IN ('AUTHOR', 'TRADITION', 'LANGUAGE')), b AS (SELECT s, r, t FROM e UNION ALL SELECT t, r, s FROM e)"
+_edges = lambda t: t.assertions.where("predicate_uri in ('AUTHOR', 'TRADITION', 'LANGUAGE')").select(F.col("subject_id").alias("source"), F.col("predicate_uri").alias("relation"), F.col("literal").alias("target"))
+query("graph_traverse", f"WITH RECURSIVE {GRAPH}, walk AS (SELECT 'W1' AS node, 0 AS d UNION SELECT t, d + 1 FROM walk JOIN b ON s = node WHERE r IN ('AUTHOR', 'TRADITION', 'LANGUAGE') AND d < 2) SELECT node, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY 1")(lambda t: l.traverse(_edges(t), ["W1"], 2))
+query("graph_neighbours", f"WITH RECURSIVE {GRAPH}, walk AS (SELECT 'W3' AS node, 0 AS d UNION SELECT t, d + 1 FROM walk JOIN b ON s = node WHERE r = 'TRADITION' AND d < 4) SELECT node, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY 1 ORDER BY distance, node LIMIT 20")(lambda t: l.traverse(_edges(t), ["W3"], 4, relation="TRADITION", limit=20))
+query("graph_out", f"WITH RECURSIVE {GRAPH}, walk AS (SELECT id AS node, 0 AS d FROM works WHERE seq <= 50 UNION SELECT t, d + 1 FROM walk JOIN e ON s = node WHERE d < 5) SELECT node, CAST(min(d) AS INTEGER) AS distance FROM walk GROUP BY 1")(
+    lambda t: l.traverse(_edges(t), [f"W{k}" for k in range(51)] if t.works.where("seq = 0").count() else [f"W{k}" for k in range(1, 51)], 5, "out")
+)
 query("split_lookup", "SELECT concat('S', CAST(seq AS STRING)) AS id FROM works WHERE work_type = (SELECT work_type FROM works WHERE seq = 1)")(
     lambda t: sv.split_targets(t.works.select(F.concat(F.lit("S"), F.col("seq").cast("string")).alias("id"), F.col("work_type").alias("old_id")), t.works.where("seq = 1").first()["work_type"]).select("id")
 )

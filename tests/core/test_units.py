@@ -108,7 +108,10 @@ def test_ledger_chains(spark):
     gaps = spark.createDataFrame([(k if k < 20 else k * 10**9,) for k in range(40)], "cursor long").repartition(5)
     assert [r.pos for r in sorted(ledger.positions(gaps).collect())] == list(range(40))
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")], "source string, target string")
-    assert {(r.node, r.distance) for r in ledger.traverse(edges, "a", 2).collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    walk = lambda *a, **k: {(r.node, r.distance) for r in ledger.traverse(edges, *a, **k).collect()}
+    assert walk(["a"], 2, "out") == {("a", 0), ("b", 1), ("c", 2)}
+    assert walk(["c"], 1, "in") >= {("c", 0), ("b", 1)} and {n for n, _ in walk(["c"], 5)} >= {"a", "b", "c"}
+    assert walk(["a"], 5, "out", limit=2) == {("a", 0), ("b", 1)} and walk(["nowhere"], 3) == {("nowhere", 0)}
 
 
 def test_collation(spark):

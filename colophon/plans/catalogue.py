@@ -76,9 +76,9 @@ query("anti_not_exists", "SELECT id FROM works WHERE id NOT IN (SELECT entity_id
 query("anti_left_null", "SELECT w.id FROM works w LEFT JOIN translations t ON t.work_id = w.id WHERE t.id IS NULL")(lambda t: t.works.select("id").join(t.translations.select(F.col("work_id").alias("id")), "id", "left_anti"))
 query("endpoints_by_provider", "SELECT id, name FROM institutions WHERE place = 7")(lambda t: t.institutions.where("place = 7").select("id", "name"))
 query("people_scan", "SELECT * FROM people")(lambda t: t.people)
-query("count_rows", "SELECT 'works' AS table_name, count(*) AS n_rows FROM works UNION ALL SELECT 'assertions', count(*) FROM assertions UNION ALL SELECT 'external_identifiers', count(*) FROM external_identifiers UNION ALL SELECT 'etexts', count(*) FROM etexts")(
-    lambda t: c.count_rows({n: getattr(t, n) for n in ("works", "assertions", "external_identifiers", "etexts")})
-)
+#: The tables whose rows are counted; events are the ledger's.
+COUNTED = {n: n for n in ("works", "people", "institutions", "editions", "witnesses", "etexts", "translations", "assertions", "external_identifiers")} | {"events": "ledger"}
+query("count_rows", " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS n_rows FROM {source}" for n, source in COUNTED.items()))(lambda t: c.count_rows({n: getattr(t, source) for n, source in COUNTED.items()}))
 query("count_distinct", "SELECT count(DISTINCT entity_id) AS n_entities, count(DISTINCT scheme) AS n_schemes FROM external_identifiers")(
     lambda t: t.external_identifiers.agg(F.countDistinct("entity_id").alias("n_entities"), F.countDistinct("scheme").alias("n_schemes"))
 )

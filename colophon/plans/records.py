@@ -13,6 +13,7 @@ from colophon.operators import extract
 from colophon.operators import ledger as l
 from colophon.operators import serialize as s
 from colophon.operators import services as sv
+from colophon.operators import snapshot as sn
 from colophon.plans.registry import query
 from colophon.sources import readers
 
@@ -74,10 +75,32 @@ query("record_derivation", f"""SELECT id AS entity, concat('ACT_', substring(sha
         t.works.select(F.lit("INGEST").alias("activity_type"), F.to_json(F.array(F.struct(F.col("id").alias("object_id")))).alias("inputs"), F.col("id").alias("outputs"), F.lit(None).cast("string").alias("actor_id"), F.lit(None).cast("string").alias("software"), F.lit(None).cast("string").alias("configuration"), F.lit(AT).alias("at"))
     ).select(F.col("outputs").alias("entity"), "id", "software")
 )
-query("record_llm_call", """SELECT doc_id, concat('[{"prompt_digest":{"algorithm":"sha256","value":"', sha256(text), '"}}]') AS inputs, concat('provider:', source) AS actor_id FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""")(
-    lambda t: sv.record_model_calls(t.documents.where("text is not null and source is not null").select(F.lit("m").alias("model"), F.col("source").alias("provider"), F.col("text").alias("prompt"), F.lit("r").alias("response"), F.col("doc_id").cast("string").alias("config"), F.lit(AT).alias("at"))).select(F.col("configuration").cast("long").alias("doc_id"), "inputs", "actor_id")
+query("record_llm_call", """SELECT doc_id, CASE WHEN text IS NULL THEN '[{"prompt_digest":{"algorithm":"sha256"}}]' ELSE concat('[{"prompt_digest":{"algorithm":"sha256","value":"', sha256(text), '"}}]') END AS inputs, coalesce('provider:' || source, '') AS actor_id FROM documents""")(
+    lambda t: sv.record_model_calls(t.documents.select(F.lit("m").alias("model"), F.col("source").alias("provider"), F.col("text").alias("prompt"), F.lit("r").alias("response"), F.col("doc_id").cast("string").alias("config"), F.lit(AT).alias("at"))).select(F.col("configuration").cast("long").alias("doc_id"), "inputs", "actor_id")
 )
 
+# --- snapshots: two of works and people, the second after works were renamed in a few buckets -------------
+
+DIGESTS = """rowed AS (SELECT table_name, substring(sha256(id), 1, 2) AS bucket, sha256(j) AS h FROM r), digests AS (SELECT table_name, bucket, count(*) AS n_rows, sha256(concat_ws(':', count(*), sum(CAST(concat('0x', substring(h, 1, 15)) AS HUGEINT)),
+  sum(CAST(concat('0x', substring(h, 16, 15)) AS HUGEINT)), sum(CAST(concat('0x', substring(h, 31, 15)) AS HUGEINT)), sum(CAST(concat('0x', substring(h, 46, 15)) AS HUGEINT)))) AS digest FROM rowed GROUP BY ALL)"""
+SNAPPED = "r AS (SELECT 'works' AS table_name, id, CAST(to_json({'id': id, 'preferred_title': preferred_title, 'work_type': work_type, 'seq': seq}) AS VARCHAR) AS j FROM works UNION ALL SELECT 'people', id, CAST(to_json({'id': id, 'name': name, 'role': role}) AS VARCHAR) FROM people)"
+
+
+def _snapshots(t) -> str:
+    root = scratch.path(t.spark, "snapshots")
+    renamed = t.works.withColumn("preferred_title", F.when(F.col("seq") <= 5, F.concat("preferred_title", F.lit("!"))).otherwise(F.col("preferred_title")))
+    for works in (renamed, t.works):
+        sn.take(root, {"works": (works, "id"), "people": (t.people, "id")})
+    return root
+
+
+query("export_snapshot", f"WITH {SNAPPED}, {DIGESTS} SELECT table_name, CAST(sum(n_rows) AS BIGINT) AS n_rows, sha256(string_agg(concat(bucket, ':', digest), ',' ORDER BY bucket)) AS root FROM digests GROUP BY table_name")(
+    lambda t: sn.listing(t.spark, _snapshots(t)).where("version = 2").drop("version")
+)
+query("snapshot_changes", "SELECT DISTINCT 'works' AS table_name, substring(sha256(id), 1, 2) AS bucket FROM works WHERE seq <= 5")(lambda t: sn.changed(t.spark, _snapshots(t), 1, 2))
+query("snapshot_restore", "SELECT * FROM works")(lambda t: sn.restore(t.spark, _snapshots(t), 2, "works"))
+query("snapshot_verify", "SELECT DISTINCT substring(sha256(id), 1, 2) AS bucket, true AS valid FROM works")(lambda t: sn.verify(t.spark, _snapshots(t), 1, "works", "id"))
+
 # --- vocabularies ------------------------------------------------------------------
 
 query("prov_entity", f"SELECT id, CAST(to_json({{'@context': '{s.PROV}', 'type': 'prov:Entity', 'id': id}}) AS VARCHAR) AS json FROM works")(lambda t: t.works.select("id", s.prov_entity(F.col("id")).alias("json")))

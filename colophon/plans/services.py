@@ -9,8 +9,8 @@ from colophon.functions import udfs
 from colophon.operators import services as s
 from colophon.plans.registry import query
 
-query("merge_chain", "SELECT id AS from_id, concat('M', work_type) AS into_id FROM works WHERE seq % 3 = 0")(
-    lambda t: s.merge_pointers(t.works.where("seq % 3 = 0").groupBy(F.concat(F.lit("M"), "work_type").alias("into_id")).agg(F.collect_list("id").alias("from_ids")))
+query("merge_chain", "SELECT id AS from_id, concat('M', work_type) AS into_id FROM works")(
+    lambda t: s.merge_pointers(t.works.groupBy(F.concat(F.lit("M"), "work_type").alias("into_id")).agg(F.collect_list("id").alias("from_ids")))
 )
 query("candidate_to_entity", "SELECT id, CASE WHEN CAST(substring(subject_id, 2) AS BIGINT) % 2 = 0 THEN concat('Z', substring(subject_id, 2)) ELSE subject_id END AS subject_id FROM assertions")(
     lambda t: s.candidate_to_entity(t.assertions.select("id", "subject_id"), "subject_id", t.works.where("seq % 2 = 0").select(F.col("id").alias("candidate_id"), F.concat(F.lit("Z"), F.col("seq").cast("string")).alias("entity_id")))

@@ -1,4 +1,5 @@
 import itertools
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -35,7 +36,7 @@ def test_mix_counts(docs, corpus):
     names = sorted((s for s in sizes if s is not None)) + [None]
     want = mixing.fill_targets([sizes[s] for s in names], [1 + k % 3 for k in range(len(names))], sum(sizes.values()), 3)
     assert [target[s] for s in names] == pytest.approx(want)
-    # Brute force: all copies by virtual finish time, up to the budget.
+    # Brute force: all copies by the virtual time at which half of each is served, up to the budget.
     queue, before = [], Counter()
     place = {}
     for k, r in enumerate(sorted(rows, key=lambda r: (r.source is None, r.source or "", r.virtual_finish or 0))):
@@ -43,7 +44,7 @@ def test_mix_counts(docs, corpus):
         place[k] = r
         if r.size:
             assert r.virtual_finish == pytest.approx(before[r.source] / r.target)
-            queue += [((before[r.source] + e * sizes[r.source]) / r.target, k, e) for e in range(3)]
+            queue += [((before[r.source] + e * sizes[r.source]) / r.target - r.size / (2 * r.target), k, e) for e in range(3)]
     words, budget, brute = 0, sum(sizes.values()), Counter()
     for _, k, _ in sorted(queue):
         if 2 * words + place[k].size > 2 * budget:
@@ -58,6 +59,19 @@ def test_mix_counts(docs, corpus):
     assert again == {(r.doc_id, r.times) for r in rows}
 
 
+def test_sources_of_long_documents_reach_their_targets(spark):
+    """Many sources of a few documents each: the cut leaves every one within half a document of its target and 2 %."""
+    rng = random.Random(8)
+    rows = [(s * 100 + k, "w " * rng.choice([40, 300, 2500]), f"s{s:02}") for s in range(20) for k in range(25)]
+    got = mixing.schedule(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target, longest = Counter(), {}, Counter()
+    for r in got:
+        taken[r.source] += r.times * r.size
+        target[r.source], longest[r.source] = r.target, max(longest[r.source], r.size)
+    assert all(abs(taken[s] - target[s]) <= 0.5 * longest[s] + 0.02 * target[s] for s in target)
+    assert abs(sum(taken.values()) - sum(r.size for r in got)) <= max(longest.values())
+
+
 def test_mix_rows_follow_the_schedule(docs):
     want = Counter()
     for r in mixing.schedule(docs).collect():

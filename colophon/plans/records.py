@@ -236,6 +236,13 @@ def _files(t, rows, label: str, write: str = "text") -> str:
     return path
 
 
+def _documents(t, rows, label: str) -> str:
+    """One file per row, however the rows are dealt over the tasks: the readers of whole files take each for one document."""
+    path = scratch.path(t.spark, label)
+    rows.write.option("maxRecordsPerFile", 1).text(path)
+    return path
+
+
 _work = lambda: F.struct("id", "preferred_title", "work_type", "seq")
 WORKS = "SELECT id, preferred_title, work_type, seq FROM works"
 _SHAPE = "id string, preferred_title string, work_type string, seq long"
@@ -247,7 +254,7 @@ query("read_jsonl_tolerant", WORKS)(lambda t: readers.jsonl(t.spark, _files(t, t
 query("scan_json_dict", "SELECT id AS key, preferred_title, work_type FROM works")(
     lambda t: readers.json_dict(t.spark, _files(t, _grouped(t, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id"), F.struct("preferred_title", "work_type")))))).repartition(64), "dict"), "struct<preferred_title:string,work_type:string>").select("key", "preferred_title", "work_type")
 )
-query("saved_responses", WORKS)(lambda t: readers.saved_responses(t.spark, _files(t, _grouped(t, F.to_json(F.struct(F.struct(F.collect_list(_work()).alias("items")).alias("message")))).repartition(64), "answers"), "$.message.items", "struct<id:string,preferred_title:string,work_type:string,seq:bigint>"))
+query("saved_responses", WORKS)(lambda t: readers.saved_responses(t.spark, _documents(t, _grouped(t, F.to_json(F.struct(F.struct(F.collect_list(_work()).alias("items")).alias("message")))), "answers"), "$.message.items", "struct<id:string,preferred_title:string,work_type:string,seq:bigint>"))
 query("write_jsonl", "SELECT work_type, count(*) AS n FROM works GROUP BY work_type")(lambda t: _written(t))
 
 

@@ -249,7 +249,7 @@ _SHAPE = "id string, preferred_title string, work_type string, seq long"
 #: Files of about 500 records: one array or object each.
 _grouped = lambda t, cell: t.works.groupBy(F.floor(F.col("seq") / 500)).agg(cell.alias("value")).select("value")
 
-query("scan_json_list", WORKS)(lambda t: readers.json_list(t.spark, _files(t, _grouped(t, F.to_json(F.collect_list(_work()))).repartition(64), "list"), _SHAPE))
+query("scan_json_list", WORKS)(lambda t: readers.json_list(t.spark, _documents(t, _grouped(t, F.to_json(F.collect_list(_work()))), "list"), _SHAPE))
 query("read_jsonl_tolerant", WORKS)(lambda t: readers.jsonl(t.spark, _files(t, t.works.select(F.to_json(_work()).alias("value")).union(t.works.where("seq % 9 = 0").select(F.lit('{"id": broken'))), "lines"), _SHAPE))
 query("scan_json_dict", "SELECT id AS key, preferred_title, work_type FROM works")(
     lambda t: readers.json_dict(t.spark, _documents(t, _grouped(t, F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id"), F.struct("preferred_title", "work_type")))))), "dict"), "struct<preferred_title:string,work_type:string>").select("key", "preferred_title", "work_type")

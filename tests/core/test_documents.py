@@ -5,7 +5,7 @@ import pytest
 from colophon import plans
 
 
-@pytest.mark.parametrize("name", ["saved_responses", "scan_json_dict"])
+@pytest.mark.parametrize("name", ["saved_responses", "scan_json_dict", "scan_json_list"])
 def test_no_document_is_lost_where_tasks_write_several(spark, tmp_path, name):
     part = spark.range(60_000).selectExpr("id AS p_partkey", "concat('title ', id % 64) AS p_name", "concat('type ', id % 5) AS p_type")
     part.repartition(4).write.parquet(str(tmp_path / "part.parquet"))

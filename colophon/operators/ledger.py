@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +118,37 @@ def merkle_verify(events: DataFrame, checkpoints: DataFrame, checkpoint_id: str)
     return merkle_root(span).select((F.col("root") == F.lit(found["root"])).alias("valid"))
 
 
-def state_digest(events: DataFrame, since: int = 0, limit: int = 1000, algorithm: str = "sha512") -> DataFrame:
-    """The digest of one page of the ledger: canonical JSON of ``{"events": [{"id", "type"}, ...]}`` in the order of the cursors.
+def _streamed(algorithm: str):
+    """One task's pieces, in their order, as one document; only the state of the digest and one batch are held."""
 
-    A page has ``limit`` events at most, so it fits one row; for a whole ledger see ``state_root``.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, n, first = hashlib.new(algorithm), 0, True
+        digest.update(b'{"events":[')
+        for batch in batches:
+            for piece, k in zip(batch.column("piece"), batch.column("n")):
+                if not k.as_py():
+                    continue  # the row that is there without events
+                digest.update((b"" if first else b",") + piece.as_py().encode())
+                n, first = n + k.as_py(), False
+        digest.update(b"]}")
+        yield pa.RecordBatch.from_arrays([pa.array([digest.hexdigest()]), pa.array([n], pa.int64())], names=["state_digest", "n_events"])
+
+    return run
+
+
+def state_digest(events: DataFrame, since: int = 0, limit: int | None = None, algorithm: str = "sha512") -> DataFrame:
+    """The digest of the ledger after ``since``: canonical JSON of ``{"events": [{"id", "type"}, ...]}`` in the order of the cursors.
+
+    ``limit``: of a page of so many events only.  Events are placed and written as JSON in all partitions, 64 to a piece; the
+    digest of one document takes one byte after the other, so its pieces stream through one task, which sorts them on disk
+    and never holds the document.  ``state_root`` is the digest that is computed in all partitions.
     """
-    page = changes_feed(events, since, limit)
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("cursor", F.col("event_id").alias("id"), F.col("event_type").alias("type")))), lambda e: F.struct(e["id"].alias("id"), e["type"].alias("type")))
-    state = jcs(F.to_json(F.struct(listed.alias("events")))).cast("binary")
-    return page.agg(F.sha2(state, 512 if algorithm == "sha512" else 256).alias("state_digest"), F.count("*").alias("n_events"))
+    after = events.where(F.col("cursor") > since) if limit is None else changes_feed(events, since, limit)
+    each = positions(after.select("cursor", jcs(F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")))).alias("event")))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "event"))), lambda e: e["event"]), ",")
+    pieces = each.groupBy(F.floor(F.col("pos") / 64).alias("at")).agg(listed.alias("piece"), F.count("*").alias("n"))
+    none = events.sparkSession.range(1).select(F.lit(-1).cast("long").alias("at"), F.lit("").alias("piece"), F.lit(0).cast("long").alias("n"))
+    return pieces.unionByName(none).repartition(1).sortWithinPartitions("at").select("piece", "n").mapInArrow(_streamed("sha512" if algorithm == "sha512" else "sha256"), "state_digest string, n_events long")
 
 
 def state_root(events: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ AT = "2026-01-01T00:00:00Z"
 
 TREE = """tree AS (SELECT 0 AS lvl, pos, h, (SELECT count(*) FROM leaves) AS n FROM leaves UNION ALL
          SELECT lvl + 1, pos // 2, sha256(concat(h, coalesce(nx, h))), (n + 1) // 2 FROM (SELECT lvl, pos, h, n, lead(h) OVER (ORDER BY pos) AS nx FROM tree) WHERE n > 1 AND pos % 2 = 0)"""
-query("state_digest", """WITH page AS (SELECT * FROM ledger WHERE cursor > 0 ORDER BY cursor LIMIT 1000) SELECT sha256(concat('{"events":[', string_agg(concat('{"id":"', event_id, '","type":"', event_type, '"}'), ',' ORDER BY cursor), ']}')) AS state_digest, count(*) AS n_events FROM page""")(lambda t: l.state_digest(t.ledger, algorithm="sha256"))
+query("state_digest", """WITH page AS (SELECT * FROM ledger WHERE cursor > 0) SELECT sha256(concat('{"events":[', string_agg(concat('{"id":"', event_id, '","type":"', event_type, '"}'), ',' ORDER BY cursor), ']}')) AS state_digest, count(*) AS n_events FROM page""")(lambda t: l.state_digest(t.ledger, algorithm="sha256"))
 query("state_root", f"WITH RECURSIVE leaves AS (SELECT row_number() OVER (ORDER BY cursor) - 1 AS pos, sha256(concat(event_id, ':', event_type)) AS h FROM ledger), {TREE} SELECT h AS state_root, (SELECT count(*) FROM ledger) AS n_events FROM tree WHERE n = 1")(lambda t: l.state_root(t.ledger))
 
 

@@ -45,6 +45,15 @@ def test_state_digest_is_that_of_the_canonical_page(spark):
     assert tuple(ledger.state_digest(spark.createDataFrame(rows[::-1], "cursor long, event_id string, event_type string"), 2, 4).first()) == (want, 4)
 
 
+def test_state_digest_is_that_of_the_whole_ledger(spark):
+    rows = [(k, f"E{k}", "a" if k % 3 else 'b "c" é') for k in range(2_500)]
+    want = hashlib.sha256(json.dumps({"events": [{"id": e, "type": t} for k, e, t in rows if k > 0]}, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    events = spark.createDataFrame(rows[::-1], "cursor long, event_id string, event_type string").repartition(4)
+    assert tuple(ledger.state_digest(events, algorithm="sha256").first()) == (want, 2_499)
+    empty = hashlib.sha256(b'{"events":[]}').hexdigest()
+    assert tuple(ledger.state_digest(events, 9_999, algorithm="sha256").first()) == (empty, 0)
+
+
 def test_fingerprint_records_of_repeated_ids(spark):
     rows = [(1, "one text"), (1, "another text"), (1, "one text"), (None, None), (2, "")]
     got = minhash.text_fingerprints(spark.createDataFrame(rows, "id long, t string"), "id", "t").collect()

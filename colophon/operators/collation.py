@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions.scratch import cut
 from colophon.functions.text import IAST, SOURCE_LETTERS, squeeze
-from colophon.operators.containment import contained
+from colophon.operators.containment import contained, possible
 
 
 def witness_tokens(readings: DataFrame) -> DataFrame:
@@ -136,7 +136,7 @@ def extractor_sanity(table: DataFrame, group: str, text: str) -> DataFrame:
 def missed(curated: DataFrame, found: DataFrame) -> DataFrame:
     """Curated titles that neither contain nor are contained in a found title, whatever the case of their letters; each once."""
     left, right = cut(curated.select(F.lower("title").alias("title")).where("title is not null").distinct()), cut(found.select(F.lower("title").alias("title")).where("title is not null").distinct())
-    holding = contained(left, right, "title", "title", "title").select(F.col("row").alias("title"))
+    holding = contained(left, possible(right, left, "title", "title"), "title", "title", "title").select(F.col("row").alias("title"))
     held = contained(right, left, "title", "title", "title").select(F.col("term").alias("title"))
     return left.join(holding.union(held), "title", "left_anti")
 

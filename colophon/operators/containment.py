@@ -76,6 +76,26 @@ def _grams(rows: DataFrame, row: str, text: str, lengths: list[int], bits=None)
     return rows.select(F.col(row).alias("row"), F.col(text).alias("text")).where("text is not null").mapInArrow(run, f"row {kind}, gram long, slot long")
 
 
+def possible(terms: DataFrame, texts: DataFrame, term: str = "term", text: str = "text") -> DataFrame:
+    """The column ``term``, less terms with a run of ``Q`` bytes whose slot no text sets: those are in no text.
+
+    Where terms are many and most are in no text, none of their runs leaves a worker. ``texts`` is read once.
+    """
+    bits = terms.sparkSession.sparkContext.broadcast(_bits(_grams(texts, text, text, [Q])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = bits.value
+        for whole in batches:
+            for batch in pieces(whole, term):
+                of, gram = byte_runs(*text_bytes(batch.column(term)), Q)
+                slot = _slot(gram)
+                keep = np.ones(batch.num_rows, bool)
+                keep[of[((held[slot >> 3] >> (slot & 7)) & 1) == 0]] = False
+                yield batch.filter(pa.array(keep))
+
+    return terms.select(term).where(F.col(term).isNotNull()).mapInArrow(run, terms.select(term).schema)
+
+
 def contained(texts: DataFrame, terms: DataFrame, row: str = "row", text: str = "text", term: str = "term") -> DataFrame:
     """(row, term): each term that each text contains. ``row`` names a text; ``texts`` is read three times: store it first if it is dear."""
     spark = texts.sparkSession

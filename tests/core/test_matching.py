@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colophon.operators import collation, identity, set_join
-from colophon.operators.containment import contained
+from colophon.operators.containment import contained, possible
 
 MARKS = {"exact_identifier": 1.0, "normalized_title": 0.95, "author_title": 0.9, "text_fingerprint": 0.85}
 
@@ -104,6 +104,15 @@ TERMS = ["tion", "a", "ab", "", "xyz", "Śiva", "🙂x", "needle in", "abcabcabc
 TEXTS = ["", "a", "station", "one needle in a haystack", "abcabcabcabc", "x🙂xyz Śivaśiva", "ab" * 20_000 + "needle in", None, "station"]
 
 
+def test_possible_terms(spark):
+    """Terms that are in a text stay, also short ones and the empty one; of a thousand others none goes on."""
+    texts = spark.createDataFrame(list(enumerate(TEXTS)), "row long, text string")
+    there = {t for t in TERMS if t is not None and any(t in x for x in TEXTS if x is not None)}
+    others = [f"no text has {k}" for k in range(1_000)]
+    got = {r.term for r in possible(spark.createDataFrame([(t,) for t in [*TERMS, *others]], "term string"), texts).collect()}
+    assert there <= got and not got & set(others)
+
+
 def test_contained(spark):
     texts = spark.createDataFrame(list(enumerate(TEXTS)), "row long, text string")
     for terms in (TERMS, [t for t in TERMS if t], TERMS[-1:], []):

@@ -49,19 +49,25 @@ def similar_classes(classes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _classes(items: DataFrame, text: str, by: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Items with the key of their class, and the classes of each cluster; both stored."""
-    keyed = cut(ordered_sets(items, text, by).withColumn("key", F.sha2(F.to_json("words").cast("binary"), 256)))
-    return keyed, cut(keyed.groupBy("cluster", "key").agg(F.first("words").alias("words")))
+    """Items with the number of their class, and the classes of each cluster; both stored. ``by`` goes with every word: let it be short."""
+    sets = cut(ordered_sets(items, text, by).withColumn("digest", F.sha2(F.to_json("words").cast("binary"), 256)))
+    classes = cut(sets.groupBy("cluster", "digest").agg(F.first("words").alias("words")).withColumn("key", F.monotonically_increasing_id()))
+    keyed = cut(sets.select(*by, "digest").join(classes.select("cluster", "digest", "key"), ["cluster", "digest"]).select(*by, "key"))
+    return keyed, classes.select("cluster", "key", "words")
 
 
 def fuzzy_pairs(titles: DataFrame, threshold: float, title: str = "title") -> DataFrame:
     """(title_a, title_b, score) of different titles, title_a < title_b. Titles with the same words are a pair each."""
-    items, classes = _classes(titles.select(F.lit(0).alias("cluster"), F.col(title).alias("title")).where("title is not null").distinct(), "title", ["cluster", "title"])
-    score = similar_classes(classes, threshold).select("a", "b", "score")
-    a, b = items.select(F.col("key").alias("a"), F.col("title").alias("t")), items.select(F.col("key").alias("b"), F.col("title").alias("u"))
-    across = score.join(a, "a").join(b, "b").select(F.least("t", "u").alias("title_a"), F.greatest("t", "u").alias("title_b"), "score")
-    within = a.join(b.withColumnRenamed("b", "a"), "a").where("t < u").select(F.col("t").alias("title_a"), F.col("u").alias("title_b"), F.lit(1.0).alias("score"))
-    return across.union(within) if threshold < 1 else across
+    numbered = cut(titles.select(F.col(title).alias("title")).where("title is not null").distinct().select(F.lit(0).alias("cluster"), "title", F.monotonically_increasing_id().alias("item")))
+    items, classes = _classes(numbered, "title", ["cluster", "item"])
+    score = cut(similar_classes(classes, threshold).select("a", "b", "score"))
+    # Pairs are numbers until the last joins, which make the result's columns.
+    item = lambda k, name: items.select(F.col("key").alias(k), F.col("item").alias(name))
+    found = score.join(item("a", "i"), "a").join(item("b", "j"), "b").select("i", "j", "score")
+    if threshold < 1:
+        found = found.union(item("a", "i").join(item("a", "j"), "a").where("i < j").select("i", "j", F.lit(1.0).alias("score")))
+    t, u = numbered.select(F.col("item").alias("i"), F.col("title").alias("t")), numbered.select(F.col("item").alias("j"), F.col("title").alias("u"))
+    return found.join(t, "i").join(u, "j").select(F.least("t", "u").alias("title_a"), F.greatest("t", "u").alias("title_b"), "score")
 
 
 def best_pairs(candidates: DataFrame, threshold: float = 0.7) -> DataFrame:

@@ -165,3 +165,13 @@ def test_a_word_in_every_title_makes_no_pairs(spark):
     assert classes.count() == 3000 and set_join.similar_classes(classes, 0.7).count() == 0
     prefixes = classes.select(F.explode(F.slice("words", 1, 2)).alias("word")).groupBy("word").count().agg(F.max("count")).first()[0]
     assert prefixes == 1
+
+
+def test_words_do_not_carry_their_titles(spark, monkeypatch):
+    kinds, made = [], set_join.ordered_sets
+    monkeypatch.setattr(set_join, "ordered_sets", lambda items, text, by: kinds.append(items.select(*by).dtypes) or made(items, text, by))
+    long = " ".join(f"word{k}" for k in range(2000))
+    titles = spark.createDataFrame([(t,) for t in (long, long + " more", "More " + long, long, "a b", "b  a", "B a", " ", None)], "title string")
+    found = {(r.title_a, r.title_b): r.score for r in set_join.fuzzy_pairs(titles, 0.7).collect()}
+    assert found == {(long, long + " more"): 2000 / 2001, ("More " + long, long): 2000 / 2001, ("More " + long, long + " more"): 1.0, ("a b", "b  a"): 1.0, ("B a", "a b"): 1.0, ("B a", "b  a"): 1.0}
+    assert kinds == [[("cluster", "int"), ("item", "bigint")]]  # what goes with every word

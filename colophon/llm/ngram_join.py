@@ -48,7 +48,10 @@ from colophon.llm.storage import drop_stored, fresh, named, stored
 from colophon.llm.textblocks import mix64, shingle_hashes, slices, sorted_sets, text_view, word_hashes, words
 
 CELLS, CHUNK = 1 << 20, 1 << 14
-FLUSH = 1_500_000
+#: Prefix entries that a task holds before it deals them out, about a hundred bytes each while it does.
+FLUSH = 500_000
+#: A bucket's lists are made in so many parts, a power of two, one after the other from its packed rows.
+PARTS = 4
 BITS = 1 << 24
 #: Bits of the smallest and the largest sketch; in between, twice the set's size.
 SKETCH = (1 << 8, 1 << 15)
@@ -222,13 +225,16 @@ def _fitting(token: np.ndarray, n: np.ndarray, place: np.ndarray, percent: int)
 def _lists(percent: int, frequencies):
     """Entries of the shingles that two or more sets have in their prefixes, if their lengths and places let them link.
 
-    ``cut``: the slices of the shingle's list.
+    ``cut``: the slices of the shingle's list.  A task keeps its bucket's rows packed and unpacks one part of the shingles at a time.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
-        if not parts:
-            return
+    def part_of(packed: list[pa.Scalar], turn: int) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for x in packed:
+            entries = _unpack(x.as_py())
+            # Buckets are remainders of the same hash; its highest bits don't depend on them.
+            mine = mix64(entries[0]) >> np.uint64(65 - PARTS.bit_length()) == turn
+            parts.append([c[mine] for c in entries])
         token, node, n, place = (np.concatenate([p[k] for p in parts]) for k in range(4))
         del parts
         order = np.argsort(token, kind="stable")
@@ -253,6 +259,11 @@ def _lists(percent: int, frequencies):
             if len(pick):
                 yield pa.record_batch({"token": pa.array(token[pick]), "node": pa.array(node[pick]), "n": pa.array(n[pick]), "place": pa.array(place[pick]), "cut": pa.array(cut[pick].astype(np.int32))})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = [x for batch in batches for x in batch.column(1)]
+        for turn in range(PARTS if packed else 0):
+            yield from part_of(packed, turn)
+
     return run
 
 
@@ -538,7 +549,7 @@ class Corpus:
         # Equal sets have equal sizes and sketches. Copies are counted together before the shuffle.
         self.sets = stored(some.groupBy("node").agg(F.min("doc").alias("doc"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "distinct")
         entries = self.nodes.agg(F.sum("n")).first()[0] or 0
-        # A task holds one bucket of prefixes, about a million entries of 24 bytes.
+        # A task holds one bucket of prefixes, about a million entries, packed, and a part of them as arrays.
         self.buckets = max(sc.defaultParallelism, int(entries * (100 - percent) // 100 // 1_000_000))
         dealt = self.plain.where("doc is not null").mapInArrow(_deal(width, percent, self.buckets, frequencies), "bucket int, packed binary").repartition(self.buckets, "bucket")
         self.lists = stored(dealt.mapInArrow(_lists(percent, frequencies), "token long, node long, n int, place int, cut int"), "lists")

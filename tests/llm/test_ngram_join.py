@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -149,3 +150,33 @@ def brute_pairs(rows, percent=75, width=5):
     sets = {r[0]: {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} for r in rows for w in [r[1].lower().split()]}
     both = lambda a, b: len(sets[a] & sets[b])
     return {(a, b) for a in sets for b in sets if a < b and 100 * both(a, b) >= percent * (len(sets[a]) + len(sets[b]) - both(a, b))}
+
+
+def packed_bucket(flushes, sets, entries):
+    """Rows of one bucket, and its (token, node) entries: half of the tokens occur once."""
+    rng, rows, all_tokens, all_nodes = np.random.default_rng(5), [], [], []
+    for k in range(flushes):
+        each = np.full(sets, entries // sets, np.int32)
+        node = np.arange(k * sets, (k + 1) * sets, dtype=np.int64)
+        token = np.where(rng.random(int(each.sum())) < 0.5, rng.integers(0, 1 << 62, int(each.sum())), rng.integers(0, 1 << 12, int(each.sum())) << 40).astype(np.uint64)
+        rows.append(ngram_join._pack(np.array([sets, len(token)], np.int64), node, np.full(sets, 100, np.int32), each, token, np.zeros(len(token), np.int32)))
+        all_tokens.append(token)
+        all_nodes.append(np.repeat(node, each))
+    return pa.record_batch({"bucket": pa.array([0] * flushes, pa.int32()), "packed": pa.array(rows, pa.binary())}), np.concatenate(all_tokens), np.concatenate(all_nodes)
+
+
+def test_lists_of_a_bucket_in_little_memory():
+    class Shared:
+        value = np.ones(ngram_join.CELLS, np.int32)
+
+    batch, token, node = packed_bucket(20, 1000, 50_000)
+    tracemalloc.start()
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in ngram_join._lists(75, Shared)(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # a million entries: 16 MB, and 57 MB when the whole bucket was unpacked at once
+    pairs = np.unique(np.stack([token.view(np.int64), node], 1), axis=0)
+    values, at, n = np.unique(pairs[:, 0], return_inverse=True, return_counts=True)
+    want = pairs[n[at] > 1]
+    found = np.stack([np.concatenate([g[k] for g in got]) for k in (0, 1)], 1)
+    assert len(found) == len(want) and (np.unique(found, axis=0) == want).all()

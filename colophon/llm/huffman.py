@@ -23,9 +23,11 @@ first; repeated rows are written each; an empty table makes an empty corpus.
 
 from __future__ import annotations
 
+import json
 import os
+import string
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -43,16 +45,38 @@ LIMIT, STEP, BLOCK_TOKENS, TEXT_BYTES = 16, 256, 1 << 18, 1 << 23
 # --- token ids ---------------------------------------------------------------
 
 
+#: How the vocabularies whose words are plain cut a text: a run of letters is one piece, so is a run of marks without an apostrophe.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII marks but the apostrophe, and the Latin letters below U+0250, which no normal form composes with each other.
+MARKS, LATIN = "".join(c for c in string.punctuation if c != "'"), "".join(c for c in map(chr, range(0x250)) if c.isalpha())
+
+
+def _is_plain(word: str) -> bool:
+    return word.isalpha() and (word.isascii() or max(word) <= LATIN[-1])
+
+
+def _take(flat: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces ``which`` of ``flat``, whose pieces have these sizes, in a row; and where each begins and ends."""
+    begins, n = np.cumsum(sizes) - sizes, sizes[which]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(begins[which] - ends[:-1], n) + np.arange(ends[-1])], ends
+
+
 class CachedTokenizer:
     """The library's ids of whole texts; each distinct chunk between white space is encoded once.
 
     That is the same only if the vocabulary's pre-tokenizer drops white space and
-    no added token contains any: both are asked when it is loaded, and so is which
-    ``MARKS`` at the end of a word are tokens apart from it.  Other vocabularies
-    encode each text whole.  ``KEEP`` bounds the chunks that a worker remembers.
+    no added token contains any: both are asked when it is loaded.  Other
+    vocabularies encode each text whole.  ``KEEP`` bounds what a worker remembers.
+
+    A plain chunk is a run of Latin letters, then a run of ``MARKS`` or nothing.
+    Where the file's parts say that these two are pieces of their own
+    (``_parts_are_plain``), they are looked up apart. The library normalizes many
+    new words as one text and puts many of them as one text through the file's
+    pre-tokenizer and model: ids with the suffix of a word's end part them.
     """
 
-    KEEP, AT_ONCE, MARKS = 2_000_000, 1024, ".,;:!?"
+    KEEP, AT_ONCE = 2_000_000, 1024
 
     def __init__(self, path: str, dtype: np.dtype):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -60,8 +84,16 @@ class CachedTokenizer:
 
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
         self.by_chunk = self._drops_white_space()
-        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
-        self.apart = "".join(m for m in self.MARKS if all(ids(f"{x}{m}") == ids(x) + ids(m) for x in ("a", "Bc", "\u00e9e", "1", "x7", "the", "\u03c3\u03c2", "\u4f60")))
+        self.plain = self.by_chunk and self._parts_are_plain(json.loads(self.tokenizer.to_str()))
+        if self.plain:
+            # Letters that stay such letters when normalized, as each of them is by itself: a capital I with a dot becomes two characters.
+            self.letters = "".join(c for c in LATIN if _is_plain(self._normalized(c)))
+            self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+            self.words_only = Tokenizer(self.tokenizer.model)
+            self.words_only.pre_tokenizer = self.tokenizer.pre_tokenizer
+            suffix, names = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab(with_added_tokens=False)
+            self.ends_word = np.zeros(max(names.values()) + 1, dtype=bool)
+            self.ends_word[[k for name, k in names.items() if name.endswith(suffix)]] = True
         self._forget()
 
     def _drops_white_space(self) -> bool:
@@ -73,29 +105,83 @@ class CachedTokenizer:
         # No piece may depend on the white space beside it.
         return all(ids(f"{x}{gap}{y}") == ids(x) + ids(y) for gap in (" ", "\n", "\t", "\r", "\x0b", "\x0c", " \n ") for x in pieces for y in pieces) and not any(p.isspace() for p, _ in pre.pre_tokenize_str("a b\nc\td\re"))
 
+    def _parts_are_plain(self, parts: dict) -> bool:
+        """Whether the file's own parts say that a plain chunk's letters and marks are one piece each, whatever the vocabulary."""
+        each = lambda part, of: part[of] if part and part["type"] == "Sequence" else [part] if part else []
+        blank = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+        split = {"type": "Split", "pattern": {"Regex": LETTER_RUNS}, "behavior": "Removed", "invert": True}
+        model, pre = parts["model"], each(parts["pre_tokenizer"], "pretokenizers")
+        added = [text for t in parts["added_tokens"] for text in (t["content"], self._normalized(t["content"]))]
+        return (
+            all(n == blank or n["type"] in ("NFC", "Lowercase") for n in each(parts["normalizer"], "normalizers"))
+            and len(pre) == 2 and pre[0] == split and pre[1]["type"] == "ByteLevel" and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+            and model["type"] == "BPE" and bool(model["end_of_word_suffix"]) and not model["end_of_word_suffix"].isalpha() and not model["dropout"] and not model["continuing_subword_prefix"]
+            and parts["post_processor"] is None and parts["truncation"] is None and parts["padding"] is None
+            and not any((x := text.rstrip(MARKS)) == "" or x.isalpha() for text in added)  # none lies within a plain chunk
+        )
+
+    def _normalized(self, text: str) -> str:
+        return self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+
     def _forget(self) -> None:
-        self.known = {"": b""} | dict(zip(self.apart, self._ids(list(self.apart))))
+        self.known = {"": b""}
+
+    def _cut(self, raw: np.ndarray, ends: Iterable[int]) -> list[bytes]:
+        packed, step = raw.tobytes(), self.dtype.itemsize
+        return [packed[a * step : b * step] for a, b in pairwise(chain([0], ends))]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        out, step = [], self.dtype.itemsize
+        out = []
         for k in range(0, len(texts), self.AT_ONCE):  # few lists at a time, so the garbage collector has little to look through
             made = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + self.AT_ONCE], add_special_tokens=False)]
-            raw = np.fromiter(chain.from_iterable(made), self.dtype).tobytes()
-            out += [raw[a * step : b * step] for a, b in pairwise(accumulate(map(len, made), initial=0))]
+            out += self._cut(np.fromiter(chain.from_iterable(made), self.dtype), accumulate(map(len, made)))
+        return out
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of normalized plain words."""
+        out = []
+        for k in range(0, len(words), self.AT_ONCE):
+            some = words[k : k + self.AT_ONCE]
+            ids = np.array(self.words_only.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            # A letter without a token of its own leaves none, and maybe a word without an end.
+            out += self._cut(ids, ends.tolist()) if len(ends) == len(some) and ends[-1] == len(ids) else self._ids(some)
         return out
 
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
+    def _new_ids(self, new: list[str]) -> Iterable[tuple[str, bytes]]:
+        """Chunks, words and marks that aren't known yet, all distinct, with their ids."""
+        words = list(filter(_is_plain, new)) if self.plain else []
+        found = {w: w for w in words if w.isascii() and (w.islower() or not self.lowers)}  # normal already
+        rest, normal = [w for w in words if w not in found], []
+        for k in range(0, len(rest), self.AT_ONCE):
+            normal += self._normalized(" ".join(rest[k : k + self.AT_ONCE])).split(" ")
+        found |= {w: x for w, x in zip(rest, normal, strict=True) if _is_plain(x)}
+        others = [w for w in new if w not in found]
+        return chain(zip(found, self._word_ids(list(found.values()))), zip(others, self._ids(others)))
+
+    def _lookup(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks in a row, and how many each has."""
         if len(self.known) > self.KEEP:
             self._forget()
-        known, apart = self.known, self.apart
-        found = list(map(known.get, chunks))
-        new = [w for w, x in zip(chunks, found) if x is None]
-        # A word and its mark are encoded one by one, so the word is remembered with and without it.
-        stems = {w: w[:-1] for w in new if w[-1] in apart and w[-2:-1].isalnum()}
-        fresh = list({stems.get(w, w) for w in new} - known.keys())
-        known.update(zip(fresh, self._ids(fresh)))
-        known.update({w: known[x] + known[w[-1]] for w, x in stems.items()})
-        return [known[w] if x is None else x for w, x in zip(chunks, found)]
+        known, names = self.known, chunks.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(known.get, names))
+        missing = [k for k, x in enumerate(made) if x is None]
+        known.update(self._new_ids([names[k] for k in missing]))
+        for k in missing:
+            made[k] = known[names[k]]
+        return np.frombuffer(b"".join(made), self.dtype), np.fromiter(map(len, made), np.int64, len(made)) // self.dtype.itemsize
+
+    def _parted(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_lookup``, with the words and marks of plain chunks looked up apart."""
+        words, marks = pc.utf8_rtrim(chunks, MARKS), pc.utf8_ltrim(chunks, self.letters)
+        # What is left without the marks at the end and without the letters at the beginning is the whole: no other characters.
+        plain = pc.and_(pc.greater(pc.binary_length(words), 0), pc.equal(pc.add(pc.binary_length(words), pc.binary_length(marks)), pc.binary_length(chunks)))
+        words = pc.if_else(plain, pc.ascii_lower(words) if self.lowers else words, chunks).dictionary_encode()
+        marks = pc.if_else(plain, marks, "").dictionary_encode()
+        (ids, sizes), (more, others) = self._lookup(words.dictionary), self._lookup(marks.dictionary)
+        pieces = np.stack([words.indices.to_numpy(), marks.indices.to_numpy() + len(sizes)], axis=1)
+        sizes = np.concatenate([sizes, others])
+        return _take(np.concatenate([ids, more]), sizes, pieces.ravel())[0], sizes[pieces].sum(axis=1)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and where each text's begin and end (a null text has none)."""
@@ -105,12 +191,7 @@ class CachedTokenizer:
             return np.frombuffer(b"".join(made), self.dtype), np.concatenate([[0], np.cumsum([len(x) // self.dtype.itemsize for x in made])]).astype(np.int64)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
-        made = self._chunks(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
-        sizes = np.array([len(x) for x in made], dtype=np.int64) // self.dtype.itemsize
-        at, chunk = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
-        n = sizes[chunk]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = np.frombuffer(b"".join(made), self.dtype)[np.repeat(at[chunk] - ends[:-1], n) + np.arange(ends[-1])]
+        ids, ends = _take(*(self._parted if self.plain else self._lookup)(coded.dictionary), coded.indices.to_numpy())
         return ids, ends[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
 
 

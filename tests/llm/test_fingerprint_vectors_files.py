@@ -173,6 +173,46 @@ def test_chunks_agree_when_they_are_many_or_forgotten(monkeypatch):
             assert t.encode(pa.array([text], kind))[0].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_plain_words_are_encoded_once_whatever_their_case_and_marks(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    t = huffman.CachedTokenizer(public_tokenizers.path("word_bpe_49k.json"), huffman.id_type(49408))
+    whole, asked = t._ids, []
+    monkeypatch.setattr(t, "_ids", lambda texts: asked.extend(texts) or whole(texts))
+    words = [f"{a}ngel{b}\u00f6zt" for a in ("\u00e9", "o", "\u00df") for b in ("", "at", "ing")]
+    chunks = [f(w) + m for w in words for f in (str, str.upper, str.title) for m in ("", ".", "###", ".!!", ",***", "(<|", "_`{")]
+    chunks += ["\u0130a.", "\u0130###", "a\u0301b.", "\u212bx.", "\u01c5.", "\u0149a", "\u00aa\u00ba.", "x\u00d7y", "can't", "it's.", "'s", "s'", "a1.", "###", "<|endoftext|>.", "a<|endoftext|>", "\u03a3\u03b1\u03c2.", "\u4f60\u597d.", "a\u00a0b.", "a\x1c.", "x\u0250."]
+    for kind in (pa.string(), pa.large_string()):
+        for text in (" ".join(chunks), *chunks):
+            assert t.encode(pa.array([text], kind))[0].tolist() == t.tokenizer.encode(text, add_special_tokens=False).ids
+    assert not any(w.lower() in x.lower() for w in words for x in asked)  # no plain word went through the whole tokenizer
+
+
+def _word_level_bpe(path, *, added=(), **options):
+    """A vocabulary with the parts of word_bpe_49k.json, without any token for z."""
+    tokenizers = pytest.importorskip("tokenizers")
+    letters = "abcz" if options.get("z") else "abc"
+    names = [*letters, *(f"{x}</w>" for x in letters), ".", ".</w>", "ab", "ab</w>"]
+    model = tokenizers.models.BPE({name: k for k, name in enumerate(names)}, [("a", "b"), ("a", "b</w>")], end_of_word_suffix="</w>")
+    t, pre = tokenizers.Tokenizer(model), tokenizers.pre_tokenizers
+    t.normalizer = tokenizers.normalizers.Lowercase() if options.get("lowers", True) else None
+    runs = pre.Split(tokenizers.Regex(options.get("runs", huffman.LETTER_RUNS)), "removed", invert=True)
+    t.pre_tokenizer = pre.Sequence([runs, pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+    t.add_tokens(list(added))
+    t.save(path)
+    return t
+
+
+def test_words_are_plain_only_where_the_file_says_so(tmp_path):
+    path = str(tmp_path / "t.json")
+    texts = ["ab AB. abab.. z az za. cab zz bz", "z", "zz z", "", "ab.c a.b abc.. Abc", "z ab"]
+    for options, plain in (({}, True), ({"z": True}, True), ({"lowers": False}, True), ({"added": ["b."]}, False), ({"added": ["bc"]}, False), ({"added": ["a.b"]}, True), ({"runs": r"[\p{L}]|[^\s\p{L}]+"}, False)):
+        t = _word_level_bpe(path, **options)
+        mine = huffman.CachedTokenizer(path, huffman.id_type(64))
+        assert not mine.by_chunk or mine.plain == plain, options
+        for text in texts:
+            assert mine.encode(pa.array([text]))[0].tolist() == t.encode(text, add_special_tokens=False).ids, (options, text)
+
+
 def test_vocabularies_that_keep_white_space_encode_whole_texts(tmp_path):
     tokenizers = pytest.importorskip("tokenizers")
     words = {"[UNK]": 0, "a": 1, "\u2581a": 2, "\u2581": 3, "b": 4, "\u2581b": 5}

@@ -1,6 +1,7 @@
 """Classes of works, containment and set joins against plain Python over every pair."""
 
 import random
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -175,3 +176,39 @@ def test_words_do_not_carry_their_titles(spark, monkeypatch):
     found = {(r.title_a, r.title_b): r.score for r in set_join.fuzzy_pairs(titles, 0.7).collect()}
     assert found == {(long, long + " more"): 2000 / 2001, ("More " + long, long): 2000 / 2001, ("More " + long, long + " more"): 1.0, ("a b", "b  a"): 1.0, ("B a", "a b"): 1.0, ("B a", "b  a"): 1.0}
     assert kinds == [[("cluster", "int"), ("item", "bigint")]]  # what goes with every word
+
+
+def _titles(spark, rows):
+    return spark.createDataFrame([(f"A{k}", w, "TITLE", x) for k, (w, x) in enumerate(rows)], "id string, subject_id string, predicate_uri string, literal string")
+
+
+def test_pairs_of_titles_are_those_of_all_rows_whatever_the_blocks(spark, monkeypatch):
+    names = ["The Big Book", "big book", "Big Book vol 2", "Other", "", None, "!!", "OTHER"]
+    rows = [(f"W{k % 23}" if k % 17 else None, names[k * k % 8]) for k in range(90)]
+    own = {}
+    for w, x in rows:  # ids are in order of their text, as A10 is before A2
+        own.setdefault(w, [])
+    for k in sorted(range(len(rows)), key=lambda k: f"A{k}"):
+        own[rows[k][0]].append(rows[k][1])
+    norm = lambda x: " ".join(re.sub(r"[^\w\s]", "", re.sub(r"\s+vol\s*\d*$", "", re.sub(r"^the\s+", "", (x or "").lower()))).split())
+    # The own title is that of the least id, null or not.
+    first = {w: x[0] for w, x in own.items() if w and x[0] is not None}
+    want = Counter((w, v) for w, x in first.items() for v, y in rows if v and w != v and norm(x) and y is not None and norm(x) == norm(y))
+    same = lambda x: " ".join((x or "").lower().split())
+    prints = Counter((w, v) for w, x in first.items() for v, y in rows if v and w != v and same(x) and y is not None and same(x) == same(y))
+    assert want and prints and max(want.values()) > 1
+    for sizes in ((identity.BLOCK, identity.PARTS, identity.BLOCKS_DEALT), (1, 1, 1), (2, 3, 1), (3, 2, 2)):
+        for name, n in zip(("BLOCK", "PARTS", "BLOCKS_DEALT"), sizes):
+            monkeypatch.setattr(identity, name, n)
+        for by, pairs, matcher in ((identity.by_title, want, "normalized_title"), (identity.by_fingerprint, prints, "text_fingerprint")):
+            got = by(_titles(spark, rows)).collect()
+            assert Counter((r.work_id, r.match_id) for r in got) == pairs
+            assert {(r.matcher, r.confidence) for r in got} == {(matcher, identity.MATCHERS[matcher])}
+
+
+@pytest.mark.parametrize("by", [identity.by_fingerprint])
+def test_pairs_of_one_title_take_little_disk(spark, tmp_path, by):
+    n = 1200
+    by(_titles(spark, [(f"W{k * 7919 % 99991}", "one title") for k in range(n)])).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == n * (n - 1)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.75 * n * (n - 1)  # less than a byte a pair

@@ -206,7 +206,7 @@ def test_pairs_of_titles_are_those_of_all_rows_whatever_the_blocks(spark, monkey
             assert {(r.matcher, r.confidence) for r in got} == {(matcher, identity.MATCHERS[matcher])}
 
 
-@pytest.mark.parametrize("by", [identity.by_fingerprint])
+@pytest.mark.parametrize("by", [identity.by_fingerprint, identity.by_title])
 def test_pairs_of_one_title_take_little_disk(spark, tmp_path, by):
     n = 1200
     by(_titles(spark, [(f"W{k * 7919 % 99991}", "one title") for k in range(n)])).write.parquet(f"{tmp_path}/out")

@@ -212,3 +212,23 @@ def test_pairs_of_one_title_take_little_disk(spark, tmp_path, by):
     by(_titles(spark, [(f"W{k * 7919 % 99991}", "one title") for k in range(n)])).write.parquet(f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out").count() == n * (n - 1)
     assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.75 * n * (n - 1)  # less than a byte a pair
+
+
+@pytest.mark.parametrize("by", [identity.by_fingerprint, identity.by_title])
+def test_lists_of_one_title_repeat_byte_by_byte(spark, tmp_path, by):
+    n = 1203  # not a multiple of eight
+    by(_titles(spark, [(f"W{k * 7919 % 99991}", "one title") for k in range(n)])).write.parquet(f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == got.select("work_id", "match_id").distinct().count() == n * (n - 1)
+    assert sum(p.stat().st_size for p in tmp_path.rglob("*.parquet")) < 0.2 * n * (n - 1)
+
+
+def test_a_row_of_the_last_join_makes_the_pairs_of_one_work_and_one_list(spark):
+    """Spark keeps them until it asks for the next row; a join by broadcast would keep those of a whole part."""
+    pairs = identity.by_title(_titles(spark, [(f"W{k}", "one title") for k in range(400)]))
+    assert pairs.count() == 400 * 399
+    written = pairs.groupBy("work_id").agg(F.count("match_id").alias("n"))
+    written.collect()
+    plan = written._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    joins = re.findall(r"(\w+Join) ", plan)
+    assert joins[0] == "SortMergeJoin" and "explode(element_at(" in plan

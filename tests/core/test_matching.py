@@ -96,6 +96,38 @@ def test_identity_never_joins_works_by_a_title(spark):
     assert len(first) == n and first["W000000"] == "W000001" and first["W009999"] == "W000000"
 
 
+def _shuffled(spark, since=-1):
+    """Rows written for shuffles by stages after ``since``, and the last stage."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(k) for k in range(stages.size())]
+    return sum(s.shuffleWriteRecords() for s in stages if s.stageId() > since), max((s.stageId() for s in stages), default=-1)
+
+
+def test_pairs_by_identifiers_are_shuffled_as_lists(spark, catalogue):
+    """60 works an identifier: their pairs are ten times as many as the rows shuffled, and each is counted once for each identifier."""
+    facts, _ = catalogue
+    rng = random.Random(5)
+    ids = [(w, "S", f"k{k}") for k in range(60) for w in rng.sample([f"V{n:04}" for n in range(500)], 60)] + [("W01", "S", "k0"), ("W02", "S", "k0"), ("W02", "S", "k0")]
+    _, since = _shuffled(spark)
+    m = identity.classes(spark.createDataFrame(facts, "id string, subject_id string, predicate_uri string, literal string"), spark.createDataFrame(ids, "entity_id string, scheme string, value string"))
+    got = {(r.work_id, r.match_id): (r.confidence, r.n_rows, r.matchers) for r in identity.identity_resolve(m).collect()}
+    assert got == brute(facts, ids)
+    assert _shuffled(spark, since)[0] < 60 * 60 * 59 / 4
+
+
+def test_identity_list_by_list(spark, catalogue, monkeypatch):
+    """Lists, parts and deals of a few works: each pair still comes once, with all that its classes and its own identifiers say."""
+    for name, n in (("BLOCK", 8), ("PARTS", 2), ("BLOCKS_DEALT", 1)):
+        monkeypatch.setattr(identity, name, n)
+    facts, ids = catalogue
+    m = identity.classes(spark.createDataFrame(facts, "id string, subject_id string, predicate_uri string, literal string"), spark.createDataFrame(ids, "entity_id string, scheme string, value string"))
+    rows = identity.identity_resolve(m).collect()
+    got = {(r.work_id, r.match_id): (r.confidence, r.n_rows, r.matchers) for r in rows}
+    assert got == brute(facts, ids) and len(rows) == len(got)
+
+
 def test_no_works(spark):
     m = identity.classes(spark.createDataFrame([], "id string, subject_id string, predicate_uri string, literal string"), spark.createDataFrame([], "entity_id string, scheme string, value string"))
     assert identity.identity_resolve(m).count() == identity.histogram(m).count() == identity.rank_candidates(m).count() == 0
